@@ -9,6 +9,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_piece_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .piece_tokenizer import piece_digests
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return piece_digests(_table(spark, sf_dir, "documents"), f.read())
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return pack_documents(_table(spark, sf_dir, "documents"), f.read())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -16,6 +34,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_piece_tokenizer": op2_piece_tokenizer,
+    "op5_packing": op5_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
