@@ -27,6 +27,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pack_documents(_table(spark, sf_dir, "documents"), f.read())
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import as_events, chat_digests, format_chats
+
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digests(format_chats(as_events(rows.unionByName(more))))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_digests, store_media
+
+    return media_digests(store_media(_table(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -36,6 +51,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_piece_tokenizer": op2_piece_tokenizer,
     "op5_packing": op5_packing,
+    "op6_chat_format": op6_chat_format,
+    "op7_media": op7_media,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
