@@ -18,6 +18,17 @@ def op2_piece_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
         return piece_digests(_table(spark, sf_dir, "documents"), f.read())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit, held_out, score_toxicity
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(~held_out()))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +61,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_piece_tokenizer": op2_piece_tokenizer,
+    "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
     "op6_chat_format": op6_chat_format,
     "op7_media": op7_media,
