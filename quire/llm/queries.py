@@ -59,6 +59,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .ppm import fit, held_out, score_texts
+
+    docs = _table(spark, sf_dir, "documents")
+    model, words = fit(docs.where(~held_out()), class_col="lang")
+    scored = score_texts(docs, model, words).withColumn("held_out", held_out())
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op2_piece_tokenizer": op2_piece_tokenizer,
     "op3_toxicity": op3_toxicity,
@@ -66,6 +77,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_media": op7_media,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_ppm": op10_ppm,
 }
 
 SQL = {
