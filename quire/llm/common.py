@@ -105,3 +105,49 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Memo:
+    """What a worker process has learnt about words, kept from task to task in two generations.
+
+    ``now`` holds every word of the batch at hand. Once it is over ``limit`` it becomes the old
+    generation, from which words in use return; the rest is forgotten.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def prepare(self, words: set, learn) -> dict:
+        """A dict that holds all ``words``; ``learn(list)`` gives a dict of those that are new."""
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+        now, old = self.now, self.old
+        missing = [w for w in words if w not in now]
+        if old:
+            now.update((w, old[w]) for w in missing if w in old)
+            missing = [w for w in missing if w not in old]
+        if missing:
+            now.update(learn(missing))
+        return now
+
+
+_MEMOS: dict = {}
+
+
+def worker_memo(key, limit: int) -> Memo:
+    """This worker process's memo for ``key``; a new key replaces the memos of others."""
+    if key not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[key] = Memo(limit)
+    return _MEMOS[key]
+
+
+_MADE: dict = {}
+
+
+def worker_made(kind: str, source, make):
+    """What ``make(source)`` gives, kept for this worker process; one object of each kind."""
+    key = hash(source)
+    if _MADE.get(kind, (None,))[0] != key:
+        _MADE[kind] = (key, make(source))
+    return _MADE[kind][1]

@@ -10,6 +10,7 @@ filled window, so padding stays small however large the input is. Only lengths a
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -17,13 +18,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, keyed, raw_text, written
+from .common import ROW, keyed, raw_text, worker_made, worker_memo, written
 from .piece_tokenizer import bounded
 
 #: Pieces a shard packs at most on average. A shard is one task's memory.
 SHARD = 8192
 
 
+def _letters_only(spec: str):
+    """The same merges for words that ``_plain`` accepts, without the steps that leave them as they are."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    out = Tokenizer.from_str(spec)
+    out.normalizer = normalizers.Sequence([])
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
+
+
+def _plain(word: bytes) -> bool:
+    """Whether a word is letters only, in lower case and composed: normalising and splitting leave it whole."""
+    if word.isascii():
+        return word.isalpha() and word.islower()
+    text = str(word, "utf-8", "replace")
+    return text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
+
+
 class WordCache:
     """A vocabulary of the ``tokenizers`` library that never joins symbols over ASCII white space.
 
@@ -32,39 +51,65 @@ class WordCache:
 
     MARK = "\x02"
 
-    def __init__(self, spec: str, limit: int = 400_000):
+    def __init__(self, spec: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.memo = Tokenizer.from_str(spec), limit, {}
+        self.tokenizer, self.plain = worker_made("tokenizer", spec, Tokenizer.from_str), worker_made("letters", spec, _letters_only)
+        self.memo = worker_memo(("words", hash(spec)), limit)
         self.mark = self._ids(self.MARK)
         if len(self.mark) != 1:
             raise ValueError("the separator must be one token")
+        self.points = {p: np.array(self._ids(chr(p)), "<u4").tobytes() for p in b".,;:!?"}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"\x02" not in w]
-        for k in range(0, len(plain), 256):
-            some = plain[k : k + 256]
+    def _learn_cores(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out = {}
+        letters = [w for w in words if _plain(w)]
+        bar = self.plain.encode("|").ids[0]
+        joined = [b" | ".join(letters[k : k + 512]).decode() for k in range(0, len(letters), 512)]
+        for k, found in enumerate(self.plain.encode_batch_fast(joined)):
+            some, ids = letters[512 * k : 512 * k + 512], np.array(found.ids, "<u4")
+            cuts, flat = np.flatnonzero(ids == bar), ids.tobytes()
+            starts, ends = np.r_[0, cuts + 1] * 4, np.r_[cuts, len(ids)] * 4
+            out.update((w, flat[a:b]) for w, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
+        words = [w for w in words if w not in out]
+        for k in range(0, len(words), 256):
+            some = words[k : k + 256]
             ids = np.array(self._ids(f" {self.MARK} ".join(str(w, "utf-8", "replace") for w in some)), "<u4")
             cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) != len(some) - 1:
-                self.memo.update((w, np.array(self._ids(str(w, "utf-8", "replace")), "<u4").tobytes()) for w in some)
+            if len(cuts) != len(some) - 1:  # a word holds the separator
+                out.update((w, np.array(self._ids(str(w, "utf-8", "replace")), "<u4").tobytes()) for w in some)
                 continue
             flat = ids.tobytes()
             starts, ends = np.r_[0, cuts + 1] * 4, np.r_[cuts, len(ids)] * 4
-            self.memo.update((w, flat[a:b]) for w, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
-        self.memo.update((w, np.array(self._ids(str(w, "utf-8", "replace")), "<u4").tobytes()) for w in words if b"\x02" in w)
+            out.update((w, flat[a:b]) for w, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
+        return out
+
+    def _core(self, word: bytes) -> bytes:
+        """The word in lower case, without a closing point after a letter, which is a token of its own."""
+        if b"<|" in word:  # may be a special token
+            return word
+        if word[-1] in self.points and len(word) > 1 and (word[-2:-1].isalnum() or word[-2] > 127 and str(word[:-1], "utf-8", "replace")[-1].isalpha()):
+            word = word[:-1]
+        return word.lower()
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        cores = [self._core(w) for w in words]
+        known = self.memo.now
+        ids = self._learn_cores([c for c in dict.fromkeys(cores) if c not in known])
+        ids |= {c: known[c] for c in set(cores) if c in known}
+        return ids | {w: ids[c] if len(w) == len(c) else ids[c] + self.points[w[-1]] for w, c in zip(words, cores, strict=True)}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts, memo = [t.split() for t in texts], self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        self._learn(list({w for p in parts for w in p if w not in memo}))
-        return [b"".join(map(memo.__getitem__, p)) for p in parts]
+        parts, words = [t.split() for t in texts], set()
+        for p in parts:
+            words.update(p)
+        get = self.memo.prepare(words, self._learn).__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
 
 def cut_pieces(rows: DataFrame, spec: str, end_id: int, window: int) -> DataFrame:
