@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text
+from .common import raw_text, worker_made, worker_memo
 
 SPACE = "▁"
 #: Pairs at or beyond this rank are runs of spaces, all of one score: the leftmost goes first.
@@ -51,6 +51,12 @@ class PieceModel:
                 self.out.append(" ⁇ ".encode())
             else:
                 self.out.append(b"" if kinds[i] == 3 else p.replace(SPACE, " ").encode())
+        self.chars = np.full(0x110000, -1, np.int64)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.chars[ord(p)] = i
+        #: Neighbours within pieces: no merge reaches over any other pair of characters.
+        self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         keys, made = [], []
         for p, i in self.ids.items():
             for k in range(1, len(p)):
@@ -71,21 +77,15 @@ class PieceModel:
         return np.where(ok, self.ranks[made], NONE), made
 
     def encode_segments(self, segments: list[str]) -> list[bytes]:
-        """The ids of each segment as little-endian 32-bit integers. Segments begin with the space mark."""
-        sym: list[int] = []
-        lens = np.empty(len(segments), np.int64)
-        get = self.ids.get
-        for n, s in enumerate(segments):
-            before = len(sym)
-            for c in s:
-                i = get(c)
-                if i is None:  # bytes of an unknown character; they never merge
-                    sym.extend(-1 - self.byte_ids[x] for x in c.encode("utf-8", "replace"))
-                else:
-                    sym.append(i)
-            lens[n] = len(sym) - before
-        s = np.array(sym, np.int64)
-        seg = np.repeat(np.arange(len(segments)), lens)
+        """The ids of each segment as little-endian 32-bit integers. """
+        lens = np.fromiter(map(len, segments), np.int64, len(segments))
+        points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        s, seg = self.chars[points], np.repeat(np.arange(len(segments)), lens)
+        if (s < 0).any():  # bytes of unknown characters; they never merge
+            raw = [chr(c).encode("utf-8", "replace") if new else b"x" for c, new in zip(points.tolist(), (s < 0).tolist(), strict=True)]
+            wide = np.fromiter(map(len, raw), np.int64, len(raw))
+            unknown, s, seg = np.repeat(s < 0, wide), np.repeat(s, wide), np.repeat(seg, wide)
+            s[unknown] = -1 - np.array(self.byte_ids, np.int64)[np.frombuffer(b"".join(raw), np.uint8)[unknown]]
         out: list[bytes] = [b""] * len(segments)
 
         def finish(s: np.ndarray, seg: np.ndarray) -> None:
@@ -169,6 +169,16 @@ class PieceModel:
             self.known[a, b] = int(self.pairs(np.array([a]), np.array([b]))[1][0])
         return self.known[a, b]
 
+    def cut(self, segment: str) -> list[str]:
+        """The parts of a segment that merges never join."""
+        out, at, inner = [], 0, self.inner
+        for k in range(1, len(segment)):
+            if segment[k - 1 : k + 1] not in inner:
+                out.append(segment[at:k])
+                at = k
+        out.append(segment[at:])
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         """The text's bytes: the first space mark goes, byte pieces join up."""
         text = b"".join(map(self.out.__getitem__, ids))
@@ -189,22 +199,29 @@ def _segments(text: str) -> list[str]:
 
 class _Encoder:
     def __init__(self, model: PieceModel, limit: int):
-        self.model, self.limit, self.memo = model, limit, {}
+        self.model, self.memo = model, worker_memo(("pieces", model.size, hash(tuple(model.names[:2000]))), limit)
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of segments (without their first space mark), put together from parts that occur in many."""
+        parts = [[SPACE + x] if x.isalpha() else self.model.cut(SPACE + x) for x in new]
+        own = list({y for p in parts for y in p})
+        ids: dict[str, bytes] = {}
+        for k in range(0, len(own), 50_000):
+            some = own[k : k + 50_000]
+            ids.update(zip(some, self.model.encode_segments(some), strict=True))
+        return {x: b"".join([ids[y] for y in p]) for x, p in zip(new, parts, strict=True)}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, bytes]:
         """Offsets, and the ids of all texts one after another."""
-        parts, memo = [_segments(t) for t in texts], self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        new = list({x for p in parts for x in p if x not in memo})
-        for k in range(0, len(new), 50_000):
-            some = new[k : k + 50_000]
-            memo.update(zip(some, self.model.encode_segments([SPACE + x for x in some]), strict=True))
-        rows = [b"".join(map(memo.__getitem__, p)) for p in parts]
+        parts, segments = [_segments(t) for t in texts], set()
+        for p in parts:
+            segments.update(p)
+        get = self.memo.prepare(segments, self._learn).__getitem__
+        rows = [b"".join(map(get, p)) for p in parts]
         return np.cumsum([0, *(len(r) // 4 for r in rows)]), b"".join(rows)
 
 
-def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", memo: int = 400_000) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", memo: int = 250_000) -> DataFrame:
     """(``id_col``, ``ids_col`` array<int>): each text as the sentencepiece library encodes it, without
     begin and end ids or sampling. Rows are independent: repeated rows and null ids pass through; null
     texts count as empty and give an empty array. Only the two columns are read."""
@@ -214,7 +231,7 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        encoder = _Encoder(PieceModel(shared.value), memo)
+        encoder = _Encoder(worker_made("pieces", shared.value, PieceModel), memo)
         for batch in batches:
             for lo, hi in bounded(batch.column(1)):
                 texts = [str(x, "utf-8", "replace") for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
@@ -241,8 +258,8 @@ def decode_pieces(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_
     kind = dict(encoded.dtypes)[id_col]
 
     def run(batches):
-        table = PieceModel(shared.value)
-        for batch in batches:
+        table = worker_made("pieces", shared.value, PieceModel)
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             texts = [str(table.decode(x or []), "utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_id", "_text"])
 
@@ -258,8 +275,8 @@ def piece_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     def run(batches):
         from hashlib import sha256
 
-        pieces = PieceModel(table.value)
-        for batch in batches:
+        pieces = worker_made("pieces", table.value, PieceModel)
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             rows = [x or [] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
