@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..shared import written
+
 PAGE = ["doc_id", "page_index"]
 CLASS = [*PAGE, "angle", "vertical"]
 LINE = [*CLASS, "line_no"]
@@ -63,17 +65,18 @@ def spaced(runs: DataFrame) -> DataFrame:
     return out.withColumn("segment_no", number.cast("int")).drop("_cut")
 
 
-def page_texts(runs: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+def page_texts(runs: DataFrame, columns: bool = False) -> DataFrame:
     """(doc_id, page_index, text, runs): lines joined by line breaks, spaces inserted, and each run's range.
 
-    Classes of direction follow one another by their first run. ``columns`` may give a reading position
-    (class and line and segment to ``read_pos``); without it, lines are read from top to bottom.
+    Classes of direction follow one another by their first run. With ``columns``, columns are detected and
+    read one after the other; without, lines are read from top to bottom.
     """
     own = spaced(lines(runs))
-    if columns is None:
+    if not columns:
         own = own.withColumn("read_pos", F.struct(F.lit(0).alias("band"), F.lit(0).alias("col"), F.col("line_no").alias("line")))
     else:
-        own = own.join(columns, [*LINE, "segment_no"])
+        own = written(own, "spaced-runs")  # read several times
+        own = own.join(columns_of(own), [*LINE, "segment_no"])
         own = own.withColumn("space", F.col("space") & (F.col("read_pos") == F.lag("read_pos").over(W.partitionBy(*LINE).orderBy("line_pos"))))
     order = W.partitionBy(*PAGE).orderBy("class_first", "read_pos", "line_pos")
     new = F.coalesce((F.lag("class_first").over(order) != F.col("class_first")) | (F.lag("read_pos").over(order) != F.col("read_pos")), F.lit(False))
@@ -201,15 +204,14 @@ def reading_positions(segs: DataFrame, bounds: DataFrame, cuts: DataFrame) -> Da
     return met.select(*LINE, "segment_no", pos.alias("read_pos"), "crosses", "overrun", "parts")
 
 
-def columns_of(runs: DataFrame) -> DataFrame:
-    """``columns`` for ``page_texts``: reading positions of all segments.
+def columns_of(own: DataFrame) -> DataFrame:
+    """Reading positions (class, line, segment to ``read_pos``) of all segments of ``spaced`` runs.
 
     Wide segments (60 % of the extent) don't take part in the search for gutters. Where advances are not
     reliable, or no gutter is found, lines are read as they are.
     """
-    own = spaced(lines(runs))
-    segs = segments(own)
-    bounds = class_bounds(segs).join(reliable_advances(own).where("reliable").select(*CLASS), CLASS)
+    segs = written(segments(own), "segments")
+    bounds = written(class_bounds(segs).join(reliable_advances(own).where("reliable").select(*CLASS), CLASS), "bounds")
     extent = F.col("right") - F.col("left")
     narrow = segs.join(bounds, CLASS).where(F.col("end") - F.col("start") < WIDE_SHARE * extent)
     found = tolerant_gutters(narrow.select(*CLASS, "start", "end"), CLASS, F.lit(0.0)).join(bounds, CLASS)
@@ -223,5 +225,5 @@ def columns_of(runs: DataFrame) -> DataFrame:
             pdf["centres"] = [merge_narrow(list(c), a, b, NARROW_SHARE * (b - a)) for c, a, b in zip(pdf["centres"], pdf["left"], pdf["right"], strict=True)]
             yield pdf[[*CLASS, "centres"]]
 
-    cuts = centres.mapInPandas(merge, f"{kinds}, centres array<double>")
-    return reading_positions(segs, bounds, cuts).select(*LINE, "segment_no", "read_pos")
+    cuts = written(centres.mapInPandas(merge, f"{kinds}, centres array<double>"), "cuts")
+    return written(reading_positions(segs, bounds, cuts).select(*LINE, "segment_no", "read_pos"), "reading")

@@ -138,5 +138,4 @@ def band_columns(t):
 @query()
 def page_text_columns(t):
     """Page texts with detected columns; the merging of narrow columns is a fixpoint, so rows only."""
-    own = runs(t)
-    return A.page_texts(own, A.columns_of(own)).select("doc_id", "text", F.size("runs").alias("n_runs"))
+    return A.page_texts(runs(t), columns=True).select("doc_id", "text", F.size("runs").alias("n_runs"))
