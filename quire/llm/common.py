@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -66,6 +68,41 @@ def is_numbered(rows: DataFrame) -> bool:
     return getattr(rows, "_quire_numbered", False)
 
 
+#: Bits of a row filter at most: 8 MB, whatever the number of rows.
+FILTER_BITS = 1 << 26
+
+
+def row_filter(ids: DataFrame):
+    """A predicate on ``_row`` that holds for all rows of ``ids`` and few others, to thin out texts before a
+    shuffle. It is a bitmap of at most ``FILTER_BITS``: beyond some millions of rows it lets more and more
+    through, and a join decides in any case."""
+    n, bits = ids.count(), 1 << 15
+    while bits < 16 * n and bits < FILTER_BITS:
+        bits *= 2
+    place = lambda: F.pmod(F.xxhash64(ROW), F.lit(bits))
+    parts = ids.select(place().alias("_h")).groupBy((F.col("_h") / 32768).cast("int").alias("_part")).agg(F.bitmap_construct_agg(F.col("_h") % 32768).alias("_bits"))
+    found = bytearray(bits // 8)
+    for r in parts.collect():  # at most ``FILTER_BITS`` / 32768 rows of 4 KB
+        found[r._part * 4096 : r._part * 4096 + 4096] = r._bits
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(found)), (place() / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (place() % 8).cast("int"))) != 0
+
+
+def with_text(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` joined with ``ids`` by ``_row``; texts of other rows stay where they are."""
+    return rows.where(row_filter(ids)).join(ids, ROW)
+
+
+def with_all_texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """All ``rows``, with the columns of ``ids`` or null; only texts that may meet a row of ``ids`` are shuffled."""
+    met = row_filter(ids)
+    out = rows.where(met).join(ids, ROW, "left")
+    rest = rows.where(~met)
+    for c, t in ids.dtypes:
+        rest = rest if c == ROW else rest.withColumn(c, F.lit(None).cast(t))
+    return out.unionByName(rest)
+
+
 def raw_text(name: str = "text"):
     """A text column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
@@ -74,7 +111,7 @@ def raw_text(name: str = "text"):
 class WordHash(dict):
     """Maps a word (bytes) to a 64-bit hash and remembers at most ``limit`` of them."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -88,6 +125,21 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One for each worker process.
+HASHES = WordHash()
+
+
+def tidy(run):
+    """``run`` for ``mapInArrow``; when a task ends, its worker gives freed memory back to the system."""
+
+    def tidied(batches):
+        yield from run(batches)
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply, shift, multiply)."""
     x = x ^ (x >> np.uint64(32))

@@ -4,9 +4,9 @@ A document's tokens are its distinct word shingles. Documents with equal sets ar
 is represented by one row from the start. The stages:
 
 1. Similar documents are partitioned into groups. The token space is dealt to more classes than two
-   linked sets can differ in, so linked sets agree in a whole class; classes' hashes meet in Spark, and
-   what hangs together by them, directly or not, is one family. Families that are large are dealt to
-   blocks by their least token.
+   linked sets can differ in, so linked sets agree in a number of whole classes; classes' hashes meet in
+   Spark, and what hangs together by enough of them, directly or not, is one family. Families that are
+   large are dealt to blocks by their least token.
 2. Each block stores the token union of its groups as a matrix. For a query the overlap with a union
    bounds that with every member; only groups that reach what the threshold asks for are opened, and
    their members' overlaps counted exactly. Members that already hang together aren't compared again.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, WordHash, keyed, mix, pair, partitions, raw_text, written
+from .common import HASHES, ROW, keyed, mix, pair, partitions, raw_text, tidy, with_text, written
 from .components import components
 from .repeats import BUCKET_BYTES, by_bucket, chunks, planes, release, text_bytes, unplanes
 
@@ -34,7 +34,8 @@ BLOCK = 512
 GROUP = 16
 LEADERS = 1024
 QUERIES = 2048
-_HASHES = WordHash()
+#: Sharers of one signature that are paired with one another.
+ALL_PAIRS = 128
 _TAG = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -43,7 +44,7 @@ def token_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     ``n`` words has one shingle, the whole sequence; without words it has none."""
     parts = [t.lower().split() for t in texts]
     size = [len(p) for p in parts]
-    words = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(parts)), np.uint64, sum(size))
+    words = np.fromiter(map(HASHES.__getitem__, chain.from_iterable(parts)), np.uint64, sum(size))
     grams = words
     for k in range(1, n):
         grams = pair(grams[:-1], words[k:])
@@ -92,12 +93,13 @@ class Bands:
         """(number of classes, spare ones) for sets of this band and those linked with them."""
         most = self.edges[band + 1] - 1
         differ = (most + 100 * most // self.percent) * (100 - self.percent) // (100 + self.percent)
-        spare = max(1, differ // 10)
+        spare = max(1, differ // 5)
         return differ + 1 + spare, spare
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """What a set shows to meet all sets it is linked with: in its own band, and as the larger partner."""
-        n, out = len(tokens), []
+    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a set shows to meet all sets it is linked with, in its own band and as the larger partner, and
+        for each signature its band and number of empty classes (-1 for a first token)."""
+        n, out, facts = len(tokens), [], []
         own = self.of(n)
         for band in (own, own - 1):
             if band < 0 or (band < own and self.percent * n > 100 * (self.edges[own] - 1)):
@@ -107,9 +109,30 @@ class Bands:
             first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
             tag = mix(cls[first] * np.uint64(1 << 20) + np.uint64(band))
             out.append(mix(np.add.reduceat(mix(tokens), first) ^ tag))
-            if count - len(first) > spare:
+            empty = count - len(first)
+            facts.append(np.full(len(first), band * 65536 + min(empty, 65535), np.int64))
+            if empty > spare:
                 out.append(mix(tokens[: n - need(n, self.percent) + 1] ^ mix(np.uint64([band + (1 << 30)]))))
-        return np.concatenate(out)
+                facts.append(np.full(len(out[-1]), -1, np.int64))
+        return np.concatenate(out), np.concatenate(facts)
+
+    def least_shared(self, small: np.ndarray, large: np.ndarray, band: np.ndarray, empty: np.ndarray) -> np.ndarray:
+        """How many signatures linked sets of these sizes share at least, 1 or more."""
+        count = np.array([self.classes(b)[0] for b in range(int(band.max(initial=0)) + 1)])[band]
+        differ = (small + large) * (100 - self.percent) // (100 + self.percent)
+        return np.maximum(1, count - differ - empty)
+
+
+def pairs_within(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places within runs that begin at ``first`` and are of one ``size`` of at most ``ALL_PAIRS``."""
+    left, right = [], []
+    for g in np.unique(size).tolist():
+        a, b = np.triu_indices(g, 1)
+        start = first[size == g]
+        left.append((start[:, None] + a).ravel())
+        right.append((start[:, None] + b).ravel())
+    e = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (e, e)
 
 
 class Parts:
@@ -181,44 +204,82 @@ def _describe(rows: DataFrame, n: int) -> DataFrame:
                     f[i] = mix(x).sum(), np.bitwise_xor.reduce(mix(x * _TAG))
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), *(pa.array(c.view(np.int64)) for c in np.ascontiguousarray(f.T))], [ROW, "n", "f", "g"])
 
-    return rows.select(ROW, "_text").mapInArrow(run, f"{ROW} long, n long, f long, g long")
+    return rows.select(ROW, "_text").mapInArrow(tidy(run), f"{ROW} long, n long, f long, g long")
 
 
-def _families(reps: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """(a, b): representatives that share a signature, each with the smallest that does."""
+def _families(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """(a, b): pairs of rows that share as many signatures as linked sets of their sizes do at
+    least. Where more than ``ALL_PAIRS`` share one, each is paired with the smallest instead."""
 
     def send(batches):
         bands = Bands(percent)
         for ids, texts in chunks(batches):
             order = np.argsort(np.asarray(ids))
             own, sets = np.asarray(ids)[order], token_sets(texts.take(pa.array(order)).to_pylist(), n)
-            signs = [bands.signatures(x) if len(x) else x for x in sets]
-            sign, row = np.concatenate(signs), np.repeat(own, [len(x) for x in signs])
-            sign, first, place = np.unique(sign, return_index=True, return_inverse=True)
-            hub = row[first][place]  # the chunk's smallest row for each signature; the others hang on it
-            pairs = np.unique(np.stack([row, hub], axis=1)[row != hub], axis=0)
-            out = [(b, planes(sign[at]), planes(row[first][at]), b"", b"") for b, at in by_bucket(sign, buckets)]
+            code = [(len(x), int(mix(x).sum())) for x in sets]  # of equal sets in a chunk the first speaks for all
+            seen: set = set()
+            once = [not (c in seen or seen.add(c)) for c in code]
+            own, sets = own[np.array(once, bool)], [x for x, new in zip(sets, once, strict=True) if new]
+            signs, facts = zip(*(bands.signatures(x) if len(x) else (x, np.zeros(0, np.int64)) for x in sets), strict=True)
+            sizes = [len(x) for x in signs]
+            sign, fact, row = np.concatenate(signs), np.concatenate(facts), np.repeat(own, sizes)
+            size = np.repeat(np.fromiter(map(len, sets), np.int64, len(sets)), sizes)
+            _, first, place, times = np.unique(sign, return_index=True, return_inverse=True, return_counts=True)
+            hot = times[place] > ALL_PAIRS  # the others hang on the chunk's smallest row
+            hub = row[first][place]
+            pairs = np.unique(np.stack([row, hub], axis=1)[hot & (row != hub)], axis=0)
+            go = np.flatnonzero(~hot | (row == hub))
+            sign, fact, row, size = sign[go], fact[go], row[go], size[go]
+            out = [(b, planes(sign[at]), planes(row[at]), planes(size[at]), planes(fact[at]), b"", b"") for b, at in by_bucket(sign, buckets)]
             if len(pairs):
-                out.append((int(own[0] % buckets), None, None, planes(pairs[:, 0].copy()), planes(pairs[:, 1].copy())))
+                out.append((int(own[0] % buckets), None, None, None, None, planes(pairs[:, 0].copy()), planes(pairs[:, 1].copy())))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], list("bsrxy"))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], list("bsrnfxy"))
 
     def meet(table: pa.Table) -> pa.Table:
-        some = [unplanes(x, np.uint64) for x in table["s"].to_pylist() if x]
-        a, b = ([unplanes(x, np.int64) for x in table[c].to_pylist() if x] for c in "xy")
-        if some:
-            sign, row = np.concatenate(some), np.concatenate([unplanes(x, np.int64) for x in table["r"].to_pylist() if x])
-            order = np.argsort(sign)
-            sign, row = sign[order], row[order]
+        bands = Bands(percent)
+        read = lambda c, kind=np.int64: [unplanes(x, kind) for x in table[c].to_pylist() if x]
+        out = [np.stack([np.concatenate([*a, []]) for a in (read("x"), read("y"))], axis=1).astype(np.int64)]
+        sure = [np.ones(len(out[0]), bool)]
+        least = [np.zeros(len(out[0]), np.int64)]
+        if signs := read("s", np.uint64):
+            sign, row, size, fact = np.concatenate(signs), *(np.concatenate(read(c)) for c in "rnf")
+            order = np.lexsort((row, sign))
+            sign, row, size, fact = sign[order], row[order], size[order], fact[order]
             first = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]])
-            hub = np.repeat(np.minimum.reduceat(row, first), np.diff(np.r_[first, len(row)]))
-            a.append(row[row != hub])
-            b.append(hub[row != hub])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    sent = reps.select(ROW, "_text").mapInArrow(send, "b int, s binary, r binary, x binary, y binary")
-    return sent.groupBy("b").applyInArrow(meet, "a long, b long")
+            times = np.diff(np.r_[first, len(sign)])
+            big = np.flatnonzero(np.repeat(times > ALL_PAIRS, times))
+            hub = np.repeat(row[first], times)[big]
+            out.append(np.stack([hub, row[big]], axis=1))
+            sure.append(np.ones(len(big), bool))
+            least.append(np.zeros(len(big), np.int64))
+            some = (times > 1) & (times <= ALL_PAIRS)
+            a, b = pairs_within(first[some], times[some])
+            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            own = np.searchsorted(bands.starts, small, "right") - 1
+            token = fact[a] < 0
+            ok = (100 * small >= percent * large) & (token | (fact[a] >> 16 == own)) & (row[a] != row[b])
+            a, b, small, large, own, token = (x[ok] for x in (a, b, small, large, own, token))
+            out.append(np.stack([row[a], row[b]], axis=1))
+            sure.append(token)
+            least.append(bands.least_shared(small, large, own, np.minimum(fact[a] & 65535, fact[b] & 65535)))
+        pairs, sure, least = np.concatenate(out), np.concatenate(sure), np.concatenate(least)
+        pairs = np.sort(pairs, axis=1)
+        keep = np.flatnonzero(pairs[:, 0] < pairs[:, 1])
+        pairs, sure, least = pairs[keep], sure[keep], least[keep]
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs, sure, least = pairs[order], sure[order], least[order]
+        first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]) if len(pairs) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[first, len(pairs)])
+        if len(first):
+            sure, least = np.maximum.reduceat(sure, first), np.maximum.reduceat(least, first)
+        pairs = pairs[first]
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "k": counts, "least": least, "sure": sure})
+
+    sent = rows.select(ROW, "_text").mapInArrow(tidy(send), "b int, s binary, r binary, n binary, f binary, x binary, y binary")
+    met = sent.groupBy("b").applyInArrow(meet, "a long, b long, k long, least long, sure boolean")
+    found = met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("least").alias("least"), F.max("sure").alias("sure"))
+    return found.where("sure or k >= least").select("a", "b")
 
 
 def _load(rows: DataFrame, n: int) -> DataFrame:
@@ -229,7 +290,7 @@ def _load(rows: DataFrame, n: int) -> DataFrame:
             sets = token_sets(texts.to_pylist(), n)
             yield pa.RecordBatch.from_arrays([ids, blocks, queries, bins, pa.array([planes(x) for x in sets], pa.binary())], [ROW, "block", "query", "bin", "tokens"])
 
-    return rows.select(ROW, "_text", "block", "query", "bin").mapInArrow(run, f"{ROW} long, block long, query boolean, bin long, tokens binary")
+    return rows.select(ROW, "_text", "block", "query", "bin").mapInArrow(tidy(run), f"{ROW} long, block long, query boolean, bin long, tokens binary")
 
 
 def _links(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -251,11 +312,18 @@ def _links(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return _load(rows, n).groupBy("bin").applyInArrow(settle, "a long, b long")
 
 
-def linked(reps: DataFrame, n: int, percent: int, total_bytes: int) -> DataFrame | None:
-    """(v, label) for the representatives that are linked with others; None if there are none."""
+def linked(reps: DataFrame, member: DataFrame, n: int, percent: int, total_bytes: int) -> DataFrame | None:
+    """(v, label) for the representatives that are linked with others; None if there are none.
+
+    ``reps``: all rows with their text, of which those of the table ``member`` (row, rep) that represent a
+    class are asked for.
+    """
     spark = reps.sparkSession
     buckets = max(partitions(spark), total_bytes // BUCKET_BYTES + 1)
-    pairs = written(_families(reps, n, percent, buckets), "family-pairs")
+    pairs = _families(reps, n, percent, buckets)
+    for c in "ab":
+        pairs = pairs.join(member.select(F.col(ROW).alias(c), F.col("rep").alias(f"_{c}")), c)
+    pairs = written(pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct(), "family-pairs")
     release(spark)
     if pairs.isEmpty():
         return None
@@ -272,8 +340,8 @@ def linked(reps: DataFrame, n: int, percent: int, total_bytes: int) -> DataFrame
                 low = [int(x[0] >> np.uint64(2)) if len(x) else 0 for x in token_sets(texts.to_pylist(), n)]
                 yield pa.RecordBatch.from_arrays([ids, *rest, pa.array(low, pa.int64())], [ROW, "label", "m", "low"])
 
-        big = reps.join(large.withColumnRenamed("v", ROW), ROW).select(ROW, "_text", "label", "m")
-        big = written(big.mapInArrow(least, f"{ROW} long, label long, m long, low long"), "large-families")
+        big = with_text(reps, large.withColumnRenamed("v", ROW)).select(ROW, "_text", "label", "m")
+        big = written(big.mapInArrow(tidy(least), f"{ROW} long, label long, m long, low long"), "large-families")
         part = F.pmod(F.xxhash64("low"), F.ceil(F.col("m") / (BLOCK // 2)))
         big = big.withColumn("part", part)
         full = big.groupBy("label", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
@@ -283,7 +351,7 @@ def linked(reps: DataFrame, n: int, percent: int, total_bytes: int) -> DataFrame
     else:
         blocks = written(small, "blocks")
     binned = blocks.withColumn("query", F.lit(False)).withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(buckets)))
-    links = written(_links(reps.join(binned, ROW), n, percent), "links")
+    links = written(_links(with_text(reps, binned), n, percent), "links")
     release(spark)
     if any_large:
         links = _across(reps, big, links, n, percent, buckets)
@@ -302,7 +370,7 @@ def _across(reps: DataFrame, big: DataFrame, links: DataFrame, n: int, percent:
     counts = leaders.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / LEADERS).alias("cuts"))
     leaders = leaders.join(counts, "label").withColumn("block", F.xxhash64("label", F.pmod(F.xxhash64(ROW), "cuts")))
     leaders = written(leaders.select(ROW, "block", F.lit(False).alias("query"), F.pmod(F.xxhash64("block"), F.lit(buckets)).alias("bin")), "leaders")
-    links = written(links.unionByName(_links(reps.join(leaders, ROW), n, percent)), "links")
+    links = written(links.unionByName(_links(with_text(reps, leaders), n, percent)), "links")
     now = labelled(links)
     # the largest part of each family needs no search; what is apart from it does, in every block
     sizes = now.groupBy("label", "at").agg(F.count(F.lit(1)).alias("k"))
@@ -317,7 +385,7 @@ def _across(reps: DataFrame, big: DataFrame, links: DataFrame, n: int, percent:
     members = apart.select(ROW, "label", "block").join(cuts, "label").select(ROW, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("part"), F.lit(False).alias("query"))
     every = to.unionByName(members).groupBy(ROW, "block", "part").agg(F.max("query").alias("query"))
     every = every.select(ROW, F.xxhash64("block", "part").alias("block"), "query").withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(4 * buckets)))
-    return written(links.unionByName(_links(reps.join(written(every, "searches"), ROW), n, percent)), "links")
+    return written(links.unionByName(_links(with_text(reps, written(every, "searches")), n, percent)), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -333,8 +401,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     described = written(_describe(rows, shingle), "sets")
     classes = described.groupBy("n", "f", "g").agg(F.min(ROW).alias("rep")).where("n > 0")
     member = written(described.join(classes, ["n", "f", "g"], "left").select(ROW, "n", F.coalesce("rep", ROW).alias("rep")), "classes")
-    reps = rows.join(member.where(f"{ROW} = rep and n > 0").select(ROW), ROW).select(ROW, "_text")
-    found = linked(reps, shingle, percent, text_bytes(rows))
+    found = linked(rows.select(ROW, "_text"), member.select(ROW, "rep"), shingle, percent, text_bytes(rows))
     if found is not None:
         member = member.join(found.select(F.col("v").alias("rep"), "label"), "rep", "left")
     else:

@@ -50,6 +50,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("block", [512, 6])
 def test_equals_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ALL_PAIRS", block // 3)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "LEADERS", 4 * block)
     texts = corpus(block)
@@ -73,16 +74,26 @@ def test_a_large_family_is_whole(spark, monkeypatch):
     assert [(r.n_shingles, r.component_id) for r in out] == brute(texts)
 
 
-def test_linked_sets_share_a_signature():
+def test_linked_sets_share_enough_signatures():
     rng, bands = random.Random(5), Bands(85)
     gen = np.random.default_rng(5)
-    for _ in range(3000):
-        n = rng.choice([1, 2, 6, 7, 8, 12, 20, 40, 100])
+    for _ in range(4000):
+        n = rng.choice([1, 2, 6, 7, 8, 12, 20, 40, 100, 300])
         a = gen.integers(0, 2**64, n, np.uint64)
         drop, add = rng.randint(0, n // 6), rng.randint(0, n // 6)
         b = np.r_[a[drop:], gen.integers(0, 2**64, add, np.uint64)]
         if len(b) and 100 * (n - drop) >= 85 * (n + add):
-            assert np.isin(bands.signatures(np.sort(a)), bands.signatures(np.sort(b))).any()
+            (sa, fa), (sb, fb) = bands.signatures(np.sort(a)), bands.signatures(np.sort(b))
+            both, ia, ib = np.intersect1d(sa, sb, return_indices=True)
+            small, large = sorted((len(a), len(b)))
+            band = bands.of(small)
+            if (fa[ia] < 0).any():
+                continue
+            mine = fa[ia] >> 16 == band
+            assert mine.any()
+            empty = np.minimum(fa[ia][mine] & 65535, fb[ib][mine] & 65535)
+            least = bands.least_shared(np.array([small]), np.array([large]), np.array([band]), empty[:1])
+            assert mine.sum() >= least[0]
 
 
 def test_block_links_equal_brute_force():
