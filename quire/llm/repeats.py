@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, partitions, written
+from .common import ROW, partitions, tidy, with_text, written
 from .piece_tokenizer import bounded
 
 #: Text bytes per bucket, on average.
 BUCKET_BYTES = 8_000_000
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -100,7 +100,7 @@ def shared_keys(rows: DataFrame, distinct_keys, buckets: int) -> DataFrame:
         at = at[np.argsort(own[at], kind="stable")]
         return pa.Table.from_batches([lists(own[at], keys[at])])
 
-    sent = rows.select(ROW, "_text").mapInArrow(send, "b int, k binary, r binary, s binary")
+    sent = rows.select(ROW, "_text").mapInArrow(tidy(send), "b int, k binary, r binary, s binary")
     met = sent.groupBy("b").applyInArrow(meet, f"{ROW} long, v0 array<long>")
     return met.groupBy(ROW).agg(F.flatten(F.collect_list("v0")).alias("_keys"))
 
@@ -175,13 +175,11 @@ def removals(rows: DataFrame, scheme, total_bytes: int) -> DataFrame:
         order = np.argsort(row, kind="stable")
         return pa.Table.from_batches([lists(row[order], lo[order], hi[order])])
 
-    met = rows.select(ROW, "_text").join(shared, ROW).select(ROW, "_text", "_keys")
-    sent = met.mapInArrow(send, "b int, w binary, r binary, l binary, h binary")
+    met = with_text(rows.select(ROW, "_text"), shared).select(ROW, "_text", "_keys")
+    sent = met.mapInArrow(tidy(send), "b int, w binary, r binary, l binary, h binary")
     found = sent.groupBy("b").applyInArrow(settle, f"{ROW} long, v0 array<long>, v1 array<long>")
     out = found.groupBy(ROW).agg(F.flatten(F.collect_list("v0")).alias("_from"), F.flatten(F.collect_list("v1")).alias("_to"))
-    out = written(out, "removals")
-    release(spark)
-    return out
+    return written(out, "removals")
 
 
 def text_bytes(rows: DataFrame) -> int:

@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, WordHash, keyed, mix, pair, raw_text
-from .repeats import chunks, first_windows, merged, planes, removals, spans_of, text_bytes, unplanes
+from .common import HASHES, ROW, keyed, mix, pair, raw_text, tidy, with_all_texts
+from .repeats import chunks, first_windows, merged, planes, release, removals, spans_of, text_bytes, unplanes
 
 ROUNDS = 2
 FAR = np.int64(1 << 60)
-_HASHES = WordHash()
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TAG = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -80,7 +79,7 @@ class Scheme:
         parts, width = [t.split() for t in texts], self.width
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         n = int(size.sum())
-        words = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(parts)), np.uint64, n)
+        words = np.fromiter(map(HASHES.__getitem__, chain.from_iterable(parts)), np.uint64, n)
         begin = np.cumsum(size) - size
         doc = np.repeat(np.arange(len(parts)), size)
         number = np.maximum(size - width + 1, 0)
@@ -176,6 +175,7 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body")), "_id")
     rows = rows.select(ROW, "_id", raw_text("_body").alias("_text"))
     gone = removals(rows, Scheme(width), text_bytes(rows))
+    release(docs.sparkSession)
     kind = dict(rows.dtypes)["_id"]
 
     def apply(batches):
@@ -194,6 +194,6 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))], list("inrskx"))
 
-    met = rows.join(gone, ROW, "left").select(ROW, "_text", "_id", "_from", "_to")
-    out = met.mapInArrow(apply, f"i {kind}, n long, r long, s array<struct<lo:long,hi:long>>, k string, x string")
+    met = with_all_texts(rows, gone).select(ROW, "_text", "_id", "_from", "_to")
+    out = met.mapInArrow(tidy(apply), f"i {kind}, n long, r long, s array<struct<lo:long,hi:long>>, k string, x string")
     return out.toDF(id_col, "n_words", "n_removed", "spans", "kept", "kept_sha256")
