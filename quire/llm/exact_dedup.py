@@ -25,13 +25,18 @@ def normalised(text: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ").cast("binary")
 
 
+def block_key(block: str):
+    """The key that brings equal blocks together; different blocks may share one."""
+    return F.xxhash64(block)
+
+
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     """One row per block. Binary substrings are cut at an offset, so long texts cost linear time."""
     n = F.greatest(F.lit(1), F.ceil(F.length("_norm") / F.lit(size))).cast("int")
     cut = rows.select(ROW, "_norm", n.alias("_m"))
     cut = cut.select(ROW, "_norm", "_m", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_i"))
     block = F.expr(f"substring(_norm, _i * {size} + 1, {size})")
-    return cut.select(ROW, "_m", "_i", block.alias("_block")).withColumn("_h", F.xxhash64("_block"))
+    return cut.select(ROW, "_m", "_i", block.alias("_block")).withColumn("_h", block_key("_block"))
 
 
 def _name_blocks(rows: DataFrame, size: int) -> DataFrame:
