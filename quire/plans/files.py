@@ -24,9 +24,9 @@ def document_runs(t):
     return lines.select("doc_id", F.md5(F.array_join(F.transform("r", lambda x: x["text"]), "\n")).alias("digest"))
 
 
-@query("SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page_index, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) > 0), chr(10)) AS text FROM conversations WHERE turn = 0")
+@query(f"SELECT conv_id * 1000 + turn AS doc_id, CAST(0 AS INTEGER) AS page_index, array_to_string({_LINES}, chr(10)) AS text FROM conversations WHERE len({_LINES}) > 0")
 def document_page_text(t):
-    texts = t.conversations.where("turn = 0").select(F.col("conv_id").alias("doc_id"), "text")
+    texts = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     return A.page_texts(R.run_table(R.text_files(texts, per_page=100_000))).select("doc_id", "page_index", "text")
 
 

@@ -94,13 +94,13 @@ def layout_offsets(t):
 
 
 @query(
-    f"""WITH {_FRAMES}, q AS (SELECT s_suppkey, doc_id, CAST(s_suppkey * 97 % 6000 - 40 AS DOUBLE) AS y FROM supplier, (SELECT DISTINCT doc_id FROM f) d WHERE s_suppkey % 3 = doc_id % 3)
+    f"""WITH {_FRAMES}, q AS (SELECT s_suppkey, s_suppkey % 10 AS doc_id, CAST(s_suppkey * 97 % 6000 - 40 AS DOUBLE) AS y FROM supplier)
         SELECT q.doc_id, q.s_suppkey AS id, q.y, coalesce(min(CASE WHEN f.y + f.h >= q.y THEN f.page_index END), max(f.page_index)) AS page_index FROM q JOIN f ON f.doc_id = q.doc_id GROUP BY ALL"""
 )
 def y_to_page(t):
     frames = Y.page_frames(sized_pages(t))
-    docs = frames.select("doc_id").distinct().withColumn("k", F.col("doc_id") % 3)
-    points = t.supplier.select((F.col("s_suppkey") % 3).alias("k"), F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 97 % 6000 - 40).cast("double").alias("y")).join(docs, "k").drop("k")
+    k = F.col("s_suppkey")
+    points = t.supplier.select((k % 10).alias("doc_id"), k.alias("id"), (k * 97 % 6000 - 40).cast("double").alias("y"))
     return Y.page_at_y(points, frames)
 
 
