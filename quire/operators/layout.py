@@ -119,3 +119,22 @@ def keep_desired(buffer: DataFrame, wanted: DataFrame, always: DataFrame | None
     """The requests whose key is wanted or always kept."""
     keep = wanted.select("key") if always is None else wanted.select("key").unionByName(always.select("key"))
     return buffer.join(keep.distinct(), "key", "left_semi")
+
+
+def capture(y: Column, frame_y: Column, frame_h: Column) -> Column:
+    """The place on a page, 0 to 1, that a content y shows."""
+    return F.least(F.greatest((y - frame_y) / frame_h, F.lit(0.0)), F.lit(1.0))
+
+
+def restore(offset: Column, frame_y: Column, frame_h: Column) -> Column:
+    return frame_y + offset * frame_h
+
+
+def fit_width(view: Column, widest: Column) -> Column:
+    """The scale at which the widest page with its insets fills a view."""
+    return view / (widest + 2 * INSET)
+
+
+def centred(target_lo: Column, target_hi: Column, view: Column, content: Column) -> Column:
+    """Where to scroll so that a target stands in the middle of the view, within the content."""
+    return F.least(F.greatest((target_lo + target_hi) / 2 - view / 2, F.lit(0.0)), F.greatest(content - view, F.lit(0.0)))
