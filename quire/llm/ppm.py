@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, keyed, raw_text, worker_memo, written
+from .common import ROW, keyed, raw_text, tidy, worker_memo, written
 from .piece_tokenizer import bounded
 
 ORDER = 6
 ENTRIES = 1_000_000
-HEAD = 1 << 18
+HEAD = 1 << 17
 CLASSES = 8
 SPACE = 32
 
@@ -85,11 +85,9 @@ class Trie:
                 to.append(x)
         return out
 
-    def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability, with the space that ends it. The empty word ends a text."""
-        flat, depth, owner = framed(words)
-        at = np.flatnonzero(depth > 0)
-        depth, owner = depth[at], owner[at]
+    def scores(self, code: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each code's last byte after the ``depth`` bytes before it."""
+        at = code
         logp = np.zeros(len(at))
         # of the suffix that is next: totals without the bytes of the longer context; -1 before the first known one
         rest_t, rest_q = np.full(len(at), -1.0), np.full(len(at), -1.0)
@@ -98,7 +96,7 @@ class Trie:
             go = np.flatnonzero(open_ & (depth >= k))
             if not len(go) or not len(self.keys[k]):
                 continue
-            key = grams(flat, at[go], k)
+            key = code[go] & ((1 << (8 * (k + 1))) - 1) | (k << (8 * (k + 1)))
             c = np.minimum(np.searchsorted(self.contexts[k], key >> 8), len(self.contexts[k]) - 1)
             there = self.contexts[k][c] == key >> 8
             go, key, c = go[there], key[there], c[there]
@@ -116,7 +114,19 @@ class Trie:
             rest_t[go[~hit]], rest_q[go[~hit]] = self.total_rest[k][c[~hit]], self.distinct_rest[k][c[~hit]]
         known = len(self.keys[0])
         logp[open_] -= np.log10(256 - known)
-        return np.bincount(owner, logp, len(words))
+        return logp
+
+
+def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, depth, word number) of every byte of all framed words: the code holds the byte and the up to
+    ``ORDER`` bytes before it in its word."""
+    flat, depth, owner = framed(words)
+    at = np.flatnonzero(depth > 0)
+    depth = np.minimum(depth[at], ORDER)
+    code = flat[at].astype(np.int64)
+    for back in range(1, ORDER + 1):
+        code |= np.where(depth >= back, flat[np.maximum(at - back, 0)].astype(np.int64) << (8 * back), 0)
+    return code, depth, owner[at]
 
 
 @dataclass
@@ -130,8 +140,18 @@ class Model:
     name: str
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """A row for each word with its log10 probability in each class."""
-        return np.stack([t.word_scores(words) for t in self.tries], axis=1)
+        """A row for each word with its log10 probability in each class, with the space that ends it. The
+        empty word ends a text. Each distinct context and byte is looked up once."""
+        code, depth, owner = windows(words)
+        code, place = np.unique(code | (depth << 56), return_inverse=True)
+        code, depth = code & ((1 << 56) - 1), code >> 56
+        return np.stack([np.bincount(owner, t.scores(code, depth)[place], len(words)) for t in self.tries], axis=1)
+
+    def word_rows(self, words: list[bytes]) -> bytes:
+        """For each word its scores, its term of the baseline and 1 for a word of the head, as doubles."""
+        known = np.fromiter((self.head.get(w, -1) for w in words), np.float64, len(words))
+        base = np.where(known >= 0, self.base(np.maximum(known, 0)), 0.0)
+        return np.ascontiguousarray(np.c_[self.word_scores(words), base, known >= 0]).tobytes()
 
     def mixed(self, scores: np.ndarray) -> np.ndarray:
         """log10 of the mixture, for rows of log10 probabilities by class."""
@@ -139,8 +159,8 @@ class Model:
         top = x.max(axis=1)
         return top + np.log10((10.0 ** (x - top[:, None])).sum(axis=1))
 
-    def base(self, count: float) -> float:
-        return float(np.log10((count + 0.1) / (self.tokens + 0.1 * (self.types + 1))))
+    def base(self, count):
+        return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -152,7 +172,7 @@ def count_words(docs: DataFrame, text_col: str = "text", class_col: str | None =
 
     def run(batches):
         for batch in batches:
-            for lo, hi in bounded(batch.column(1), 32_000_000):
+            for lo, hi in bounded(batch.column(1), 16_000_000):
                 counts: dict[int, Counter] = defaultdict(Counter)
                 for c, x in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
                     counts[c].update(x.lower().split())
@@ -160,7 +180,7 @@ def count_words(docs: DataFrame, text_col: str = "text", class_col: str | None =
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), c), pa.int32()), pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], ["c", "word", "n"])
 
     cls = F.col(class_col) if class_col else F.lit(0)
-    counted = docs.select(cls.alias("_c"), raw_text(text_col).alias("_text")).mapInArrow(run, "c int, word binary, n long")
+    counted = docs.select(cls.alias("_c"), raw_text(text_col).alias("_text")).mapInArrow(tidy(run), "c int, word binary, n long")
     return counted.groupBy("c", "word").agg(F.sum("n").alias("n"))
 
 
@@ -184,7 +204,7 @@ def count_grams(words: DataFrame, ends: dict[int, int]) -> DataFrame:
                             same = [pa.array(np.full(len(keys), x), pa.int32()) for x in (c, k)]
                             yield pa.RecordBatch.from_arrays([*same, pa.array(keys), pa.array(n)], ["c", "k", "key", "n"])
 
-    found = words.select("c", "word", "n").mapInArrow(run, "c int, k int, key long, n long")
+    found = words.select("c", "word", "n").mapInArrow(tidy(run), "c int, k int, key long, n long")
     end = [(c, k, (k << (8 * (k + 1))) | (0x2020 & ((1 << (8 * (k + 1))) - 1)), n) for c, n in ends.items() for k in (0, 1)]
     if end:  # a row for each class
         found = found.unionByName(words.sparkSession.createDataFrame(end, "c int, k int, key long, n long"))
@@ -222,7 +242,7 @@ def fit(training: DataFrame, text_col: str = "text", class_col: str | None = Non
     return Model(tries, shares, (total or 0) + all_ends, types + (all_ends > 0), all_ends, head_counts, uuid.uuid4().hex), words
 
 
-def score_texts(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", memo: int = 250_000) -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", memo: int = 100_000) -> DataFrame:
     """(``id_col``, n_tokens, n_known, base_score, score), one row per input row.
 
     An empty or null text is one end token. Repeated rows and null ids are scored each; an empty table
@@ -233,41 +253,42 @@ def score_texts(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "
 
     def run(batches):
         m = shared.value
-        known, cache = m.head, worker_memo(("ppm", m.name), memo)
-        base = {w: m.base(c) for w, c in known.items()}
-        end_base, end_score = m.base(m.ends), m.word_scores([b""])[0]
-        width = 8 * len(m.tries)
+        cache, classes = worker_memo(("ppm", m.name), memo), len(m.tries)
+        width = 8 * (classes + 2)
+        end = np.r_[m.word_scores([b""])[0], m.base(m.ends), float(m.ends > 0)]
 
         def learn(new):
-            flat = m.word_scores(new).tobytes()
-            return {w: flat[k * width : (k + 1) * width] for k, w in enumerate(new)}
+            out = {}
+            for lo in range(0, len(new), 40_000):
+                some = new[lo : lo + 40_000]
+                flat = m.word_rows(some)
+                out.update((w, flat[k * width : (k + 1) * width]) for k, w in enumerate(some))
+            return out
 
         tail_type = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
         for batch in batches:
-            for lo, hi in bounded(batch.column(1)):
+            for lo, hi in bounded(batch.column(1), 8_000_000):
                 parts = [x.lower().split() for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 own: set[bytes] = set()
                 for p in parts:
                     own.update(p)
-                get, get_base = cache.prepare(own, learn).__getitem__, base.get
-                out = []
-                for p in parts:
-                    rare = Counter(w for w in p if w not in known)
-                    out.append(
-                        (
-                            len(p) + 1,
-                            len(p) - rare.total() + (m.ends > 0),
-                            sum(get_base(w, 0.0) for w in p) + end_base,
-                            np.frombuffer(b"".join(map(get, p))).reshape(-1, len(m.tries)).sum(axis=0) + end_score,
-                            [{"w": w, "n": n} for w, n in rare.items()],
-                        )
-                    )
-                t, k, b, s, tails = zip(*out, strict=True)
-                out = (t, k, b, m.mixed(np.stack(s)), tails)
-                columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type), strict=True)]
+                get = cache.prepare(own, learn).__getitem__
+                sums, tails = np.empty((len(parts), classes + 2)), []
+                for k, p in enumerate(parts):
+                    table = np.frombuffer(b"".join(map(get, p))).reshape(-1, classes + 2)
+                    sums[k] = table.sum(axis=0) + end
+                    rare = Counter(p[i] for i in np.flatnonzero(table[:, -1] == 0).tolist())
+                    tails.append([{"w": w, "n": n} for w, n in rare.items()])
+                columns = [
+                    pa.array([len(p) + 1 for p in parts], pa.int64()),
+                    pa.array(sums[:, -1].astype(np.int64)),
+                    pa.array(sums[:, -2].copy()),
+                    pa.array(m.mixed(sums[:, :classes])),
+                    pa.array(tails, tail_type),
+                ]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], [ROW, "t", "k", "b", "s", "tail"])
 
-    first = rows.select(ROW, raw_text("_body").alias("_text")).mapInArrow(run, f"{ROW} long, t long, k long, b double, s double, tail array<struct<w:binary,n:long>>")
+    first = rows.select(ROW, raw_text("_body").alias("_text")).mapInArrow(tidy(run), f"{ROW} long, t long, k long, b double, s double, tail array<struct<w:binary,n:long>>")
     first = written(first, "scores")
     rare = first.select(ROW, F.explode("tail").alias("x")).select(ROW, F.col("x.w").alias("word"), F.col("x.n").alias("_n")).join(words, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
