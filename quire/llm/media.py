@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text
+from .common import raw_text, tidy
 from .piece_tokenizer import bounded
 
 UNIT = 576
@@ -271,7 +271,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 media = [write(x) for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(media, pa.binary())], ["_id", "_media"])
 
-    return docs.select(F.col(id_col).alias("_id"), raw_text(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _media binary").toDF(id_col, "media")
+    return docs.select(F.col(id_col).alias("_id"), raw_text(text_col).alias("_text")).mapInArrow(tidy(run), f"_id {kind}, _media binary").toDF(id_col, "media")
 
 
 INFO = (
@@ -320,7 +320,7 @@ def parse_media(frame: DataFrame, id_col: str = "doc_id", media_col: str = "medi
                     x["frame_offsets"] = x["frame_offsets"].tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(infos, _INFO)], ["_id", "_info"])
 
-    return frame.select(F.col(id_col).alias("_id"), F.col(media_col).alias("_m")).mapInArrow(run, f"_id {kind}, _info struct<{_struct(INFO)}>").toDF(id_col, "info")
+    return frame.select(F.col(id_col).alias("_id"), F.col(media_col).alias("_m")).mapInArrow(tidy(run), f"_id {kind}, _info struct<{_struct(INFO)}>").toDF(id_col, "info")
 
 
 def _struct(columns: str) -> str:
@@ -359,5 +359,5 @@ def media_digests(stored: DataFrame, id_col: str = "doc_id", media_col: str = "m
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], list("iabcdefg"))
 
-    out = stored.select(F.col(id_col).alias("_id"), F.col(media_col).alias("_m")).mapInArrow(run, f"i {kind}, a long, b long, c string, d long, e long, f string, g string")
+    out = stored.select(F.col(id_col).alias("_id"), F.col(media_col).alias("_m")).mapInArrow(tidy(run), f"i {kind}, a long, b long, c string, d long, e long, f string, g string")
     return out.toDF(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

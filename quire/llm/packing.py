@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, keyed, raw_text, worker_made, worker_memo, written
+from .common import ROW, keyed, raw_text, tidy, worker_made, worker_memo, written
 from .piece_tokenizer import bounded
 
 #: Pieces a shard packs at most on average. A shard is one task's memory.
@@ -51,7 +51,7 @@ class WordCache:
 
     MARK = "\x02"
 
-    def __init__(self, spec: str, limit: int = 300_000):
+    def __init__(self, spec: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -128,7 +128,7 @@ def cut_pieces(rows: DataFrame, spec: str, end_id: int, window: int) -> DataFram
                     out += [(row, k, min(window, n - k), zlib.crc32(flat[4 * k : 4 * (k + window)]), n) for k in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], [ROW, "start", "length", "ids_crc32", "doc_tokens"])
 
-    return rows.select(ROW, "_text").mapInArrow(run, f"{ROW} long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.select(ROW, "_text").mapInArrow(tidy(run), f"{ROW} long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class OpenWindows:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, worker_made, worker_memo
+from .common import raw_text, tidy, worker_made, worker_memo
 
 SPACE = "▁"
 #: Pairs at or beyond this rank are runs of spaces, all of one score: the leftmost goes first.
@@ -221,7 +221,7 @@ class _Encoder:
         return np.cumsum([0, *(len(r) // 4 for r in rows)]), b"".join(rows)
 
 
-def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", memo: int = 250_000) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", memo: int = 200_000) -> DataFrame:
     """(``id_col``, ``ids_col`` array<int>): each text as the sentencepiece library encodes it, without
     begin and end ids or sampling. Rows are independent: repeated rows and null ids pass through; null
     texts count as empty and give an empty array. Only the two columns are read."""
@@ -239,7 +239,7 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], ["_id", "_ids"])
 
-    return rows.mapInArrow(run, f"_id {kind}, _ids array<int>").toDF(id_col, ids_col)
+    return rows.mapInArrow(tidy(run), f"_id {kind}, _ids array<int>").toDF(id_col, ids_col)
 
 
 def bounded(column: pa.Array, most: int = 8_000_000):
@@ -263,7 +263,7 @@ def decode_pieces(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_
             texts = [str(table.decode(x or []), "utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_id", "_text"])
 
-    return encoded.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids")).mapInArrow(run, f"_id {kind}, _text string").toDF(id_col, text_col)
+    return encoded.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids")).mapInArrow(tidy(run), f"_id {kind}, _text string").toDF(id_col, text_col)
 
 
 def piece_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,5 +288,5 @@ def piece_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
                 ["_id", "n", "i", "d"],
             )
 
-    out = ids.mapInArrow(run, f"_id {kind}, n long, i string, d string")
+    out = ids.mapInArrow(tidy(run), f"_id {kind}, n long, i string, d string")
     return out.toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, keyed, raw_text
-from .repeats import chunks, first_windows, merged, planes, removals, spans_of, text_bytes, unplanes
+from .common import ROW, keyed, raw_text, tidy, with_all_texts
+from .repeats import chunks, first_windows, merged, planes, release, removals, spans_of, text_bytes, unplanes
 
 TILE = 1 << 17
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, np.uint64)  # names of single bytes
@@ -212,6 +212,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body")), "_id")
     rows = rows.select(ROW, "_id", raw_text("_body").alias("_text"))
     gone = removals(rows, Scheme(width), text_bytes(rows))
+    release(docs.sparkSession)
     kind = dict(rows.dtypes)["_id"]
 
     def apply(batches):
@@ -228,6 +229,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))], ["i", *"nrskhx"[:6]])
 
-    met = rows.join(gone, ROW, "left").select(ROW, "_text", "_id", "_from", "_to")
-    out = met.mapInArrow(apply, f"i {kind}, n long, r long, s long, k array<struct<lo:long,hi:long>>, h binary, x string")
+    met = with_all_texts(rows, gone).select(ROW, "_text", "_id", "_from", "_to")
+    out = met.mapInArrow(tidy(apply), f"i {kind}, n long, r long, s long, k array<struct<lo:long,hi:long>>, h binary, x string")
     return out.toDF(id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, written
+from .common import raw_text, tidy, written
 
 SAMPLE = 20_000
 MOST_FEATURES = 20_000
@@ -145,7 +145,7 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit, self.memo = model, limit, {}
 
     def stats(self, text: bytes) -> tuple[float, float, float]:
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = dict(rows.dtypes)["_id"]
     seen, once = set(), []
-    for r in sorted(rows.select("_id", "_text").mapInArrow(sign, f"_id {kind}, _s array<long>").collect(), key=lambda r: r._id):
+    for r in sorted(rows.select("_id", "_text").mapInArrow(tidy(sign), f"_id {kind}, _s array<long>").collect(), key=lambda r: r._id):
         if not any((k, s) in seen for k, s in enumerate(r._s)):
             once.append((r._id,))
         seen.update(enumerate(r._s))
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for k in range(0, len(items := list(counts.items())), 50_000):
             yield _emit(items[k : k + 50_000], [("w", pa.string()), ("n", pa.int64())])
 
-    words = rows.select("_text").mapInArrow(count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    words = rows.select("_text").mapInArrow(tidy(count_words), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     chars = CharModel.of({r.w: r.n for r in words.orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()})
     shared = spark.sparkContext.broadcast(chars)
 
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for k in range(0, len(items), 50_000):
             yield _emit(items[k : k + 50_000], [("f", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())])
 
-    found = rows.where("not _part").select("_text", "_y").mapInArrow(count_features, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = rows.where("not _part").select("_text", "_y").mapInArrow(tidy(count_features), "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = written(found, "features")
     total = found.where("f = ''").first()
     n0, n1 = (total.n0, total.n1) if total else (0, 0)
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             if stats:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*stats, strict=True)] + [batch.column(1)], ["a", "b", "c", "_y"])
 
-    seen_stats = np.array([tuple(map(float, r)) for r in rows.where("_part").select("_text", "_y").mapInArrow(measure, "a double, b double, c double, _y int").collect()]).reshape(-1, 4)
+    seen_stats = np.array([tuple(map(float, r)) for r in rows.where("_part").select("_text", "_y").mapInArrow(tidy(measure), "a double, b double, c double, _y int").collect()]).reshape(-1, 4)
     model.coef = logistic(seen_stats[:, :3], seen_stats[:, 3])
     return model
 
@@ -279,7 +279,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             scores = [shared.value.score(scorer.stats(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["_id", "_s"])
 
-    return docs.select(F.col(id_col).alias("_id"), raw_text(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _s double").toDF(id_col, "score")
+    return docs.select(F.col(id_col).alias("_id"), raw_text(text_col).alias("_text")).mapInArrow(tidy(run), f"_id {kind}, _s double").toDF(id_col, "score")
 
 
 def held_out(id_col: str = "doc_id"):
