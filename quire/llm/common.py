@@ -72,32 +72,34 @@ def is_numbered(rows: DataFrame) -> bool:
 FILTER_BITS = 1 << 26
 
 
-def row_filter(ids: DataFrame):
-    """A predicate on ``_row`` that holds for all rows of ``ids`` and few others, to thin out texts before a
-    shuffle. It is a bitmap of at most ``FILTER_BITS``: beyond some millions of rows it lets more and more
-    through, and a join decides in any case."""
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``_may``: true for all rows of ``ids`` and few others, to thin out texts before a shuffle.
+
+    It is a bitmap of at most ``FILTER_BITS``, broadcast in parts of 4 KB: beyond some millions of rows it
+    lets more and more through, and a join decides in any case.
+    """
     n, bits = ids.count(), 1 << 15
     while bits < 16 * n and bits < FILTER_BITS:
         bits *= 2
-    place = lambda: F.pmod(F.xxhash64(ROW), F.lit(bits))
-    parts = ids.select(place().alias("_h")).groupBy((F.col("_h") / 32768).cast("int").alias("_part")).agg(F.bitmap_construct_agg(F.col("_h") % 32768).alias("_bits"))
-    found = bytearray(bits // 8)
-    for r in parts.collect():  # at most ``FILTER_BITS`` / 32768 rows of 4 KB
-        found[r._part * 4096 : r._part * 4096 + 4096] = r._bits
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(found)), (place() / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (place() % 8).cast("int"))) != 0
+    place = F.pmod(F.xxhash64(ROW), F.lit(bits))
+    parts = ids.select(place.alias("_h")).groupBy((F.col("_h") / 32768).cast("int").alias("_part")).agg(F.bitmap_construct_agg(F.col("_h") % 32768).alias("_bits"))
+    out = rows.withColumn("_h", place).withColumn("_part", (F.col("_h") / 32768).cast("int"))
+    out = out.join(F.broadcast(parts), "_part", "left")  # FILTER_BITS / 32768 rows at most
+    at = (F.col("_h") % 32768).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at % 8)) != 0
+    return out.withColumn("_may", F.coalesce(bit, F.lit(False))).drop("_h", "_part", "_bits")
 
 
 def with_text(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` joined with ``ids`` by ``_row``; texts of other rows stay where they are."""
-    return rows.where(row_filter(ids)).join(ids, ROW)
+    return marked(rows, ids).where("_may").drop("_may").join(ids, ROW)
 
 
 def with_all_texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """All ``rows``, with the columns of ``ids`` or null; only texts that may meet a row of ``ids`` are shuffled."""
-    met = row_filter(ids)
-    out = rows.where(met).join(ids, ROW, "left")
-    rest = rows.where(~met)
+    own = marked(rows, ids)
+    out, rest = own.where("_may").drop("_may").join(ids, ROW, "left"), own.where("not _may").drop("_may")
     for c, t in ids.dtypes:
         rest = rest if c == ROW else rest.withColumn(c, F.lit(None).cast(t))
     return out.unionByName(rest)

@@ -1,11 +1,11 @@
 from quire.llm import common
-from quire.llm.common import ROW, keyed, row_filter, with_all_texts, with_text
+from quire.llm.common import ROW, keyed, marked, with_all_texts, with_text
 
 
 def test_row_filter(spark, monkeypatch):
     rows = spark.range(20_000).withColumnRenamed("id", ROW)
     ids = spark.range(0, 20_000, 7).withColumnRenamed("id", ROW)
-    passed = {r[0] for r in rows.where(row_filter(ids)).collect()}
+    passed = {r[0] for r in marked(rows, ids).where("_may").select(ROW).collect()}
     assert {*range(0, 20_000, 7)} <= passed and len(passed) < 4_500
     monkeypatch.setattr(common, "FILTER_BITS", 1 << 15)  # a crowded filter lets more through; joins are the same
     named = ids.selectExpr(ROW, "'x' as mark")
