@@ -211,12 +211,36 @@ def count_grams(words: DataFrame, ends: dict[int, int]) -> DataFrame:
     return found.groupBy("c", "k", "key").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int, order: str | None = None) -> DataFrame:
+    """The rows of ``counts`` with the greatest ``n``, at most ``most``: all above a threshold that a histogram
+    of some hundred cells gives, so no task sorts them all. Of the cell that would be too much, the rows of the
+    least ``order`` that fit."""
+    cell = F.floor(F.log2("n") * 16)
+    by = F.col(order) if order else F.lit(0)
+    sizes = counts.groupBy(cell.alias("cell"), by.cast("int").alias("o")).agg(F.count(F.lit(1)).alias("m")).collect()
+    by_cell: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in sizes:
+        by_cell[r.cell][r.o] = r.m
+    left, cut, least = most, None, -1
+    for c in sorted(by_cell, reverse=True):
+        cut = c
+        if sum(by_cell[c].values()) > left:
+            for o in sorted(by_cell[c]):
+                left -= by_cell[c][o]
+                if left < 0:
+                    break
+                least = o
+            return counts.where((cell > cut) | (cell == cut) & (by <= least))
+        left -= sum(by_cell[c].values())
+    return counts
+
+
 def fit(training: DataFrame, text_col: str = "text", class_col: str | None = None, entries: int = ENTRIES, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model and the complete table of word counts. Null texts count as empty; each text has one end.
 
     The classes are the ``CLASSES`` - 1 most frequent values of ``class_col`` and one for all others and
-    null; without the column there is one. Entries are kept by falling count, shorter contexts first among
-    equals, so a kept context's suffixes are kept too. Only the kept entries and the head reach the driver;
+    null; without the column there is one. Entries are kept by falling count, shorter contexts first in the
+    last cell, so a kept context's suffixes are kept too. Only the kept entries and the head reach the driver;
     both are bounded.
     """
     rows, ends = training, {0: training.count()} if class_col is None else {}
@@ -232,11 +256,12 @@ def fit(training: DataFrame, text_col: str = "text", class_col: str | None = Non
     words = written(by_class.groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, types = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     ends = {c: n for c, n in ends.items() if n} or {0: 0}
-    top = count_grams(by_class, {c: n for c, n in ends.items() if n}).orderBy(F.desc("n"), "k", "c", "key").limit(entries).toArrow()
+    counted = written(count_grams(by_class, {c: n for c, n in ends.items() if n}), "grams")
+    top = most_frequent(counted, entries, "k").toArrow()
     c, k, key, n = (top[x].to_numpy() for x in ("c", "k", "key", "n"))
     tries = [Trie.of(key[c == x], k[c == x], n[c == x]) for x in ends]
     all_ends = sum(ends.values())
-    often = words.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    often = most_frequent(words, head).toArrow()
     head_counts = dict(zip(often["word"].to_pylist(), often["n"].to_pylist(), strict=True))
     shares = [x / all_ends if all_ends else 1.0 for x in ends.values()]
     return Model(tries, shares, (total or 0) + all_ends, types + (all_ends > 0), all_ends, head_counts, uuid.uuid4().hex), words

@@ -77,6 +77,24 @@ def test_keys():
     assert grams(flat, np.array([2]), 1).tolist() == [1 << 16 | ord("a") << 8 | ord("b")]
 
 
+@pytest.mark.parametrize("most", [1, 5, 40, 200, 10_000])
+def test_kept_entries_keep_their_suffixes(spark, most):
+    rng = random.Random(most)
+    words = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 8))): rng.randint(1, 4) for _ in range(40)}
+    frame = spark.createDataFrame([(0, bytearray(w), n) for w, n in words.items()], "c int, word binary, n long")
+    kept = [(r.k, r.key, r.n) for r in ppm.most_frequent(ppm.count_grams(frame, {0: 2}), most, "k").collect()]
+    assert len(kept) <= most
+    have = {key for _, key, _ in kept}
+    for k, key, _ in kept:
+        assert not k or (key & ((1 << 8 * k) - 1)) | (k - 1) << 8 * k in have
+    trie = Trie.of(*(np.array(x, np.int64) for x in (zip(*[(key, k, n) for k, key, n in kept], strict=True) if kept else ([], [], []))))
+    code, depth, _ = windows([*words, b"zzz", b""])
+    scores = trie.scores(code, depth)
+    assert np.isfinite(scores).all() and (scores < 1e-12).all()
+    if most == 10_000:
+        assert len(kept) == sum(len(t) for t in counts_of(words, 2))
+
+
 @pytest.mark.parametrize("head", [3, 1000])
 def test_documents(spark, head):
     rng = random.Random(2)
