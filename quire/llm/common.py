@@ -131,13 +131,29 @@ class WordHash(dict):
 HASHES = WordHash()
 
 
+def trim() -> None:
+    """Gives this process's freed memory back to the system."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run):
-    """``run`` for ``mapInArrow``; when a task ends, its worker gives freed memory back to the system."""
+    """``run`` for ``mapInArrow``; when a task ends, its worker gives freed memory back."""
 
     def tidied(batches):
         yield from run(batches)
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
+
+    return tidied
+
+
+def tidy_group(run):
+    """The same for the function of ``applyInArrow``, after each group."""
+
+    def tidied(table):
+        out = run(table)
+        trim()
+        return out
 
     return tidied
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, ROW, keyed, mix, pair, partitions, raw_text, tidy, with_text, written
+from .common import HASHES, ROW, keyed, mix, pair, partitions, raw_text, tidy, tidy_group, with_text, written
 from .components import components
 from .repeats import BUCKET_BYTES, by_bucket, chunks, planes, release, text_bytes, unplanes
 
@@ -36,6 +36,8 @@ LEADERS = 1024
 QUERIES = 2048
 #: Sharers of one signature that are paired with one another.
 ALL_PAIRS = 128
+#: Pairs a task holds at once, about.
+PAIRS = 250_000
 _TAG = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -192,6 +194,18 @@ def link_block(sets: list[np.ndarray], percent: int, parts: Parts, queries: list
     return links
 
 
+def merged_pairs(pairs: np.ndarray, counts: np.ndarray, least: np.ndarray, sure: np.ndarray):
+    """Each unordered pair once, with its summed count and the greatest of the other facts."""
+    pairs = np.sort(pairs, axis=1)
+    keep = np.flatnonzero(pairs[:, 0] < pairs[:, 1])
+    keep = keep[np.lexsort((pairs[keep, 1], pairs[keep, 0]))]
+    pairs, counts, least, sure = pairs[keep], counts[keep], least[keep], sure[keep]
+    if not len(pairs):
+        return pairs, counts, least, sure
+    first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)])
+    return pairs[first], np.add.reduceat(counts, first), np.maximum.reduceat(least, first), np.maximum.reduceat(sure, first)
+
+
 def _describe(rows: DataFrame, n: int) -> DataFrame:
     """(row, size, two hashes of the set)."""
 
@@ -239,9 +253,9 @@ def _families(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         bands = Bands(percent)
         read = lambda c, kind=np.int64: [unplanes(x, kind) for x in table[c].to_pylist() if x]
-        out = [np.stack([np.concatenate([*a, []]) for a in (read("x"), read("y"))], axis=1).astype(np.int64)]
-        sure = [np.ones(len(out[0]), bool)]
-        least = [np.zeros(len(out[0]), np.int64)]
+        hung = np.stack([np.concatenate([*a, []]) for a in (read("x"), read("y"))], axis=1).astype(np.int64)
+        certain = lambda p: merged_pairs(p, np.ones(len(p), np.int64), np.zeros(len(p), np.int64), np.ones(len(p), bool))
+        out = [certain(hung)]
         if signs := read("s", np.uint64):
             sign, row, size, fact = np.concatenate(signs), *(np.concatenate(read(c)) for c in "rnf")
             order = np.lexsort((row, sign))
@@ -250,34 +264,26 @@ def _families(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             times = np.diff(np.r_[first, len(sign)])
             big = np.flatnonzero(np.repeat(times > ALL_PAIRS, times))
             hub = np.repeat(row[first], times)[big]
-            out.append(np.stack([hub, row[big]], axis=1))
-            sure.append(np.ones(len(big), bool))
-            least.append(np.zeros(len(big), np.int64))
-            some = (times > 1) & (times <= ALL_PAIRS)
-            a, b = pairs_within(first[some], times[some])
-            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            own = np.searchsorted(bands.starts, small, "right") - 1
-            token = fact[a] < 0
-            ok = (100 * small >= percent * large) & (token | (fact[a] >> 16 == own)) & (row[a] != row[b])
-            a, b, small, large, own, token = (x[ok] for x in (a, b, small, large, own, token))
-            out.append(np.stack([row[a], row[b]], axis=1))
-            sure.append(token)
-            least.append(bands.least_shared(small, large, own, np.minimum(fact[a] & 65535, fact[b] & 65535)))
-        pairs, sure, least = np.concatenate(out), np.concatenate(sure), np.concatenate(least)
-        pairs = np.sort(pairs, axis=1)
-        keep = np.flatnonzero(pairs[:, 0] < pairs[:, 1])
-        pairs, sure, least = pairs[keep], sure[keep], least[keep]
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        pairs, sure, least = pairs[order], sure[order], least[order]
-        first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]) if len(pairs) else np.zeros(0, np.int64)
-        counts = np.diff(np.r_[first, len(pairs)])
-        if len(first):
-            sure, least = np.maximum.reduceat(sure, first), np.maximum.reduceat(least, first)
-        pairs = pairs[first]
+            out.append(certain(np.stack([hub, row[big]], axis=1)))
+            some = np.flatnonzero((times > 1) & (times <= ALL_PAIRS))
+            many = np.cumsum(times[some] * (times[some] - 1) // 2)
+            for lo, hi in zip(cuts := [0, *np.searchsorted(many, np.arange(PAIRS, int(many[-1]) if len(many) else 0, PAIRS)).tolist(), len(some)], cuts[1:], strict=False):
+                if hi <= lo:
+                    continue
+                own = some[lo:hi]
+                a, b = pairs_within(first[own], times[own])
+                small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                band = np.searchsorted(bands.starts, small, "right") - 1
+                token = fact[a] < 0
+                ok = (100 * small >= percent * large) & (token | (fact[a] >> 16 == band)) & (row[a] != row[b])
+                a, b, small, large, band, token = (x[ok] for x in (a, b, small, large, band, token))
+                least = bands.least_shared(small, large, band, np.minimum(fact[a] & 65535, fact[b] & 65535))
+                out.append(merged_pairs(np.stack([row[a], row[b]], axis=1), np.ones(len(a), np.int64), least, token))
+        pairs, counts, least, sure = merged_pairs(*(np.concatenate(x) for x in zip(*out, strict=True)))
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "k": counts, "least": least, "sure": sure})
 
     sent = rows.select(ROW, "_text").mapInArrow(tidy(send), "b int, s binary, r binary, n binary, f binary, x binary, y binary")
-    met = sent.groupBy("b").applyInArrow(meet, "a long, b long, k long, least long, sure boolean")
+    met = sent.groupBy("b").applyInArrow(tidy_group(meet), "a long, b long, k long, least long, sure boolean")
     found = met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("least").alias("least"), F.max("sure").alias("sure"))
     return found.where("sure or k >= least").select("a", "b")
 
@@ -299,17 +305,17 @@ def _links(rows: DataFrame, n: int, percent: int) -> DataFrame:
     def settle(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), (ROW, "ascending")])
         block, row, query = (np.asarray(table[c].combine_chunks() if c != "query" else table[c].cast(pa.int8()).combine_chunks()) for c in ("block", ROW, "query"))
-        sets = [unplanes(x, np.uint64) for x in table["tokens"].to_pylist()]
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         a, b = [], []
         for lo, hi in zip(first.tolist(), np.r_[first[1:], len(block)].tolist(), strict=True):
             asked = np.flatnonzero(query[lo:hi]).tolist()
-            found = link_block(sets[lo:hi], percent, Parts(hi - lo), asked or None)
+            sets = [unplanes(x, np.uint64) for x in table["tokens"].slice(lo, hi - lo).to_pylist()]
+            found = link_block(sets, percent, Parts(hi - lo), asked or None)
             a += [row[lo + x] for x, _ in found]
             b += [row[lo + y] for _, y in found]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return _load(rows, n).groupBy("bin").applyInArrow(settle, "a long, b long")
+    return _load(rows, n).groupBy("bin").applyInArrow(tidy_group(settle), "a long, b long")
 
 
 def linked(reps: DataFrame, member: DataFrame, n: int, percent: int, total_bytes: int) -> DataFrame | None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, partitions, tidy, with_text, written
+from .common import ROW, partitions, tidy, tidy_group, with_text, written
 from .piece_tokenizer import bounded
 
 #: Text bytes per bucket, on average.
@@ -101,7 +101,7 @@ def shared_keys(rows: DataFrame, distinct_keys, buckets: int) -> DataFrame:
         return pa.Table.from_batches([lists(own[at], keys[at])])
 
     sent = rows.select(ROW, "_text").mapInArrow(tidy(send), "b int, k binary, r binary, s binary")
-    met = sent.groupBy("b").applyInArrow(meet, f"{ROW} long, v0 array<long>")
+    met = sent.groupBy("b").applyInArrow(tidy_group(meet), f"{ROW} long, v0 array<long>")
     return met.groupBy(ROW).agg(F.flatten(F.collect_list("v0")).alias("_keys"))
 
 
@@ -177,7 +177,7 @@ def removals(rows: DataFrame, scheme, total_bytes: int) -> DataFrame:
 
     met = with_text(rows.select(ROW, "_text"), shared).select(ROW, "_text", "_keys")
     sent = met.mapInArrow(tidy(send), "b int, w binary, r binary, l binary, h binary")
-    found = sent.groupBy("b").applyInArrow(settle, f"{ROW} long, v0 array<long>, v1 array<long>")
+    found = sent.groupBy("b").applyInArrow(tidy_group(settle), f"{ROW} long, v0 array<long>, v1 array<long>")
     out = found.groupBy(ROW).agg(F.flatten(F.collect_list("v0")).alias("_from"), F.flatten(F.collect_list("v1")).alias("_to"))
     return written(out, "removals")
 
