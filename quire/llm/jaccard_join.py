@@ -38,6 +38,8 @@ QUERIES = 2048
 ALL_PAIRS = 128
 #: Pairs a task holds at once, about.
 PAIRS = 250_000
+#: Added to a signature's facts where other rows of the chunk hang on its sender.
+HANGERS = 1 << 40
 _TAG = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -223,7 +225,9 @@ def _describe(rows: DataFrame, n: int) -> DataFrame:
 
 def _families(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """(a, b): pairs of rows that share as many signatures as linked sets of their sizes do at
-    least. Where more than ``ALL_PAIRS`` share one, each is paired with the smallest instead."""
+    least. Where more than ``ALL_PAIRS`` share one, each is paired with the smallest instead. If that is so
+    within a chunk, the smallest is sent for all, and all that meet it there are paired with it: the
+    others' counts with them aren't known."""
 
     def send(batches):
         bands = Bands(percent)
@@ -242,6 +246,7 @@ def _families(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             hot = times[place] > ALL_PAIRS  # the others hang on the chunk's smallest row
             hub = row[first][place]
             pairs = np.unique(np.stack([row, hub], axis=1)[hot & (row != hub)], axis=0)
+            fact = np.where(hot, fact & 0xFFFFFFFF | HANGERS, fact)
             go = np.flatnonzero(~hot | (row == hub))
             sign, fact, row, size = sign[go], fact[go], row[go], size[go]
             out = [(b, planes(sign[at]), planes(row[at]), planes(size[at]), planes(fact[at]), b"", b"") for b, at in by_bucket(sign, buckets)]
@@ -260,6 +265,7 @@ def _families(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             sign, row, size, fact = np.concatenate(signs), *(np.concatenate(read(c)) for c in "rnf")
             order = np.lexsort((row, sign))
             sign, row, size, fact = sign[order], row[order], size[order], fact[order]
+            for_all = fact >= HANGERS
             first = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]])
             times = np.diff(np.r_[first, len(sign)])
             big = np.flatnonzero(np.repeat(times > ALL_PAIRS, times))
@@ -275,8 +281,9 @@ def _families(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
                 band = np.searchsorted(bands.starts, small, "right") - 1
                 token = fact[a] < 0
-                ok = (100 * small >= percent * large) & (token | (fact[a] >> 16 == band)) & (row[a] != row[b])
-                a, b, small, large, band, token = (x[ok] for x in (a, b, small, large, band, token))
+                hung_on = for_all[a] | for_all[b]
+                ok = (hung_on | (100 * small >= percent * large) & (token | (fact[a] >> 16 == band))) & (row[a] != row[b])
+                a, b, small, large, band, token = (x[ok] for x in (a, b, small, large, band, token | hung_on))
                 least = bands.least_shared(small, large, band, np.minimum(fact[a] & 65535, fact[b] & 65535))
                 out.append(merged_pairs(np.stack([row[a], row[b]], axis=1), np.ones(len(a), np.int64), least, token))
         pairs, counts, least, sure = merged_pairs(*(np.concatenate(x) for x in zip(*out, strict=True)))

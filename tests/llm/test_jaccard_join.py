@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quire.llm import jaccard_join
+from quire.llm.common import raw_text
 from quire.llm.components import components
 from quire.llm.jaccard_join import Bands, Parts, jaccard_components, link_block, token_sets
 
@@ -74,6 +75,20 @@ def test_a_large_family_is_whole(spark, monkeypatch):
     assert [(r.n_shingles, r.component_id) for r in out] == brute(texts)
 
 
+def test_a_link_between_chunks_is_kept_where_one_is_hot(spark):
+    base = [f"w{i}" for i in range(200)]
+    inner = [f"x{i}" for i in range(12)] + base[12:]  # linked with the near copies of its chunk, not their smallest
+    outer = inner[:100] + [f"y{i}" for i in range(12)] + inner[112:]  # linked with ``inner`` alone
+    texts = [" ".join([*base, f"t{i}"]) for i in range(200)] + [" ".join(inner), " ".join(outer)] + [f"u{i} v{i}" for i in range(200)]
+    want = brute(texts)
+    assert {c for _, c in want[:202]} == {0}
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 2), "_row long, text string")
+    parts = Parts(len(texts))
+    for r in jaccard_join._families(docs.select("_row", raw_text().alias("_text")), 4, 85, 4).collect():
+        parts.join(r.a, r.b)
+    assert parts.find(201) == parts.find(200) == 0
+
+
 def test_linked_sets_share_enough_signatures():
     rng, bands = random.Random(5), Bands(85)
     gen = np.random.default_rng(5)
