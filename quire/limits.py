@@ -15,4 +15,4 @@ PAGES = 1_000_000
 NESTING = 512
 SECTIONS = 1_024
 OUTLINE_ITEMS, OUTLINE_DEPTH = 50_000, 64
-DECODED_BYTES = 256 * 1024 * 1024
+DECODED_BYTES = 512 * 1024 * 1024

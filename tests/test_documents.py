@@ -8,7 +8,7 @@ import pytest
 from quire.operators import assembly as A
 from quire.operators import search as S
 from quire.sources import frames as R
-from quire.sources.codecs import CodecError
+from quire.sources.codecs import CodecError, flate
 from quire.sources.content import Interpreter, UnicodeMap, glyph_text
 from quire.sources.cos import Damage, Name, Reader, Ref
 from quire.sources.pdf import CannotOpen, Document, parse_xmp, text_string
@@ -158,6 +158,11 @@ def test_files(spark, tmp_path):
     assert R.opened(R.files(spark, f"file://{tmp_path}")).count() == 1
 
 
+def test_streams_of_more_than_256_mib_decode():
+    size = (256 << 20) + 1
+    assert len(flate(zlib.compress(bytes(size), 1))) == size
+
+
 def test_mutations_end_in_a_result():
     seeds = [text_document(["alpha", "beta"], xref=x, info={"Title": "t"}) for x in ("table", "stream")]
     rng = random.Random(11)
