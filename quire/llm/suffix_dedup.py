@@ -1,13 +1,13 @@
-"""Removal of repeated byte strings by distributed prefix doubling over a sparse set of positions.
+"""Removal of repeated byte strings by names that double inside tasks, over a sparse set of positions.
 
-Ranks are 64-bit names: the name of 2h bytes is the pair of the names of h bytes here and h bytes on.
+Names are 64-bit: the name of 2h bytes is the pair of the names of h bytes here and h bytes on.
 Tasks double their names from 1 to 32 bytes. A window of 100 bytes is represented by the least of its
-32-byte names, which neighbouring windows share, so about one position in 35 takes part. Spark sorts
-these (position, rank) pairs at offset 32; ranks that are unique drop out. What is left goes on to
-offset 64 and past the threshold: the name of 100 bytes is the pair of two names of 64, and Spark's
-second sort tells for each name which position is the first. Names of equal windows are compared
-together with their 32-byte names, so two contents are mistaken for one only if both of two independent
-64-bit names agree.
+32-byte names, which neighbouring windows share, so about one position in 35 takes part. Spark deals
+these names to hash buckets, where a task sorts them and those that are unique drop out. Windows of the
+others are dealt to buckets again, with the name of 100 bytes, the pair of two names of 64, and a task
+tells for each name which position is the first. Spark itself sorts and reranks nothing, so this isn't
+distributed prefix doubling. Names of equal windows are compared together with their 32-byte names, so
+two contents are mistaken for one only if both of two independent 64-bit names agree.
 """
 
 from __future__ import annotations
