@@ -1,13 +1,14 @@
-"""Removal of repeated word windows, found by recompression.
+"""Removal of repeated word windows, found by the first rounds of recompression.
 
-Each document's words are names, and rounds replace runs of one name and then pairs of neighbours by new
+Each document's words are names, and ``ROUNDS`` rounds inside tasks replace runs of one name and then pairs of neighbours by new
 names. Whether two neighbours become a pair follows from one bit of each name, so equal stretches of text
 get equal symbols wherever they stand, except near their ends. A name is a 64-bit hash of what it
 replaces, which makes names global without an exchange. For each symbol the rounds also carry the range
 of words that its shape depends on. A window is represented by one symbol whose whole range lies inside
 it, the least by a hash of that range; a window without one (long runs) represents itself. Spark brings
 equal representatives of all documents together; those that occur once drop out, and for the rest the
-windows around them are compared in full to verify the repeat and find the first place.
+windows around them are compared by a 64-bit name and 32 bits of a second hash of all their words, not by
+the words themselves, to find the first place.
 """
 
 from __future__ import annotations
