@@ -3,15 +3,17 @@
 A document's tokens are its distinct word shingles. Documents with equal sets are one class, and a class
 is represented by one row from the start. The stages:
 
-1. Similar documents are partitioned into groups. The token space is dealt to more classes than two
-   linked sets can differ in, so linked sets agree in a number of whole classes; classes' hashes meet in
-   Spark, and what hangs together by enough of them, directly or not, is one family. Families that are
-   large are dealt to blocks by their least token.
+1. Similar documents are partitioned into groups. In one order of all tokens, those that chunks of text
+   report as frequent last, a set shows its first tokens: so many that two linked sets share at least
+   ``shared_least`` of what they show. Shown tokens meet in Spark, and what hangs together by enough of
+   them, directly or not, is one family. A large family is dealt to blocks twice, by the least token of
+   its sets in two orders. The tokens of family members are written once.
 2. Each block stores the token union of its groups as a matrix. For a query the overlap with a union
    bounds that with every member; only groups that reach what the threshold asks for are opened, and
    their members' overlaps counted exactly. Members that already hang together aren't compared again.
-3. Blocks of one family are joined through a leader of each linked part, and what is then still apart
-   is searched, as queries, in all blocks of its family in the same way.
+3. Blocks of one family are joined through a leader of each linked part. What is then still apart is
+   searched, as queries, in the blocks of its family whose token union it overlaps enough: a bitmap of
+   each block's union bounds that overlap without moving the block.
 
 Only links between different sets that are needed to connect them are made, so a group of thousands of
 copies costs no pairs within it.
@@ -38,8 +40,11 @@ QUERIES = 2048
 ALL_PAIRS = 128
 #: Pairs a task holds at once, about.
 PAIRS = 250_000
-#: Added to a signature's facts where other rows of the chunk hang on its sender.
-HANGERS = 1 << 40
+#: Cells of frequent tokens at most. They only order tokens: any order gives the same links.
+CELLS = 1 << 16
+CELL_BITS = 24
+#: Blocks whose unions a query meets in one task.
+UNIONS = 1024
 _TAG = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -73,58 +78,29 @@ def need(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-class Bands:
-    """Bands of set sizes, and for each the number of token classes.
+def need_with(size, other, percent: int):
+    """The overlap that linked sets of these sizes have at least."""
+    return -(-percent * (size + other) // (100 + percent))
+
+
+def shared_least(size, percent: int):
+    """How many of the tokens that they show two linked sets share at least, if this is the smaller's size."""
+    return np.minimum(need(size, percent), 1 + size - need(size, percent))
 
-    Linked sets of sizes s <= t differ in at most (s + t) * (100 - p) / (100 + p) tokens, and t is in the
-    band of s or the next. With ``spare`` classes more than that plus one, a set with at most ``spare``
-    empty classes shares a class that isn't empty with every set it is linked with. Two sets with more
-    empty classes (tiny ones) meet by their first tokens instead.
-    """
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.edges = [1]
-        while self.edges[-1] < 1 << 40:
-            e = self.edges[-1]
-            self.edges.append(max(100 * e // percent + 1, 7 * e // 5))
-        self.starts = np.array(self.edges)
-
-    def of(self, size: int) -> int:
-        return int(np.searchsorted(self.starts, size, "right")) - 1
-
-    def classes(self, band: int) -> tuple[int, int]:
-        """(number of classes, spare ones) for sets of this band and those linked with them."""
-        most = self.edges[band + 1] - 1
-        differ = (most + 100 * most // self.percent) * (100 - self.percent) // (100 + self.percent)
-        spare = max(1, differ // 5)
-        return differ + 1 + spare, spare
-
-    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What a set shows to meet all sets it is linked with, in its own band and as the larger partner, and
-        for each signature its band and number of empty classes (-1 for a first token)."""
-        n, out, facts = len(tokens), [], []
-        own = self.of(n)
-        for band in (own, own - 1):
-            if band < 0 or (band < own and self.percent * n > 100 * (self.edges[own] - 1)):
-                continue
-            count, spare = self.classes(band)
-            cls = ((tokens >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)  # sorted, as the tokens are
-            first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
-            tag = mix(cls[first] * np.uint64(1 << 20) + np.uint64(band))
-            out.append(mix(np.add.reduceat(mix(tokens), first) ^ tag))
-            empty = count - len(first)
-            facts.append(np.full(len(first), band * 65536 + min(empty, 65535), np.int64))
-            if empty > spare:
-                out.append(mix(tokens[: n - need(n, self.percent) + 1] ^ mix(np.uint64([band + (1 << 30)]))))
-                facts.append(np.full(len(out[-1]), -1, np.int64))
-        return np.concatenate(out), np.concatenate(facts)
-
-    def least_shared(self, small: np.ndarray, large: np.ndarray, band: np.ndarray, empty: np.ndarray) -> np.ndarray:
-        """How many signatures linked sets of these sizes share at least, 1 or more."""
-        count = np.array([self.classes(b)[0] for b in range(int(band.max(initial=0)) + 1)])[band]
-        differ = (small + large) * (100 - self.percent) // (100 + self.percent)
-        return np.maximum(1, count - differ - empty)
+def shown(sets: list[np.ndarray], percent: int, level: np.ndarray) -> list[np.ndarray]:
+    """The tokens each set shows: the first in the order by (level, token).
+
+    Linked sets of sizes s <= t have an overlap of need(t) at least. In any one order of all tokens the first
+    s - need(s) + k of one and t - need(t) + k of the other then share k tokens, for k up to need(s).
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = flat[np.argsort(owner << 8 | level[(flat >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")]
+    many = sizes - need(sizes, percent) + shared_least(sizes, percent)
+    start = np.cumsum(sizes) - sizes
+    return [flat[s : s + k] for s, k in zip(start.tolist(), many.tolist(), strict=True)]
 
 
 def pairs_within(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +154,8 @@ def link_block(sets: list[np.ndarray], percent: int, parts: Parts, queries: list
     smallest = np.array([min(sizes[i] for i in g) for g in groups])
     mark, links = np.zeros(len(known), bool), []
     for q in order if queries is None else [q for q in queries if sizes[q]]:
-        n, least = int(sizes[q]), need(int(sizes[q]), percent)
+        n = int(sizes[q])
+        least = need_with(n, np.maximum(smallest, need(n, percent)), percent)
         bound = union[:, own[q]].sum(axis=1)
         may = np.flatnonzero((bound >= least) & (100 * largest >= percent * n) & (percent * smallest <= 100 * n))
         if not len(may):
@@ -208,8 +185,20 @@ def merged_pairs(pairs: np.ndarray, counts: np.ndarray, least: np.ndarray, sure:
     return pairs[first], np.add.reduceat(counts, first), np.maximum.reduceat(least, first), np.maximum.reduceat(sure, first)
 
 
+def _first_of_equal(sets: list[np.ndarray]) -> np.ndarray:
+    """Marks the first of equal sets."""
+    seen: set = set()
+    code = [(len(x), int(mix(x).sum())) for x in sets]
+    return np.array([not (c in seen or seen.add(c)) for c in code], bool)
+
+
+def _cells(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
+
+
 def _describe(rows: DataFrame, n: int) -> DataFrame:
-    """(row, size, two hashes of the set)."""
+    """(row, size, two hashes of the set), and a line without row for each chunk: the cells of tokens that
+    many of its sets have, and how many."""
 
     def run(batches):
         for ids, texts in chunks(batches):
@@ -218,56 +207,76 @@ def _describe(rows: DataFrame, n: int) -> DataFrame:
             for i, x in enumerate(sets):
                 if len(x):
                     f[i] = mix(x).sum(), np.bitwise_xor.reduce(mix(x * _TAG))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), *(pa.array(c.view(np.int64)) for c in np.ascontiguousarray(f.T))], [ROW, "n", "f", "g"])
+            once = np.unique(f, axis=0, return_index=True)[1]
+            cell, times = np.unique(_cells(np.concatenate([sets[i] for i in once.tolist()])), return_counts=True)
+            often = times >= max(4, len(once) // 256)
+            columns = [
+                pa.array([*ids.to_pylist(), None], pa.int64()),
+                pa.array([*map(len, sets), 0], pa.int64()),
+                *(pa.array(np.r_[c.view(np.int64), 0]) for c in np.ascontiguousarray(f.T)),
+                *(pa.array([None] * len(sets) + [planes(x)], pa.binary()) for x in (cell[often], times[often].astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [ROW, "n", "f", "g", "cells", "times"])
 
-    return rows.select(ROW, "_text").mapInArrow(tidy(run), f"{ROW} long, n long, f long, g long")
+    return rows.select(ROW, "_text").mapInArrow(tidy(run), f"{ROW} long, n long, f long, g long, cells binary, times binary")
 
 
-def _families(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """(a, b): pairs of rows that share as many signatures as linked sets of their sizes do at
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, level) of the at most ``CELLS`` most frequent cells; level grows with the logarithm of the count."""
+
+    def spread(batches):
+        for batch in batches:
+            for cells, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(unplanes(cells, np.uint32).astype(np.int64)), pa.array(unplanes(times, np.int32).astype(np.int64))], ["cell", "n"])
+
+    lines = sets.where(F.length("cells") > 0).select("cells", "times").mapInArrow(spread, "cell long, n long")
+    often = lines.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > ALL_PAIRS // 2)
+    top = often.orderBy(F.desc("n"), "cell").limit(CELLS).toArrow()
+    return top["cell"].to_numpy(), np.minimum(255, 1 + 6 * np.log2(np.maximum(top["n"].to_numpy(), 1))).astype(np.uint8)
+
+
+def _families(rows: DataFrame, n: int, percent: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(a, b): pairs of rows that share as many shown tokens as linked sets of their sizes do at
     least. Where more than ``ALL_PAIRS`` share one, each is paired with the smallest instead. If that is so
     within a chunk, the smallest is sent for all, and all that meet it there are paired with it: the
     others' counts with them aren't known."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)  # at most CELLS numbers
 
     def send(batches):
-        bands = Bands(percent)
+        level = np.zeros(1 << CELL_BITS, np.uint8)
+        level[shared.value[0]] = shared.value[1]
         for ids, texts in chunks(batches):
             order = np.argsort(np.asarray(ids))
             own, sets = np.asarray(ids)[order], token_sets(texts.take(pa.array(order)).to_pylist(), n)
-            code = [(len(x), int(mix(x).sum())) for x in sets]  # of equal sets in a chunk the first speaks for all
-            seen: set = set()
-            once = [not (c in seen or seen.add(c)) for c in code]
-            own, sets = own[np.array(once, bool)], [x for x, new in zip(sets, once, strict=True) if new]
-            signs, facts = zip(*(bands.signatures(x) if len(x) else (x, np.zeros(0, np.int64)) for x in sets), strict=True)
-            sizes = [len(x) for x in signs]
-            sign, fact, row = np.concatenate(signs), np.concatenate(facts), np.repeat(own, sizes)
+            once = _first_of_equal(sets)  # it speaks for all
+            own, sets = own[once], [x for x, new in zip(sets, once.tolist(), strict=True) if new]
+            first_tokens = shown(sets, percent, level)
+            sizes = [len(x) for x in first_tokens]
+            token, row = np.concatenate(first_tokens), np.repeat(own, sizes)
             size = np.repeat(np.fromiter(map(len, sets), np.int64, len(sets)), sizes)
-            _, first, place, times = np.unique(sign, return_index=True, return_inverse=True, return_counts=True)
+            _, first, place, times = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
             hot = times[place] > ALL_PAIRS  # the others hang on the chunk's smallest row
             hub = row[first][place]
             pairs = np.unique(np.stack([row, hub], axis=1)[hot & (row != hub)], axis=0)
-            fact = np.where(hot, fact & 0xFFFFFFFF | HANGERS, fact)
             go = np.flatnonzero(~hot | (row == hub))
-            sign, fact, row, size = sign[go], fact[go], row[go], size[go]
-            out = [(b, planes(sign[at]), planes(row[at]), planes(size[at]), planes(fact[at]), b"", b"") for b, at in by_bucket(sign, buckets)]
+            token, row, size, hot = token[go], row[go], size[go].astype(np.int32), hot[go].astype(np.uint8)
+            out = [(b, planes(token[at]), planes(row[at]), planes(size[at]), planes(hot[at]), b"", b"") for b, at in by_bucket(token, buckets)]
             if len(pairs):
                 out.append((int(own[0] % buckets), None, None, None, None, planes(pairs[:, 0].copy()), planes(pairs[:, 1].copy())))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], list("bsrnfxy"))
 
     def meet(table: pa.Table) -> pa.Table:
-        bands = Bands(percent)
         read = lambda c, kind=np.int64: [unplanes(x, kind) for x in table[c].to_pylist() if x]
         hung = np.stack([np.concatenate([*a, []]) for a in (read("x"), read("y"))], axis=1).astype(np.int64)
         certain = lambda p: merged_pairs(p, np.ones(len(p), np.int64), np.zeros(len(p), np.int64), np.ones(len(p), bool))
         out = [certain(hung)]
-        if signs := read("s", np.uint64):
-            sign, row, size, fact = np.concatenate(signs), *(np.concatenate(read(c)) for c in "rnf")
-            order = np.lexsort((row, sign))
-            sign, row, size, fact = sign[order], row[order], size[order], fact[order]
-            for_all = fact >= HANGERS
-            first = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]])
-            times = np.diff(np.r_[first, len(sign)])
+        if tokens := read("s", np.uint64):
+            token, row, size, for_all = np.concatenate(tokens), np.concatenate(read("r")), np.concatenate(read("n", np.int32)).astype(np.int64), np.concatenate(read("f", np.uint8)).astype(bool)
+            order = np.lexsort((row, token))
+            token, row, size, for_all = token[order], row[order], size[order], for_all[order]
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            times = np.diff(np.r_[first, len(token)])
             big = np.flatnonzero(np.repeat(times > ALL_PAIRS, times))
             hub = np.repeat(row[first], times)[big]
             out.append(certain(np.stack([hub, row[big]], axis=1)))
@@ -279,13 +288,10 @@ def _families(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 own = some[lo:hi]
                 a, b = pairs_within(first[own], times[own])
                 small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                band = np.searchsorted(bands.starts, small, "right") - 1
-                token = fact[a] < 0
                 hung_on = for_all[a] | for_all[b]
-                ok = (hung_on | (100 * small >= percent * large) & (token | (fact[a] >> 16 == band))) & (row[a] != row[b])
-                a, b, small, large, band, token = (x[ok] for x in (a, b, small, large, band, token | hung_on))
-                least = bands.least_shared(small, large, band, np.minimum(fact[a] & 65535, fact[b] & 65535))
-                out.append(merged_pairs(np.stack([row[a], row[b]], axis=1), np.ones(len(a), np.int64), least, token))
+                ok = (hung_on | (100 * small >= percent * large)) & (row[a] != row[b])
+                a, b, small, hung_on = (x[ok] for x in (a, b, small, hung_on))
+                out.append(merged_pairs(np.stack([row[a], row[b]], axis=1), np.ones(len(a), np.int64), shared_least(small, percent), hung_on))
         pairs, counts, least, sure = merged_pairs(*(np.concatenate(x) for x in zip(*out, strict=True)))
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "k": counts, "least": least, "sure": sure})
 
@@ -295,26 +301,38 @@ def _families(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     return found.where("sure or k >= least").select("a", "b")
 
 
-def _load(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` (row, text, block, query, bin) with their tokens instead of the text."""
+def _tokens(rows: DataFrame, n: int) -> DataFrame:
+    """(row, label, m, tokens, least token, least token in another order) of ``rows`` (row, text, label, m)."""
 
     def run(batches):
-        for ids, texts, blocks, queries, bins in chunks(batches):
+        for ids, texts, labels, m in chunks(batches):
             sets = token_sets(texts.to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([ids, blocks, queries, bins, pa.array([planes(x) for x in sets], pa.binary())], [ROW, "block", "query", "bin", "tokens"])
+            low = [[int(y[0] >> np.uint64(2)) for y in (x, np.sort(mix(x * _TAG))[:1])] if len(x) else [0, 0] for x in sets]
+            yield pa.RecordBatch.from_arrays([ids, labels, m, pa.array([planes(x) for x in sets], pa.binary()), *(pa.array(x, pa.int64()) for x in zip(*low, strict=True))], [ROW, "label", "m", "tokens", "low", "other"])
+
+    return rows.select(ROW, "_text", "label", "m").mapInArrow(tidy(run), f"{ROW} long, label long, m long, tokens binary, low long, other long")
 
-    return rows.select(ROW, "_text", "block", "query", "bin").mapInArrow(tidy(run), f"{ROW} long, block long, query boolean, bin long, tokens binary")
 
+def _bin(column, bins: int):
+    return F.pmod(F.xxhash64(column), F.lit(bins))
 
-def _links(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links that connect the linked sets within each block, or of queries with the block's members."""
+
+def _runs(table: pa.Table, key: str):
+    """(lo, hi) of the runs of equal ``key`` in a sorted table."""
+    block = np.asarray(table[key].combine_chunks())
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+    return zip(first.tolist(), np.r_[first[1:], len(block)].tolist(), strict=True)
+
+
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect the linked sets within each block, or of queries with the block's members.
+    ``rows``: (row, tokens, block, query, bin)."""
 
     def settle(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), (ROW, "ascending")])
-        block, row, query = (np.asarray(table[c].combine_chunks() if c != "query" else table[c].cast(pa.int8()).combine_chunks()) for c in ("block", ROW, "query"))
-        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        row, query = (np.asarray(table[c].combine_chunks() if c != "query" else table[c].cast(pa.int8()).combine_chunks()) for c in (ROW, "query"))
         a, b = [], []
-        for lo, hi in zip(first.tolist(), np.r_[first[1:], len(block)].tolist(), strict=True):
+        for lo, hi in _runs(table, "block"):
             asked = np.flatnonzero(query[lo:hi]).tolist()
             sets = [unplanes(x, np.uint64) for x in table["tokens"].slice(lo, hi - lo).to_pylist()]
             found = link_block(sets, percent, Parts(hi - lo), asked or None)
@@ -322,18 +340,79 @@ def _links(rows: DataFrame, n: int, percent: int) -> DataFrame:
             b += [row[lo + y] for _, y in found]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return _load(rows, n).groupBy("bin").applyInArrow(tidy_group(settle), "a long, b long")
+    return rows.select(ROW, "tokens", "block", "query", "bin").groupBy("bin").applyInArrow(tidy_group(settle), "a long, b long")
+
 
+def union_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap of the union of some sets, of a byte a token or more."""
+    bits = 1 << max(6, (8 * sum(map(len, sets)) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    for x in sets:
+        out[(x & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out)
 
-def linked(reps: DataFrame, member: DataFrame, n: int, percent: int, total_bytes: int) -> DataFrame | None:
+
+def may_link(tokens: np.ndarray, union: np.ndarray, smallest: int, largest: int, percent: int) -> bool:
+    """Whether a set can be linked with a set of a block, given the bitmap of its union and its sizes."""
+    n = len(tokens)
+    if 100 * largest < percent * n or percent * smallest > 100 * n:
+        return False
+    at = tokens & np.uint64(8 * len(union) - 1)
+    hits = (union[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
+    return int(hits.sum()) >= need_with(n, max(smallest, need(n, percent)), percent)
+
+
+def _unions(rows: DataFrame) -> DataFrame:
+    """(label, block, union, smallest, largest) of ``rows`` (label, block, bin, tokens)."""
+
+    def unite(table: pa.Table) -> pa.Table:
+        table, out = table.sort_by("block"), []
+        for lo, hi in _runs(table, "block"):
+            sets = [unplanes(x, np.uint64) for x in table["tokens"].slice(lo, hi - lo).to_pylist()]
+            sizes = [len(x) for x in sets]
+            out.append((table["label"][lo].as_py(), table["block"][lo].as_py(), union_bits(sets).tobytes(), min(sizes), max(sizes)))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["label", "block", "tokens", "smallest", "largest"])
+
+    return rows.select("label", "block", "bin", "tokens").groupBy("bin").applyInArrow(tidy_group(unite), "label long, block long, tokens binary, smallest long, largest long")
+
+
+def _searches(asked: DataFrame, unions: DataFrame, percent: int, bins: int) -> DataFrame:
+    """(row, block): the blocks of its family where each row of ``asked`` (row, label, tokens) must be searched."""
+
+    def bound(table: pa.Table) -> pa.Table:
+        table, rows, blocks = table.sort_by([("meeting", "ascending"), (ROW, "ascending")]), [], []
+        for lo, hi in _runs(table, "meeting"):
+            lines = table.slice(lo, hi - lo).to_pylist()
+            unions = [(x["block"], np.frombuffer(x["tokens"], np.uint8), x["smallest"], x["largest"]) for x in lines if x["block"] is not None]
+            for x in lines:
+                if x["block"] is None:
+                    tokens = unplanes(x["tokens"], np.uint64)
+                    found = [block for block, *facts in unions if may_link(tokens, *facts, percent)]
+                    rows += [x[ROW]] * len(found)
+                    blocks += found
+        return pa.table({ROW: pa.array(rows, pa.int64()), "block": pa.array(blocks, pa.int64())})
+
+    cuts = asked.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("cuts"))
+    sizes = cuts.join(unions.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / UNIONS).alias("slices")), "label")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("_n")
+    none = F.lit(None).cast("long")
+    ask = asked.join(sizes, "label").select(ROW, "label", "tokens", F.pmod(F.xxhash64(ROW), "cuts").alias("cut"), every("slices"))
+    ask = ask.select(ROW, "tokens", F.xxhash64("label", "cut", "_n").alias("meeting"), none.alias("block"), none.alias("smallest"), none.alias("largest"))
+    offer = unions.join(sizes, "label").withColumn("slice", F.pmod(F.xxhash64("block"), "slices")).select("*", every("cuts"))
+    offer = offer.select(none.alias(ROW), "tokens", F.xxhash64("label", "_n", "slice").alias("meeting"), "block", "smallest", "largest")
+    met = ask.unionByName(offer).withColumn("bin", _bin("meeting", bins))
+    return met.groupBy("bin").applyInArrow(tidy_group(bound), f"{ROW} long, block long")
+
+
+def linked(reps: DataFrame, member: DataFrame, sets: DataFrame, n: int, percent: int, total_bytes: int) -> DataFrame | None:
     """(v, label) for the representatives that are linked with others; None if there are none.
 
     ``reps``: all rows with their text, of which those of the table ``member`` (row, rep) that represent a
-    class are asked for.
+    class are asked for. ``sets``: what ``_describe`` gives.
     """
     spark = reps.sparkSession
     buckets = max(partitions(spark), total_bytes // BUCKET_BYTES + 1)
-    pairs = _families(reps, n, percent, buckets)
+    pairs = _families(reps, n, percent, buckets, _frequent(sets))
     for c in "ab":
         pairs = pairs.join(member.select(F.col(ROW).alias(c), F.col("rep").alias(f"_{c}")), c)
     pairs = written(pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct(), "family-pairs")
@@ -342,37 +421,36 @@ def linked(reps: DataFrame, member: DataFrame, n: int, percent: int, total_bytes
         return None
     family = components(pairs)
     sizes = family.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    family = written(family.join(sizes, "label"), "families")
-    # a large family is dealt to blocks by the least token of its sets, and again where many share it
-    small = family.where(F.col("m") <= BLOCK).select(F.col("v").alias(ROW), "label", F.xxhash64("label").alias("block"))
-    large = family.where(F.col("m") > BLOCK)
-    any_large = not large.isEmpty()
-    if any_large:
-        def least(batches):
-            for ids, texts, *rest in chunks(batches):
-                low = [int(x[0] >> np.uint64(2)) if len(x) else 0 for x in token_sets(texts.to_pylist(), n)]
-                yield pa.RecordBatch.from_arrays([ids, *rest, pa.array(low, pa.int64())], [ROW, "label", "m", "low"])
-
-        big = with_text(reps, large.withColumnRenamed("v", ROW)).select(ROW, "_text", "label", "m")
-        big = written(big.mapInArrow(tidy(least), f"{ROW} long, label long, m long, low long"), "large-families")
-        part = F.pmod(F.xxhash64("low"), F.ceil(F.col("m") / (BLOCK // 2)))
-        big = big.withColumn("part", part)
-        full = big.groupBy("label", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
-        big = big.join(full, ["label", "part"]).withColumn("block", F.xxhash64("label", "part", F.pmod(F.xxhash64(ROW), "cuts")))
-        big = written(big.select(ROW, "label", "block"), "large-blocks")
-        blocks = written(small.unionByName(big), "blocks")
-    else:
-        blocks = written(small, "blocks")
-    binned = blocks.withColumn("query", F.lit(False)).withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(buckets)))
-    links = written(_links(with_text(reps, binned), n, percent), "links")
+    family = written(family.join(sizes, "label").withColumnRenamed("v", ROW), "families")
+    tokens = written(_tokens(with_text(reps, family), n), "family-tokens")
+    release(spark)
+
+    def dealt(rows: DataFrame, low: str) -> DataFrame:
+        """(row, label, block): large families by the least token of their sets, and again where many share it."""
+        parts = F.when(F.col("m") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("m") / (BLOCK // 2)))
+        rows = rows.select(ROW, "label", F.pmod(F.xxhash64(low), parts).alias("part"), F.lit(low).alias("by"))
+        full = rows.groupBy("label", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
+        return rows.join(full, ["label", "part"]).select(ROW, "label", F.xxhash64("by", "label", "part", F.pmod(F.xxhash64(ROW), "cuts")).alias("block"))
+
+    blocks = written(dealt(tokens, "low"), "blocks")
+    large = tokens.where(F.col("m") > BLOCK)
+    both = blocks.select(ROW, "block").unionByName(dealt(large, "other").select(ROW, "block"))
+    links = written(_links(_placed(tokens, both, buckets), percent), "links")
     release(spark)
-    if any_large:
-        links = _across(reps, big, links, n, percent, buckets)
+    if not large.isEmpty():
+        links = _across(tokens, blocks.join(large.select(ROW), ROW), links, percent, buckets)
     return None if links.isEmpty() else components(links)
 
 
-def _across(reps: DataFrame, big: DataFrame, links: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+def _placed(tokens: DataFrame, places: DataFrame, bins: int) -> DataFrame:
+    """The tokens of each place (row, block, maybe query), with the bin of its block."""
+    places = places if "query" in places.columns else places.withColumn("query", F.lit(False))
+    return tokens.select(ROW, "tokens").join(places, ROW).withColumn("bin", _bin("block", bins))
+
+
+def _across(tokens: DataFrame, big: DataFrame, links: DataFrame, percent: int, buckets: int) -> DataFrame:
     """``links`` and those between blocks of one large family."""
+    big = written(big, "large-families")
 
     def labelled(links):
         parts = components(links.unionByName(big.select(F.col(ROW).alias("a"), F.col(ROW).alias("b"))))
@@ -381,24 +459,24 @@ def _across(reps: DataFrame, big: DataFrame, links: DataFrame, n: int, percent:
     now = labelled(links)
     leaders = now.where(F.col(ROW) == F.col("at"))
     counts = leaders.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / LEADERS).alias("cuts"))
-    leaders = leaders.join(counts, "label").withColumn("block", F.xxhash64("label", F.pmod(F.xxhash64(ROW), "cuts")))
-    leaders = written(leaders.select(ROW, "block", F.lit(False).alias("query"), F.pmod(F.xxhash64("block"), F.lit(buckets)).alias("bin")), "leaders")
-    links = written(links.unionByName(_links(with_text(reps, leaders), n, percent)), "links")
+    leaders = leaders.join(counts, "label").select(ROW, F.xxhash64("label", F.pmod(F.xxhash64(ROW), "cuts")).alias("block"))
+    links = written(links.unionByName(_links(_placed(tokens, written(leaders, "leaders"), buckets), percent)), "links")
     now = labelled(links)
-    # the largest part of each family needs no search; what is apart from it does, in every block
+    # the largest part of each family needs no search; what is apart from it does
     sizes = now.groupBy("label", "at").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("label").agg(F.max(F.struct("k", "at")).getField("at").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    if main.isEmpty():
+    apart = written(now.join(main, "label"), "apart")
+    if apart.isEmpty():
         return links
-    apart = now.join(main, "label")
-    asked = written(apart.where("at <> main").select(ROW, "label"), "queries")
-    cuts = asked.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("cuts"))
-    where = apart.select("label", "block").distinct().join(cuts, "label")
-    to = asked.join(where, "label").withColumn("part", F.pmod(F.xxhash64(ROW), "cuts")).select(ROW, "block", "part", F.lit(True).alias("query"))
-    members = apart.select(ROW, "label", "block").join(cuts, "label").select(ROW, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("part"), F.lit(False).alias("query"))
+    asked = apart.where("at <> main").select(ROW, "label")
+    unions = written(_unions(tokens.select(ROW, "tokens").join(apart.select(ROW, "label", "block"), ROW).withColumn("bin", _bin("block", buckets))), "unions")
+    found = written(_searches(tokens.select(ROW, "tokens").join(asked, ROW), unions, percent, buckets), "searches")
+    cuts = found.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("cuts"))
+    to = found.join(cuts, "block").select(ROW, "block", F.pmod(F.xxhash64(ROW), "cuts").alias("part"), F.lit(True).alias("query"))
+    members = apart.select(ROW, "block").join(cuts, "block").select(ROW, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("part"), F.lit(False).alias("query"))
     every = to.unionByName(members).groupBy(ROW, "block", "part").agg(F.max("query").alias("query"))
-    every = every.select(ROW, F.xxhash64("block", "part").alias("block"), "query").withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(4 * buckets)))
-    return written(links.unionByName(_links(with_text(reps, written(every, "searches")), n, percent)), "links")
+    every = written(every.select(ROW, F.xxhash64("block", "part").alias("block"), "query"), "meetings")
+    return written(links.unionByName(_links(_placed(tokens, every, 4 * buckets), percent)), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -411,10 +489,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body")), "_id")
     rows = rows.select(ROW, "_id", raw_text("_body").alias("_text"))
-    described = written(_describe(rows, shingle), "sets")
+    sets = written(_describe(rows, shingle), "sets")
+    described = sets.where(F.col(ROW).isNotNull()).select(ROW, "n", "f", "g")
     classes = described.groupBy("n", "f", "g").agg(F.min(ROW).alias("rep")).where("n > 0")
     member = written(described.join(classes, ["n", "f", "g"], "left").select(ROW, "n", F.coalesce("rep", ROW).alias("rep")), "classes")
-    found = linked(rows.select(ROW, "_text"), member.select(ROW, "rep"), shingle, percent, text_bytes(rows))
+    found = linked(rows.select(ROW, "_text"), member.select(ROW, "rep"), sets, shingle, percent, text_bytes(rows))
     if found is not None:
         member = member.join(found.select(F.col("v").alias("rep"), "label"), "rep", "left")
     else:

@@ -6,7 +6,7 @@ import pytest
 from quire.llm import jaccard_join
 from quire.llm.common import raw_text
 from quire.llm.components import components
-from quire.llm.jaccard_join import Bands, Parts, jaccard_components, link_block, token_sets
+from quire.llm.jaccard_join import Parts, jaccard_components, link_block, may_link, need, shared_least, shown, token_sets, union_bits
 
 
 def shingles(text, n=4):
@@ -84,31 +84,71 @@ def test_a_link_between_chunks_is_kept_where_one_is_hot(spark):
     assert {c for _, c in want[:202]} == {0}
     docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 2), "_row long, text string")
     parts = Parts(len(texts))
-    for r in jaccard_join._families(docs.select("_row", raw_text().alias("_text")), 4, 85, 4).collect():
+    for r in jaccard_join._families(docs.select("_row", raw_text().alias("_text")), 4, 85, 4, (np.zeros(0, np.int64), np.zeros(0, np.uint8))).collect():
         parts.join(r.a, r.b)
     assert parts.find(201) == parts.find(200) == 0
 
 
-def test_linked_sets_share_enough_signatures():
-    rng, bands = random.Random(5), Bands(85)
+def test_linked_sets_share_enough_of_what_they_show():
+    rng = random.Random(5)
     gen = np.random.default_rng(5)
-    for _ in range(4000):
-        n = rng.choice([1, 2, 6, 7, 8, 12, 20, 40, 100, 300])
-        a = gen.integers(0, 2**64, n, np.uint64)
-        drop, add = rng.randint(0, n // 6), rng.randint(0, n // 6)
-        b = np.r_[a[drop:], gen.integers(0, 2**64, add, np.uint64)]
-        if len(b) and 100 * (n - drop) >= 85 * (n + add):
-            (sa, fa), (sb, fb) = bands.signatures(np.sort(a)), bands.signatures(np.sort(b))
-            both, ia, ib = np.intersect1d(sa, sb, return_indices=True)
-            small, large = sorted((len(a), len(b)))
-            band = bands.of(small)
-            if (fa[ia] < 0).any():
-                continue
-            mine = fa[ia] >> 16 == band
-            assert mine.any()
-            empty = np.minimum(fa[ia][mine] & 65535, fb[ib][mine] & 65535)
-            least = bands.least_shared(np.array([small]), np.array([large]), np.array([band]), empty[:1])
-            assert mine.sum() >= least[0]
+    for percent in (80, 85):
+        for _ in range(3000):
+            n = rng.choice([1, 2, 6, 7, 8, 12, 20, 40, 100, 300])
+            a = gen.integers(0, 2**64, n, np.uint64)
+            drop, add = rng.randint(0, n // 5), rng.randint(0, n // 5)
+            b = np.r_[a[drop:], gen.integers(0, 2**64, add, np.uint64)]
+            if len(b) and 100 * (n - drop) >= percent * (n + add):
+                level = gen.integers(0, 3, 1 << jaccard_join.CELL_BITS, np.uint8)
+                x, y = shown([np.sort(a), np.sort(b)], percent, level)
+                assert len(np.intersect1d(x, y)) >= shared_least(min(len(a), len(b)), percent) >= 1
+
+
+def test_a_bitmap_never_hides_a_linked_set():
+    gen = np.random.default_rng(8)
+    pool = gen.integers(0, 2**64, 60, np.uint64)
+    for _ in range(300):
+        block = [np.unique(gen.choice(pool, gen.integers(5, 30))) for _ in range(6)]
+        q = np.unique(np.r_[gen.choice(block[0], len(block[0]) - 1, replace=False), gen.integers(0, 2**64, gen.integers(0, 4), np.uint64)])
+        linked = any(100 * len(np.intersect1d(q, x)) >= 80 * len(np.union1d(q, x)) for x in block)
+        assert may_link(q, union_bits(block), min(map(len, block)), max(map(len, block)), 80) or not linked
+    assert need(7, 85) == 6
+
+
+def test_near_copies_in_two_chunks_with_a_hot_passage(spark):
+    """Hundreds of pages share one passage; a page of the second file is linked with one of the first only."""
+    passage = [f"p{i}" for i in range(92)]
+    texts = [" ".join([*passage, *(f"d{i}_{k}" for k in range(14))]) for i in range(999)]
+    words = texts[415].split()
+    words[95], words[101] = "changed", "again"
+    texts.append(" ".join(words))
+    want = brute(texts)
+    assert want[999][1] == 415
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 2), "doc_id long, text string")
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()}
+    assert [out[i] for i in range(1000)] == want
+
+
+def test_families_over_blocks_and_chunks_equal_brute_force(spark, monkeypatch):
+    """Large families of near copies at the threshold: blocks, leaders, bitmaps and searches all take part."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 16)
+    monkeypatch.setattr(jaccard_join, "QUERIES", 8)
+    monkeypatch.setattr(jaccard_join, "UNIONS", 4)
+    rng = random.Random(11)
+    texts = []
+    for size in (40, 90):
+        base = [f"b{size}_{i}" for i in range(size)]
+        for _ in range(160):
+            w = list(base)
+            for _ in range(rng.randint(0, size // 20)):
+                w[rng.randrange(size)] = f"e{rng.randint(0, 40)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 4), "doc_id long, text string")
+    for percent in (80, 85):
+        out = sorted(jaccard_components(docs, percent=percent).collect(), key=lambda r: r.doc_id)
+        assert [(r.n_shingles, r.component_id) for r in out] == brute(texts, percent)
 
 
 def test_block_links_equal_brute_force():
