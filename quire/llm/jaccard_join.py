@@ -3,10 +3,12 @@
 A document's tokens are its distinct word shingles. Documents with equal sets are one class, and a class
 is represented by one row from the start. The stages:
 
-1. Similar documents are partitioned into groups. In one order of all tokens, those that chunks of text
-   report as frequent last, a set shows its first tokens: so many that two linked sets share at least
-   ``shared_least`` of what they show. Shown tokens meet in Spark, and what hangs together by enough of
-   them, directly or not, is one family. A large family is dealt to blocks twice, by the least token of
+1. Similar documents are partitioned into groups. In one order of all tokens, those that tasks report as
+   frequent last, a set shows its first tokens: so many that two linked sets share at least
+   ``shared_least`` of what they show. Shown tokens meet in Spark. Where few sets share one, pairs are
+   counted; where many do, only each set's number of such tokens is, and it counts for a pair as if
+   they shared them all. Sets that show enough such tokens to be linked by these alone join the
+   smallest that shows one. What hangs together, directly or not, is one family. A large family is dealt to blocks twice, by the least token of
    its sets in two orders. The tokens of family members are written once.
 2. Each block stores the token union of its groups as a matrix. For a query the overlap with a union
    bounds that with every member; only groups that reach what the threshold asks for are opened, and
@@ -37,12 +39,12 @@ GROUP = 16
 LEADERS = 1024
 QUERIES = 2048
 #: Sharers of one signature that are paired with one another.
-ALL_PAIRS = 128
+ALL_PAIRS = 64
 #: Pairs a task holds at once, about.
 PAIRS = 250_000
 #: Cells of frequent tokens at most. They only order tokens: any order gives the same links.
 CELLS = 1 << 16
-CELL_BITS = 24
+CELL_BITS = 22
 #: Blocks whose unions a query meets in one task.
 UNIONS = 1024
 _TAG = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -88,6 +90,11 @@ def shared_least(size, percent: int):
     return np.minimum(need(size, percent), 1 + size - need(size, percent))
 
 
+def alone_least(size, percent: int):
+    """How many shown tokens a set of this size shares at least with any set it is linked with."""
+    return shared_least(need(size, percent), percent)
+
+
 def shown(sets: list[np.ndarray], percent: int, level: np.ndarray) -> list[np.ndarray]:
     """The tokens each set shows: the first in the order by (level, token).
 
@@ -173,16 +180,14 @@ def link_block(sets: list[np.ndarray], percent: int, parts: Parts, queries: list
     return links
 
 
-def merged_pairs(pairs: np.ndarray, counts: np.ndarray, least: np.ndarray, sure: np.ndarray):
-    """Each unordered pair once, with its summed count and the greatest of the other facts."""
-    pairs = np.sort(pairs, axis=1)
-    keep = np.flatnonzero(pairs[:, 0] < pairs[:, 1])
-    keep = keep[np.lexsort((pairs[keep, 1], pairs[keep, 0]))]
-    pairs, counts, least, sure = pairs[keep], counts[keep], least[keep], sure[keep]
+def merged_pairs(pairs: np.ndarray, counts: np.ndarray, least: np.ndarray):
+    """Each pair (smaller, larger) once, with its summed count and the greatest of the other numbers."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs, counts, least = pairs[order], counts[order], least[order]
     if not len(pairs):
-        return pairs, counts, least, sure
+        return pairs, counts, least
     first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)])
-    return pairs[first], np.add.reduceat(counts, first), np.maximum.reduceat(least, first), np.maximum.reduceat(sure, first)
+    return pairs[first], np.add.reduceat(counts, first), np.maximum.reduceat(least, first)
 
 
 def _first_of_equal(sets: list[np.ndarray]) -> np.ndarray:
@@ -197,26 +202,25 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
 
 
 def _describe(rows: DataFrame, n: int) -> DataFrame:
-    """(row, size, two hashes of the set), and a line without row for each chunk: the cells of tokens that
-    many of its sets have, and how many."""
+    """(row, size, two hashes of the set), and a line without row for each task: the cells of tokens that
+    stand out among its sets, and how often they occur."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    line = lambda *columns: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [ROW, "n", "f", "g", "cells", "times"])
 
     def run(batches):
+        times, seen = np.zeros(1 << CELL_BITS, np.int32), set()
         for ids, texts in chunks(batches):
             sets = token_sets(texts.to_pylist(), n)
             f = np.zeros((len(sets), 2), np.uint64)
             for i, x in enumerate(sets):
                 if len(x):
                     f[i] = mix(x).sum(), np.bitwise_xor.reduce(mix(x * _TAG))
-            once = np.unique(f, axis=0, return_index=True)[1]
-            cell, times = np.unique(_cells(np.concatenate([sets[i] for i in once.tolist()])), return_counts=True)
-            often = times >= max(4, len(once) // 256)
-            columns = [
-                pa.array([*ids.to_pylist(), None], pa.int64()),
-                pa.array([*map(len, sets), 0], pa.int64()),
-                *(pa.array(np.r_[c.view(np.int64), 0]) for c in np.ascontiguousarray(f.T)),
-                *(pa.array([None] * len(sets) + [planes(x)], pa.binary()) for x in (cell[often], times[often].astype(np.int32))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [ROW, "n", "f", "g", "cells", "times"])
+            new = [x for x, c in zip(sets, f[:, 0].tolist(), strict=True) if not (c in seen or seen.add(c))]
+            times += np.bincount(_cells(np.concatenate([np.zeros(0, np.uint64), *new])), minlength=len(times)).astype(np.int32)
+            yield line(ids, [len(x) for x in sets], *(c.view(np.int64) for c in np.ascontiguousarray(f.T)), *[[None] * len(sets)] * 2)
+        mean = times.mean()
+        often = np.flatnonzero(times >= max(4, len(seen) // 2048, mean + 6 * mean**0.5))
+        yield line([None], [0], [0], [0], [planes(often.astype(np.uint32))], [planes(times[often])])
 
     return rows.select(ROW, "_text").mapInArrow(tidy(run), f"{ROW} long, n long, f long, g long, cells binary, times binary")
 
@@ -236,10 +240,14 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _families(rows: DataFrame, n: int, percent: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(a, b): pairs of rows that share as many shown tokens as linked sets of their sizes do at
-    least. Where more than ``ALL_PAIRS`` share one, each is paired with the smallest instead. If that is so
-    within a chunk, the smallest is sent for all, and all that meet it there are paired with it: the
-    others' counts with them aren't known."""
+    """(a, b): pairs of rows that connect all rows that may be linked.
+
+    A token that more than ``ALL_PAIRS`` sets show is hot. Let ``h`` be a row's number of hot tokens. Linked
+    rows share ``least`` shown tokens, of which at most the smaller ``h`` are hot, so the others are at least
+    ``least - h``: such pairs are found by counting. If that leaves none, both rows have an ``h`` of
+    ``least`` or more and show a hot token in common, where each meets its smallest row. A chunk sends
+    only one row for a token that is hot in it, where its own hot tokens already decide that for a row.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)  # at most CELLS numbers
 
     def send(batches):
@@ -252,53 +260,67 @@ def _families(rows: DataFrame, n: int, percent: int, buckets: int, frequent: tup
             own, sets = own[once], [x for x, new in zip(sets, once.tolist(), strict=True) if new]
             first_tokens = shown(sets, percent, level)
             sizes = [len(x) for x in first_tokens]
-            token, row = np.concatenate(first_tokens), np.repeat(own, sizes)
-            size = np.repeat(np.fromiter(map(len, sets), np.int64, len(sets)), sizes)
-            _, first, place, times = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
-            hot = times[place] > ALL_PAIRS  # the others hang on the chunk's smallest row
-            hub = row[first][place]
-            pairs = np.unique(np.stack([row, hub], axis=1)[hot & (row != hub)], axis=0)
-            go = np.flatnonzero(~hot | (row == hub))
-            token, row, size, hot = token[go], row[go], size[go].astype(np.int32), hot[go].astype(np.uint8)
-            out = [(b, planes(token[at]), planes(row[at]), planes(size[at]), planes(hot[at]), b"", b"") for b, at in by_bucket(token, buckets)]
+            token, place = np.concatenate(first_tokens), np.repeat(np.arange(len(own)), sizes)
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            _, inverse, times = np.unique(token, return_inverse=True, return_counts=True)
+            hot = times[inverse] > ALL_PAIRS
+            decided = np.bincount(place[hot], minlength=len(own)) >= alone_least(size, percent)
+            at = np.flatnonzero(hot & decided[place])
+            kinds, first, which = np.unique(inverse[at], return_index=True, return_inverse=True)
+            hub = place[at][first][which]  # rows ascend, so the first is the smallest
+            hung = hub != place[at]
+            pairs, counts, _ = merged_pairs(np.stack([own[hub[hung]], own[place[at[hung]]]], axis=1), np.ones(hung.sum(), np.int64), place[at[hung]])
+            lows = alone_least(size, percent)[np.searchsorted(own, pairs[:, 1])]
+            keep = np.ones(len(token), bool)
+            keep[at[hung]] = False
+            go = np.flatnonzero(keep)
+            token, row, size, hot = token[go], own[place[go]], size[place[go]].astype(np.int32), hot[go].astype(np.uint8)
+            out = [(b, planes(token[x]), planes(row[x]), planes(size[x]), planes(hot[x]), *[b""] * 4) for b, x in by_bucket(token, buckets)]
             if len(pairs):
-                out.append((int(own[0] % buckets), None, None, None, None, planes(pairs[:, 0].copy()), planes(pairs[:, 1].copy())))
+                out.append((int(own[0] % buckets), *[None] * 4, *(planes(np.ascontiguousarray(x)) for x in (pairs[:, 0], pairs[:, 1], counts, lows))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], list("bsrnfxy"))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 8), strict=True)], list("bsrnfxykl"))
 
     def meet(table: pa.Table) -> pa.Table:
-        read = lambda c, kind=np.int64: [unplanes(x, kind) for x in table[c].to_pylist() if x]
-        hung = np.stack([np.concatenate([*a, []]) for a in (read("x"), read("y"))], axis=1).astype(np.int64)
-        certain = lambda p: merged_pairs(p, np.ones(len(p), np.int64), np.zeros(len(p), np.int64), np.ones(len(p), bool))
-        out = [certain(hung)]
-        if tokens := read("s", np.uint64):
-            token, row, size, for_all = np.concatenate(tokens), np.concatenate(read("r")), np.concatenate(read("n", np.int32)).astype(np.int64), np.concatenate(read("f", np.uint8)).astype(bool)
-            order = np.lexsort((row, token))
-            token, row, size, for_all = token[order], row[order], size[order], for_all[order]
-            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            times = np.diff(np.r_[first, len(token)])
-            big = np.flatnonzero(np.repeat(times > ALL_PAIRS, times))
+        read = lambda c, kind=np.int64: np.concatenate([np.zeros(0, kind), *(unplanes(x, kind) for x in table[c].to_pylist() if x)])
+        hot_pairs, cold = [(np.stack([read("x"), read("y")], axis=1), read("k"), read("l"))], []
+        token, row, size, marked_hot = read("s", np.uint64), read("r"), read("n", np.int32).astype(np.int64), read("f", np.uint8)
+        order = np.lexsort((row, token))
+        token, row, size, marked_hot = token[order], row[order], size[order], marked_hot[order]
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[first, len(token)])
+        if len(first):
+            hot = (times > ALL_PAIRS) | (np.maximum.reduceat(marked_hot, first) > 0)
+            big = np.flatnonzero(np.repeat(hot, times))
             hub = np.repeat(row[first], times)[big]
-            out.append(certain(np.stack([hub, row[big]], axis=1)))
-            some = np.flatnonzero((times > 1) & (times <= ALL_PAIRS))
+            hot_pairs.append((np.stack([hub, row[big]], axis=1), np.ones(len(big), np.int64), alone_least(size[big], percent)))
+            some = np.flatnonzero((times > 1) & ~hot)
             many = np.cumsum(times[some] * (times[some] - 1) // 2)
             for lo, hi in zip(cuts := [0, *np.searchsorted(many, np.arange(PAIRS, int(many[-1]) if len(many) else 0, PAIRS)).tolist(), len(some)], cuts[1:], strict=False):
-                if hi <= lo:
-                    continue
-                own = some[lo:hi]
-                a, b = pairs_within(first[own], times[own])
-                small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                hung_on = for_all[a] | for_all[b]
-                ok = (hung_on | (100 * small >= percent * large)) & (row[a] != row[b])
-                a, b, small, hung_on = (x[ok] for x in (a, b, small, hung_on))
-                out.append(merged_pairs(np.stack([row[a], row[b]], axis=1), np.ones(len(a), np.int64), shared_least(small, percent), hung_on))
-        pairs, counts, least, sure = merged_pairs(*(np.concatenate(x) for x in zip(*out, strict=True)))
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "k": counts, "least": least, "sure": sure})
-
-    sent = rows.select(ROW, "_text").mapInArrow(tidy(send), "b int, s binary, r binary, n binary, f binary, x binary, y binary")
-    met = sent.groupBy("b").applyInArrow(tidy_group(meet), "a long, b long, k long, least long, sure boolean")
-    found = met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("least").alias("least"), F.max("sure").alias("sure"))
-    return found.where("sure or k >= least").select("a", "b")
+                if hi > lo:
+                    a, b = pairs_within(first[some[lo:hi]], times[some[lo:hi]])
+                    small = np.minimum(size[a], size[b])
+                    ok = 100 * small >= percent * np.maximum(size[a], size[b])
+                    a, b, small = a[ok], b[ok], small[ok]
+                    cold.append(merged_pairs(np.stack([row[a], row[b]], axis=1), np.ones(len(a), np.int64), shared_least(small, percent)))
+        out = []
+        for parts, is_hot in ((hot_pairs, True), (cold, False)):
+            if parts:
+                pairs, counts, least = merged_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                out.append(pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "k": counts, "least": least, "hot": np.full(len(pairs), is_hot)}))
+        return pa.concat_tables(out)
+
+    kinds = "b int, s binary, r binary, n binary, f binary, x binary, y binary, k binary, l binary"
+    sent = rows.select(ROW, "_text").mapInArrow(tidy(send), kinds)
+    met = sent.groupBy("b").applyInArrow(tidy_group(meet), "a long, b long, k long, least long, hot boolean")
+    found = written(met.groupBy("a", "b", "hot").agg(F.sum("k").alias("k"), F.max("least").alias("least")).where("a <> b or hot"), "met")
+    cold, hot = found.where("not hot"), found.where("hot")
+    h = written(hot.groupBy("b").agg(F.sum("k").alias("h"), F.max("least").alias("low")), "hot")
+    out = cold.where("k >= least").select("a", "b")
+    out = out.unionByName(hot.where("a <> b").select("a", "b").join(h.where("h >= low").select("b"), "b").select("a", "b"))
+    less = cold.where("k < least").join(h.select("b", "h"), "b").where("k + h >= least")
+    less = less.join(h.select(F.col("b").alias("a"), F.col("h").alias("g")), "a").where("k + g >= least")
+    return out.unionByName(less.select("a", "b"))
 
 
 def _tokens(rows: DataFrame, n: int) -> DataFrame:
