@@ -23,6 +23,8 @@ from .piece_tokenizer import bounded
 
 #: Pieces a shard packs at most on average. A shard is one task's memory.
 SHARD = 8192
+#: Latin, Greek and Cyrillic end here.
+LETTERS_END = "Ԁ"
 
 
 def _letters_only(spec: str):
@@ -36,11 +38,12 @@ def _letters_only(spec: str):
 
 
 def _plain(word: bytes) -> bool:
-    """Whether a word is letters only, in lower case and composed: normalising and splitting leave it whole."""
+    """Whether a word is letters only, in lower case and composed: normalising and splitting leave it whole.
+    Only of scripts whose letters no version of Unicode disagrees on."""
     if word.isascii():
         return word.isalpha() and word.islower()
     text = str(word, "utf-8", "replace")
-    return text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
+    return max(text) < LETTERS_END and text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
 
 
 class WordCache:
@@ -89,12 +92,15 @@ class WordCache:
         return out
 
     def _core(self, word: bytes) -> bytes:
-        """The word in lower case, without a closing point after a letter, which is a token of its own."""
+        """The word without a closing point after what is a letter or digit once composed and lowered: the point
+        is a token of its own there. ASCII words come in lower case; others may compose differently then."""
         if b"<|" in word:  # may be a special token
             return word
-        if word[-1] in self.points and len(word) > 1 and (word[-2:-1].isalnum() or word[-2] > 127 and str(word[:-1], "utf-8", "replace")[-1].isalpha()):
-            word = word[:-1]
-        return word.lower()
+        if word[-1] in self.points and len(word) > 1:
+            before = word[-2:-1].decode() if word[-2] < 128 else str(word[:-1], "utf-8", "replace")[-1]
+            if before < LETTERS_END and before.isalnum() and before.lower().isalnum():
+                word = word[:-1]
+        return word.lower() if word.isascii() else word
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         cores = [self._core(w) for w in words]

@@ -20,6 +20,36 @@ def test_word_cache_equals_the_library():
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_cache_equals_the_library_on_every_letter_and_point():
+    """Every code point before a closing point, all points after those that change when lowered or composed,
+    and every capital with every combining mark."""
+    import string
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    plain, cache = Tokenizer.from_str(SPEC), WordCache(SPEC, 20_000)
+    every = [c for c in map(chr, range(33, 0x1F000)) if unicodedata.category(c) not in ("Cs", "Cn", "Co")]
+    words = [f"{c}," for c in every if ord(c) < 0x3000 or ord(c) % 7 == 0]
+    odd = [c for c in every if c.lower() != c or unicodedata.normalize("NFC", c) != c or ord(c) < 0x250]
+    words += [c + p for c in odd for p in ".;:!?"]
+    words += [f"{c}{m}{t}" for c in string.ascii_letters for m in map(chr, range(0x300, 0x370)) for t in ("", ",", "x.")]
+    texts = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+    for text, got, ids in zip(texts, cache.encode([t.encode() for t in texts]), plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids.ids, text
+
+
+def test_ids_equal_the_library_on_documents():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    plain, cache = Tokenizer.from_str(SPEC), WordCache(SPEC)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
+    assert len(texts) >= 100
+    for text, got in zip(texts, cache.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def brute_best_fit(lengths, size):
     room, where, offset = [], [0] * len(lengths), [0] * len(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
