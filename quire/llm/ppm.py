@@ -1,55 +1,47 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-A text is lower-cased (A-Z) and read as a byte stream: each word followed by a space, and one more space
-at the end. The context of a byte is what its word has so far, with the space before it, up to
-``order`` bytes. All training words are counted; the trie of contexts keeps the most frequent
-``entries`` (context, byte) pairs of all orders. A byte unknown in its longest context escapes to the
-next shorter one (escape estimate C), where the bytes that the longer context knew are excluded.
-
-There is one trie for each of at most ``CLASSES`` classes of training texts (their languages). A text's
-probability is the mixture over classes by their share in training; its own class is not looked at.
-A word's code length does not depend on its neighbours, so each distinct word is scored once per task.
-The unigram baseline needs the count of every word: frequent words are looked up in a broadcast head of
-at most ``head`` words, all others by a join with the complete table of counts.
+A text is lower-cased (A-Z) and read as one byte stream: each word followed by a space, and one more space at
+the end; before it stand ``ORDER`` spaces, which are contexts only. The context of a byte is the ``ORDER``
+bytes before it, whatever words they belong to. A byte unknown in its longest context escapes to the next
+shorter one (escape estimate C), where the bytes that the longer context knew are excluded.
+
+The trie holds every (context, byte) of the training texts, so it grows with them; it is never in one place:
+
+1. One pass counts pairs of neighbouring bytes of the training texts: orders 0 and 1, 65,536 counts at most.
+2. Texts are dealt to chunks by a hash. A chunk sends each of its distinct strings of ``ORDER`` + 1 bytes once,
+   with its number of training occurrences, to the bucket of the last two bytes of its context, and each
+   of its distinct words to a bucket of words.
+3. A bucket has all occurrences of its contexts of order 2 and more, so it builds its part of the trie, and
+   answers each chunk with the code length of each string, or the training count of each word.
+4. Chunks meet the answers and add them up for each text.
+
+The unigram baseline takes the counts of words.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, keyed, raw_text, tidy, worker_memo, written
+from .common import HASHES, ROW, keyed, mix, partitions, raw_text, tidy, tidy_group, written
 from .piece_tokenizer import bounded
+from .repeats import by_bucket, planes, text_bytes, unplanes
 
 ORDER = 6
-ENTRIES = 1_000_000
-HEAD = 1 << 17
-CLASSES = 8
+#: Text bytes a chunk holds on average, and bytes of its stream that are taken at once.
+CHUNK = 6_000_000
+SLICE = 8_000_000
+#: Buckets of contexts at most: the last two bytes of a context take few values.
+CONTEXTS = 4096
 SPACE = 32
-
-
-def framed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all words, each with a space before and after, as (bytes, depth, word number).
-    ``depth`` is the number of bytes before a place in its own frame; places of depth 0 are contexts only."""
-    flat = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8)
-    size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    start = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(words)), size)
-    return flat, np.arange(len(flat)) - start[owner], owner
-
-
-def grams(flat: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """A key for the ``k`` bytes before each place and the byte there: the length, then the bytes."""
-    key = np.full(len(at), k, np.int64)
-    for back in range(k, -1, -1):
-        key = (key << 8) | flat[at - back]
-    return key
+#: The chunk under which buckets report their number of known words.
+REPORT = -1
 
 
 @dataclass
@@ -117,213 +109,210 @@ class Trie:
         return logp
 
 
-def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, depth, word number) of every byte of all framed words: the code holds the byte and the up to
-    ``ORDER`` bytes before it in its word."""
-    flat, depth, owner = framed(words)
-    at = np.flatnonzero(depth > 0)
-    depth = np.minimum(depth[at], ORDER)
-    code = flat[at].astype(np.int64)
+def stream(words: list[bytes]) -> bytes:
+    """The stream of a text of these words, with the spaces before it."""
+    return b" " * ORDER + b" ".join(words) + (b"  " if words else b" ")
+
+
+def codes(flat: np.ndarray) -> np.ndarray:
+    """For each byte after the first ``ORDER``: the bytes before it and the byte, in the lower 56 bits."""
+    n = len(flat) - ORDER
+    out = flat[ORDER:].astype(np.int64)
     for back in range(1, ORDER + 1):
-        code |= np.where(depth >= back, flat[np.maximum(at - back, 0)].astype(np.int64) << (8 * back), 0)
-    return code, depth, owner[at]
+        out |= flat[ORDER - back : ORDER - back + n].astype(np.int64) << (8 * back)
+    return out
 
 
-@dataclass
-class Model:
-    tries: list[Trie]
-    shares: list[float]
-    tokens: int  # N: training tokens with ends
-    types: int  # V
-    ends: int
-    head: dict[bytes, int]
-    name: str
-
-    def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """A row for each word with its log10 probability in each class, with the space that ends it. The
-        empty word ends a text. Each distinct context and byte is looked up once."""
-        code, depth, owner = windows(words)
-        code, place = np.unique(code | (depth << 56), return_inverse=True)
-        code, depth = code & ((1 << 56) - 1), code >> 56
-        return np.stack([np.bincount(owner, t.scores(code, depth)[place], len(words)) for t in self.tries], axis=1)
-
-    def word_rows(self, words: list[bytes]) -> bytes:
-        """For each word its scores, its term of the baseline and 1 for a word of the head, as doubles."""
-        known = np.fromiter((self.head.get(w, -1) for w in words), np.float64, len(words))
-        base = np.where(known >= 0, self.base(np.maximum(known, 0)), 0.0)
-        return np.ascontiguousarray(np.c_[self.word_scores(words), base, known >= 0]).tobytes()
-
-    def mixed(self, scores: np.ndarray) -> np.ndarray:
-        """log10 of the mixture, for rows of log10 probabilities by class."""
-        x = scores + np.log10(self.shares)
-        top = x.max(axis=1)
-        return top + np.log10((10.0 ** (x - top[:, None])).sum(axis=1))
-
-    def base(self, count):
-        return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
+def slices(parts: list[list[bytes]]):
+    """(codes, text number) of all bytes of the texts' streams, ``SLICE`` at once."""
+    flat = b"".join(map(stream, parts))
+    size = np.fromiter((len(b"".join(p)) + len(p) + 1 for p in parts), np.int64, len(parts)) + ORDER
+    flat, end = np.frombuffer(flat, np.uint8), np.cumsum(size)
+    for lo in range(ORDER, len(flat), SLICE):
+        hi = min(lo + SLICE, len(flat))
+        a, b = np.searchsorted(end, [lo, hi - 1], "right")
+        owner = np.repeat(np.arange(a, b + 1), np.minimum(end[a : b + 1], hi) - np.maximum(end[a : b + 1] - size[a : b + 1], lo))
+        own = np.ones(hi - lo, bool)  # but for the spaces before a text
+        start = end[a : b + 1] - size[a : b + 1]
+        places = (start[:, None] + np.arange(ORDER)).ravel() - lo
+        own[places[(places >= 0) & (places < hi - lo)]] = False
+        yield codes(flat[lo - ORDER : hi])[own], owner[own]
 
 
-def held_out(id_col: str = "doc_id"):
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
+def _contexts(code: np.ndarray, buckets: int):
+    """(bucket, places) by the last two bytes of the contexts."""
+    return by_bucket(mix((code.view(np.uint64) >> np.uint64(8)) & np.uint64(0xFFFF)), buckets)
 
 
-def count_words(docs: DataFrame, text_col: str = "text", class_col: str | None = None) -> DataFrame:
-    """(class, word binary, n) over all texts; tasks combine before the shuffle, a block of text at a time."""
+def _ordered(table: pa.Table) -> tuple[pa.Table, list[list[bytes]]]:
+    """A chunk's rows in order, and their words."""
+    table = table.sort_by(ROW)
+    return table, [t.lower().split() for t in table["_text"].to_pylist()]
 
-    def run(batches):
-        for batch in batches:
-            for lo, hi in bounded(batch.column(1), 16_000_000):
-                counts: dict[int, Counter] = defaultdict(Counter)
-                for c, x in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
-                    counts[c].update(x.lower().split())
-                for c, own in counts.items():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), c), pa.int32()), pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], ["c", "word", "n"])
 
-    cls = F.col(class_col) if class_col else F.lit(0)
-    counted = docs.select(cls.alias("_c"), raw_text(text_col).alias("_text")).mapInArrow(tidy(run), "c int, word binary, n long")
-    return counted.groupBy("c", "word").agg(F.sum("n").alias("n"))
+def held_out(id_col: str = "doc_id"):
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-def count_grams(words: DataFrame, ends: dict[int, int]) -> DataFrame:
-    """(class, k, key, n) of every context and byte in the counted words and in the ends of texts by class."""
+def byte_pairs(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The counts of all pairs of neighbouring bytes in the streams of ``rows`` (row, text), 256 x 256, and the
+    number of their tokens."""
 
     def run(batches):
+        pairs, tokens = np.zeros(1 << 16, np.int64), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 100_000):
-                some = batch.slice(lo, 100_000)
-                classes = some.column(0).to_numpy()
-                for c in np.unique(classes).tolist():
-                    own = some.filter(pa.array(classes == c))
-                    flat, depth, owner = framed(own.column(1).to_pylist())
-                    weight = own.column(2).to_numpy(zero_copy_only=False)[owner]
-                    for k in range(ORDER + 1):
-                        at = np.flatnonzero(depth >= max(k, 1))
-                        if len(at):
-                            keys, inverse = np.unique(grams(flat, at, k), return_inverse=True)
-                            n = np.bincount(inverse, weight[at], len(keys)).astype(np.int64)
-                            same = [pa.array(np.full(len(keys), x), pa.int32()) for x in (c, k)]
-                            yield pa.RecordBatch.from_arrays([*same, pa.array(keys), pa.array(n)], ["c", "k", "key", "n"])
-
-    found = words.select("c", "word", "n").mapInArrow(tidy(run), "c int, k int, key long, n long")
-    end = [(c, k, (k << (8 * (k + 1))) | (0x2020 & ((1 << (8 * (k + 1))) - 1)), n) for c, n in ends.items() for k in (0, 1)]
-    if end:  # a row for each class
-        found = found.unionByName(words.sparkSession.createDataFrame(end, "c int, k int, key long, n long"))
-    return found.groupBy("c", "k", "key").agg(F.sum("n").alias("n"))
-
-
-def most_frequent(counts: DataFrame, most: int, order: str | None = None) -> DataFrame:
-    """The rows of ``counts`` with the greatest ``n``, at most ``most``: all above a threshold that a histogram
-    of some hundred cells gives, so no task sorts them all. Of the cell that would be too much, the rows of the
-    least ``order`` that fit."""
-    cell = F.floor(F.log2("n") * 16)
-    by = F.col(order) if order else F.lit(0)
-    sizes = counts.groupBy(cell.alias("cell"), by.cast("int").alias("o")).agg(F.count(F.lit(1)).alias("m")).collect()
-    by_cell: dict[int, dict[int, int]] = defaultdict(dict)
-    for r in sizes:
-        by_cell[r.cell][r.o] = r.m
-    left, cut, least = most, None, -1
-    for c in sorted(by_cell, reverse=True):
-        cut = c
-        if sum(by_cell[c].values()) > left:
-            for o in sorted(by_cell[c]):
-                left -= by_cell[c][o]
-                if left < 0:
-                    break
-                least = o
-            return counts.where((cell > cut) | (cell == cut) & (by <= least))
-        left -= sum(by_cell[c].values())
-    return counts
-
-
-def fit(training: DataFrame, text_col: str = "text", class_col: str | None = None, entries: int = ENTRIES, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model and the complete table of word counts. Null texts count as empty; each text has one end.
-
-    The classes are the ``CLASSES`` - 1 most frequent values of ``class_col`` and one for all others and
-    null; without the column there is one. Entries are kept by falling count, shorter contexts first in the
-    last cell, so a kept context's suffixes are kept too. Only the kept entries and the head reach the driver;
-    both are bounded.
+            for lo, hi in bounded(batch.column(1), 2_000_000):
+                parts = [t.lower().split() for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                tokens += sum(map(len, parts)) + len(parts)
+                for code, _ in slices(parts):
+                    pairs += np.bincount(code & 0xFFFF, minlength=1 << 16)
+        some = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[pairs[some], tokens])], ["pair", "n"])
+
+    found = rows.select(ROW, "_text").mapInArrow(tidy(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pair, n = found["pair"].to_numpy(), found["n"].to_numpy()
+    out = np.zeros(1 << 16, np.int64)
+    out[pair[pair >= 0]] = n[pair >= 0]
+    return out.reshape(256, 256), int(n[pair < 0].sum())
+
+
+def part_of_trie(code: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> Trie:
+    """The trie of some contexts: codes with their training counts, and the pairs of bytes of all texts."""
+    key, order, n = [], [], []
+    for k, own in ((0, pairs.sum(axis=0)), (1, pairs.ravel())):
+        some = np.flatnonzero(own)
+        key.append(some | k << (8 * (k + 1)))
+        order.append(np.full(len(some), k))
+        n.append(own[some])
+    code, count = code[count > 0], count[count > 0]
+    for k in range(2, ORDER + 1):
+        some, place = np.unique(code & ((1 << (8 * (k + 1))) - 1), return_inverse=True)
+        key.append(some | k << (8 * (k + 1)))
+        order.append(np.full(len(some), k))
+        n.append(np.bincount(place, count, len(some)))
+    return Trie.of(np.concatenate(key), np.concatenate(order), np.concatenate(n))
+
+
+_ASKED = "bucket int, chunk long, part int, body binary, counts binary"
+_ANSWER = "chunk long, part int, bucket int, counts binary"
+
+
+def _asker(contexts: int, buckets: int):
+    """What a chunk asks: of part -1 its words, of the other parts its strings of bytes."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        chunk = table["chunk"][0].as_py()
+        table, parts = _ordered(table)
+        training, out = np.asarray(table["_train"].cast(pa.int8()).combine_chunks()), []
+        for k, (code, owner) in enumerate(slices(parts)):
+            code = np.sort(code << 1 | training[owner])  # the last bit: whether it is for training
+            first = np.flatnonzero(np.r_[True, code[1:] >> 1 != code[:-1] >> 1])
+            n = np.add.reduceat(code & 1, first).astype(np.uint32)
+            code = code[first] >> 1
+            out += [(b, chunk, k, planes(code[at]), planes(n[at])) for b, at in _contexts(code, contexts)]
+        known = Counter(chain.from_iterable(p for p, t in zip(parts, training.tolist(), strict=True) if t))
+        words = list(dict.fromkeys(chain.from_iterable(parts)))
+        n = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+        out += [(contexts + b, chunk, -1, b" ".join([words[i] for i in at.tolist()]), planes(n[at])) for b, at in by_bucket(HASHES.of(words), buckets)]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)] if out else [[]] * 5, ["bucket", "chunk", "part", "body", "counts"])
+
+    return ask
+
+
+def _answerer(contexts: int, pairs: np.ndarray):
+    """What a bucket answers: code lengths of strings as 32-bit floats, or counts of words."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        chunk, part, bodies, counts = (table[c].to_pylist() for c in ("chunk", "part", "body", "counts"))
+        counts = [unplanes(x, np.uint32) for x in counts]
+        if bucket < contexts:
+            code = np.concatenate([unplanes(x, np.int64) for x in bodies])
+            code, place = np.unique(code, return_inverse=True)
+            trie = part_of_trie(code, np.bincount(place, np.concatenate(counts), len(code)), pairs)
+            value = trie.scores(code, np.full(len(code), ORDER)).astype(np.float32)[place]
+            ends = np.cumsum([len(x) for x in counts]).tolist()
+            answers = [planes(value[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)]
+        else:
+            total: dict[bytes, int] = {}
+            bodies = [x.split(b" ") for x in bodies]
+            for words, n in zip(bodies, counts, strict=True):
+                for w, m in zip(words, n.tolist(), strict=True):
+                    if m:
+                        total[w] = total.get(w, 0) + m
+            answers = [planes(np.fromiter((total.get(w, 0) for w in words), np.int64, len(words))) for words in bodies]
+            chunk, part, answers = [*chunk, REPORT], [*part, -1], [*answers, planes(np.array([len(total)]))]
+        return pa.table([pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array([bucket] * len(chunk), pa.int32()), pa.array(answers, pa.binary())], ["chunk", "part", "bucket", "counts"])
+
+    return answer
+
+
+def _adder(contexts: int, buckets: int):
+    """Adds up the answers for each text of a chunk: tokens, known ones, the sum of log10(c + 0.1), the score
+    and the number of ends of training texts among all. The report's line has no row."""
+    names = [ROW, "t", "k", "b", "s"]
+
+    def add(table: pa.Table, answers: pa.Table) -> pa.Table:
+        found = {(p, b): x for p, b, x in zip(answers["part"].to_pylist(), answers["bucket"].to_pylist(), answers["counts"].to_pylist(), strict=True)}
+        if not len(table):  # the report
+            types = sum(int(unplanes(x, np.int64)[0]) for x in found.values())
+            return pa.table([pa.array([x], t) for x, t in zip((None, types, 0, 0.0, 0.0), (*[pa.int64()] * 3, *[pa.float64()] * 2), strict=True)], names)
+        table, parts = _ordered(table)
+        score = np.zeros(len(parts))
+        for k, (code, owner) in enumerate(slices(parts)):
+            code, place = np.unique(code, return_inverse=True)
+            value = np.empty(len(code))
+            for b, at in _contexts(code, contexts):
+                value[at] = unplanes(found[k, b], np.float32)
+            score += np.bincount(owner, value[place], len(parts))
+        words = list(dict.fromkeys(chain.from_iterable(parts)))
+        count = np.zeros(len(words), np.int64)
+        for b, at in by_bucket(HASHES.of(words), buckets):
+            count[at] = unplanes(found[-1, contexts + b], np.int64)
+        number, term = dict(zip(words, range(len(words)), strict=True)), np.log10(count + 0.1)
+        base, known = np.zeros(len(parts)), np.zeros(len(parts), np.int64)
+        for i, p in enumerate(parts):
+            own = np.fromiter(map(number.__getitem__, p), np.int64, len(p))
+            base[i], known[i] = term[own].sum(), np.count_nonzero(count[own])
+        return pa.table([table[ROW], pa.array([len(p) + 1 for p in parts], pa.int64()), pa.array(known), pa.array(base), pa.array(score)], names)
+
+    return add
+
+
+def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Scores all texts of ``docs`` with what those rows teach for which ``training`` is true (null: not).
+
+    Returns ``id_col``, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's
+    probability), one row per input row. An empty or null text is one end token. Repeated rows and null ids
+    are scored each; an empty table gives no rows; without training texts every byte has probability 1/256.
+    Only the columns named and those of ``training`` are read.
     """
-    rows, ends = training, {0: training.count()} if class_col is None else {}
-    if class_col is not None:
-        sizes = training.groupBy(class_col).agg(F.count(F.lit(1)).alias("n"))
-        names = [r[0] for r in sizes.where(F.col(class_col).isNotNull()).orderBy(F.desc("n"), class_col).limit(CLASSES - 1).collect()]
-        number = F.lit(len(names))
-        for i, x in reversed(list(enumerate(names))):
-            number = F.when(F.col(class_col) == x, i).otherwise(number)
-        rows = training.select(text_col, number.cast("int").alias("_class"))
-        ends = {r[0]: r[1] for r in rows.groupBy("_class").count().collect()}
-    by_class = written(count_words(rows, text_col, "_class" if class_col is not None else None), "words-by-class")
-    words = written(by_class.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total, types = words.agg(F.sum("n"), F.count(F.lit(1))).first()
-    ends = {c: n for c, n in ends.items() if n} or {0: 0}
-    counted = written(count_grams(by_class, {c: n for c, n in ends.items() if n}), "grams")
-    top = most_frequent(counted, entries, "k").toArrow()
-    c, k, key, n = (top[x].to_numpy() for x in ("c", "k", "key", "n"))
-    tries = [Trie.of(key[c == x], k[c == x], n[c == x]) for x in ends]
-    all_ends = sum(ends.values())
-    often = most_frequent(words, head).toArrow()
-    head_counts = dict(zip(often["word"].to_pylist(), often["n"].to_pylist(), strict=True))
-    shares = [x / all_ends if all_ends else 1.0 for x in ends.values()]
-    return Model(tries, shares, (total or 0) + all_ends, types + (all_ends > 0), all_ends, head_counts, uuid.uuid4().hex), words
-
-
-def score_texts(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", memo: int = 100_000) -> DataFrame:
-    """(``id_col``, n_tokens, n_known, base_score, score), one row per input row.
-
-    An empty or null text is one end token. Repeated rows and null ids are scored each; an empty table
-    gives no rows; without training texts every byte has probability 1/256. Only two columns are read.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body")), "_id")
-
-    def run(batches):
-        m = shared.value
-        cache, classes = worker_memo(("ppm", m.name), memo), len(m.tries)
-        width = 8 * (classes + 2)
-        end = np.r_[m.word_scores([b""])[0], m.base(m.ends), float(m.ends > 0)]
-
-        def learn(new):
-            out = {}
-            for lo in range(0, len(new), 40_000):
-                some = new[lo : lo + 40_000]
-                flat = m.word_rows(some)
-                out.update((w, flat[k * width : (k + 1) * width]) for k, w in enumerate(some))
-            return out
-
-        tail_type = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
-        for batch in batches:
-            for lo, hi in bounded(batch.column(1), 8_000_000):
-                parts = [x.lower().split() for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                own: set[bytes] = set()
-                for p in parts:
-                    own.update(p)
-                get = cache.prepare(own, learn).__getitem__
-                sums, tails = np.empty((len(parts), classes + 2)), []
-                for k, p in enumerate(parts):
-                    table = np.frombuffer(b"".join(map(get, p))).reshape(-1, classes + 2)
-                    sums[k] = table.sum(axis=0) + end
-                    rare = Counter(p[i] for i in np.flatnonzero(table[:, -1] == 0).tolist())
-                    tails.append([{"w": w, "n": n} for w, n in rare.items()])
-                columns = [
-                    pa.array([len(p) + 1 for p in parts], pa.int64()),
-                    pa.array(sums[:, -1].astype(np.int64)),
-                    pa.array(sums[:, -2].copy()),
-                    pa.array(m.mixed(sums[:, :classes])),
-                    pa.array(tails, tail_type),
-                ]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], [ROW, "t", "k", "b", "s", "tail"])
-
-    first = rows.select(ROW, raw_text("_body").alias("_text")).mapInArrow(tidy(run), f"{ROW} long, t long, k long, b double, s double, tail array<struct<w:binary,n:long>>")
-    first = written(first, "scores")
-    rare = first.select(ROW, F.explode("tail").alias("x")).select(ROW, F.col("x.w").alias("word"), F.col("x.n").alias("_n")).join(words, "word", "left")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    term = F.log10((c + 0.1) / F.lit(model.tokens + 0.1 * (model.types + 1)))
-    rare = rare.groupBy(ROW).agg(F.sum(F.col("_n") * term).alias("_b"), F.sum(F.when(c > 0, F.col("_n")).otherwise(0)).alias("_k"))
-    out = first.drop("tail").join(rare, ROW, "left").join(rows.select(ROW, "_id"), ROW)
+    rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"), F.coalesce(training, F.lit(False)).alias("_train")), "_id")
+    rows = rows.select(ROW, "_id", raw_text("_body").alias("_text"), "_train")
+    pairs, tokens = byte_pairs(rows.where("_train"))
+    ends = int(rows.where("_train").count())
+    total = text_bytes(rows)
+    chunks, buckets = total // chunk + 1, max(partitions(docs.sparkSession), total // CHUNK + 1)
+    contexts = min(buckets, CONTEXTS)
+    dealt = rows.select(F.pmod(F.xxhash64(ROW), F.lit(chunks)).alias("chunk"), ROW, "_text", "_train")
+    asked = dealt.groupBy("chunk").applyInArrow(tidy_group(_asker(contexts, buckets)), _ASKED)
+    answers = asked.groupBy("bucket").applyInArrow(tidy_group(_answerer(contexts, pairs)), _ANSWER)
+    add = _adder(contexts, buckets)
+
+    def added(table, more):
+        return add(table, more)
+
+    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(added, f"{ROW} long, t long, k long, b double, s double")
+    scored = written(scored, "scores")
+    types = scored.where(F.col(ROW).isNull()).agg(F.sum("t")).first()[0] or 0
+    size = tokens + 0.1 * (types + (ends > 0) + 1)
+    end = float(np.log10(ends + 0.1))
+    out = scored.where(F.col(ROW).isNotNull()).join(rows.select(ROW, "_id"), ROW)
     return out.select(
         F.col("_id").alias(id_col),
         F.col("t").alias("n_tokens"),
-        (F.col("k") + F.coalesce("_k", F.lit(0))).alias("n_known"),
-        (F.col("b") + F.coalesce("_b", F.lit(0.0))).alias("base_score"),
+        (F.col("k") + int(ends > 0)).alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("b") + F.lit(end) - F.col("t") * F.lit(float(np.log10(size)))).alias("base_score"),
         F.col("s").alias("score"),
     )

@@ -78,14 +78,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from .ppm import fit, held_out, score_texts
+    from .ppm import held_out, score_texts
 
-    docs = _table(spark, sf_dir, "documents")
-    model, words = fit(docs.where(~held_out()), class_col="lang")
-    scored = score_texts(docs, model, words).withColumn("held_out", held_out())
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = score_texts(_table(spark, sf_dir, "documents"), ~held_out()).withColumn("held_out", held_out())
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {
