@@ -28,12 +28,15 @@ LETTERS_END = "Ԁ"
 
 
 def _letters_only(spec: str):
-    """The same merges for words that ``_plain`` accepts, without the steps that leave them as they are."""
+    """The same merges for words that ``_plain`` accepts, without the steps that leave them as they are: for
+    ASCII words, and for others."""
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    out = Tokenizer.from_str(spec)
-    out.normalizer = normalizers.Sequence([])
-    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    out = Tokenizer.from_str(spec), Tokenizer.from_str(spec)
+    bytes_shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # ASCII letters show themselves
+    for tokenizer, steps in zip(out, ([], [bytes_shown]), strict=True):
+        tokenizer.normalizer = normalizers.Sequence([])
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *steps])
     return out
 
 
@@ -54,7 +57,7 @@ class WordCache:
 
     MARK = "\x02"
 
-    def __init__(self, spec: str, limit: int = 200_000):
+    def __init__(self, spec: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,16 +72,19 @@ class WordCache:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn_cores(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out = {}
-        letters = [w for w in words if _plain(w)]
-        bar = self.plain.encode("|").ids[0]
-        joined = [b" | ".join(letters[k : k + 512]).decode() for k in range(0, len(letters), 512)]
-        for k, found in enumerate(self.plain.encode_batch_fast(joined)):
-            some, ids = letters[512 * k : 512 * k + 512], np.array(found.ids, "<u4")
-            cuts, flat = np.flatnonzero(ids == bar), ids.tobytes()
-            starts, ends = np.r_[0, cuts + 1] * 4, np.r_[cuts, len(ids)] * 4
-            out.update((w, flat[a:b]) for w, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
-        words = [w for w in words if w not in out]
+        out, rest = {}, []
+        kinds = ([], [])
+        for w in words:
+            (kinds[0] if w.isalpha() and w.islower() else kinds[1] if not w.isascii() and _plain(w) else rest).append(w)
+        for plain, letters in zip(self.plain, kinds, strict=True):
+            bar = plain.encode("|").ids[0]
+            joined = [b" | ".join(letters[k : k + 512]).decode() for k in range(0, len(letters), 512)]
+            for k, found in enumerate(plain.encode_batch_fast(joined)):
+                some, ids = letters[512 * k : 512 * k + 512], np.array(found.ids, "<u4")
+                cuts, flat = np.flatnonzero(ids == bar), ids.tobytes()
+                starts, ends = np.r_[0, cuts + 1] * 4, np.r_[cuts, len(ids)] * 4
+                out.update(zip(some, map(flat.__getitem__, map(slice, starts.tolist(), ends.tolist())), strict=True))
+        words = rest
         for k in range(0, len(words), 256):
             some = words[k : k + 256]
             ids = np.array(self._ids(f" {self.MARK} ".join(str(w, "utf-8", "replace") for w in some)), "<u4")
@@ -103,11 +109,22 @@ class WordCache:
         return word.lower() if word.isascii() else word
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        cores = [self._core(w) for w in words]
+        short = [w for w in words if w.isascii() and b"<|" not in w]
+        low = b" ".join(short).lower().split(b" ") if short else []  # no word holds a space
+        cores = [c if c.isalpha() else self._core(c) for c in low]
+        if len(short) < len(words):
+            odd = [w for w in words if not (w.isascii() and b"<|" not in w)]
+            words, cores = short + odd, cores + [self._core(w) for w in odd]
         known = self.memo.now
-        ids = self._learn_cores([c for c in dict.fromkeys(cores) if c not in known])
-        ids |= {c: known[c] for c in set(cores) if c in known}
-        return ids | {w: ids[c] if len(w) == len(c) else ids[c] + self.points[w[-1]] for w, c in zip(words, cores, strict=True)}
+        new = dict.fromkeys(cores)
+        ids = self._learn_cores([c for c in new if c not in known])
+        if len(ids) < len(new):
+            ids.update((c, known[c]) for c in new if c not in ids)
+        closed = [(w, c) for w, c in zip(words, cores, strict=True) if len(w) != len(c)]
+        out = dict(zip(words, map(ids.__getitem__, cores), strict=True))
+        out.update((w, ids[c] + self.points[w[-1]]) for w, c in closed)
+        ids.update(out)
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
