@@ -23,20 +23,24 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, ROW, keyed, mix, partitions, raw_text, tidy, tidy_group, written
+from .common import ROW, keyed, mix, partitions, raw_text, tidy, tidy_group, trim, written
 from .piece_tokenizer import bounded
 from .repeats import by_bucket, planes, text_bytes, unplanes
 
 ORDER = 6
+#: Bits of a place in a slice.
+PLACE_BITS = 23
 #: Text bytes a chunk holds on average, and bytes of its stream that are taken at once.
-CHUNK = 6_000_000
-SLICE = 8_000_000
+CHUNK = 4_000_000
+SLICE = 1 << PLACE_BITS
 #: Buckets of contexts at most: the last two bytes of a context take few values.
 CONTEXTS = 4096
 SPACE = 32
@@ -116,13 +120,36 @@ def stream(words: list[bytes]) -> bytes:
 
 def codes(flat: np.ndarray) -> np.ndarray:
     """For each byte after the first ``ORDER``: the bytes before it and the byte, in the lower 56 bits."""
-    n = len(flat) - ORDER
-    out = flat[ORDER:].astype(np.int64)
-    for back in range(1, ORDER + 1):
-        out |= flat[ORDER - back : ORDER - back + n].astype(np.int64) << (8 * back)
+    padded = flat.tobytes() + b"\0"
+    eight = np.ndarray((len(flat) - ORDER,), ">u8", padded, 0, (1,))  # at every byte the eight from there
+    out = eight.astype(np.int64)
+    out >>= 8
+    out &= (1 << 56) - 1
     return out
 
 
+def gathered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places so ordered that equal codes stand together, the code of each group, and each place's group. Places
+    are sorted together with a hash of their code, so now and then one code may have several groups."""
+    key = mix(code.view(np.uint64))
+    key &= np.uint64(~((1 << PLACE_BITS) - 1) & (1 << 64) - 1)
+    key |= np.arange(len(code), dtype=np.uint64)
+    key.sort()
+    key &= np.uint64((1 << PLACE_BITS) - 1)
+    place = key.astype(np.int32)
+    ordered = code[place]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    return place, ordered[new], np.cumsum(new, dtype=np.int32) - 1
+
+
+def packed(x: np.ndarray) -> bytes:
+    return zstandard.compress(planes(x), 1)
+
+
+def unpacked(b: bytes, kind) -> np.ndarray:
+    return unplanes(zstandard.decompress(b), kind)
+
+
 def slices(parts: list[list[bytes]]):
     """(codes, text number) of all bytes of the texts' streams, ``SLICE`` at once."""
     flat = b"".join(map(stream, parts))
@@ -131,7 +158,7 @@ def slices(parts: list[list[bytes]]):
     for lo in range(ORDER, len(flat), SLICE):
         hi = min(lo + SLICE, len(flat))
         a, b = np.searchsorted(end, [lo, hi - 1], "right")
-        owner = np.repeat(np.arange(a, b + 1), np.minimum(end[a : b + 1], hi) - np.maximum(end[a : b + 1] - size[a : b + 1], lo))
+        owner = np.repeat(np.arange(a, b + 1, dtype=np.int32), np.minimum(end[a : b + 1], hi) - np.maximum(end[a : b + 1] - size[a : b + 1], lo))
         own = np.ones(hi - lo, bool)  # but for the spaces before a text
         start = end[a : b + 1] - size[a : b + 1]
         places = (start[:, None] + np.arange(ORDER)).ravel() - lo
@@ -144,6 +171,10 @@ def _contexts(code: np.ndarray, buckets: int):
     return by_bucket(mix((code.view(np.uint64) >> np.uint64(8)) & np.uint64(0xFFFF)), buckets)
 
 
+def _by_word(words: list[bytes], buckets: int):
+    return by_bucket(mix(np.fromiter(map(crc32, words), np.uint64, len(words))), buckets)
+
+
 def _ordered(table: pa.Table) -> tuple[pa.Table, list[list[bytes]]]:
     """A chunk's rows in order, and their words."""
     table = table.sort_by(ROW)
@@ -205,15 +236,17 @@ def _asker(contexts: int, buckets: int):
         table, parts = _ordered(table)
         training, out = np.asarray(table["_train"].cast(pa.int8()).combine_chunks()), []
         for k, (code, owner) in enumerate(slices(parts)):
-            code = np.sort(code << 1 | training[owner])  # the last bit: whether it is for training
+            code <<= 1
+            code |= training[owner]  # whether it is for training
+            code.sort()
             first = np.flatnonzero(np.r_[True, code[1:] >> 1 != code[:-1] >> 1])
             n = np.add.reduceat(code & 1, first).astype(np.uint32)
             code = code[first] >> 1
-            out += [(b, chunk, k, planes(code[at]), planes(n[at])) for b, at in _contexts(code, contexts)]
+            out += [(b, chunk, k, packed(code[at]), packed(n[at])) for b, at in _contexts(code, contexts)]
         known = Counter(chain.from_iterable(p for p, t in zip(parts, training.tolist(), strict=True) if t))
         words = list(dict.fromkeys(chain.from_iterable(parts)))
         n = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
-        out += [(contexts + b, chunk, -1, b" ".join([words[i] for i in at.tolist()]), planes(n[at])) for b, at in by_bucket(HASHES.of(words), buckets)]
+        out += [(contexts + b, chunk, -1, zstandard.compress(b" ".join([words[i] for i in at.tolist()]), 1), packed(n[at])) for b, at in _by_word(words, buckets)]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)] if out else [[]] * 5, ["bucket", "chunk", "part", "body", "counts"])
 
     return ask
@@ -225,23 +258,23 @@ def _answerer(contexts: int, pairs: np.ndarray):
     def answer(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         chunk, part, bodies, counts = (table[c].to_pylist() for c in ("chunk", "part", "body", "counts"))
-        counts = [unplanes(x, np.uint32) for x in counts]
+        counts = [unpacked(x, np.uint32) for x in counts]
         if bucket < contexts:
-            code = np.concatenate([unplanes(x, np.int64) for x in bodies])
+            code = np.concatenate([unpacked(x, np.int64) for x in bodies])
             code, place = np.unique(code, return_inverse=True)
             trie = part_of_trie(code, np.bincount(place, np.concatenate(counts), len(code)), pairs)
             value = trie.scores(code, np.full(len(code), ORDER)).astype(np.float32)[place]
             ends = np.cumsum([len(x) for x in counts]).tolist()
-            answers = [planes(value[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)]
+            answers = [packed(value[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)]
         else:
             total: dict[bytes, int] = {}
-            bodies = [x.split(b" ") for x in bodies]
+            bodies = [zstandard.decompress(x).split(b" ") for x in bodies]
             for words, n in zip(bodies, counts, strict=True):
                 for w, m in zip(words, n.tolist(), strict=True):
                     if m:
                         total[w] = total.get(w, 0) + m
-            answers = [planes(np.fromiter((total.get(w, 0) for w in words), np.int64, len(words))) for words in bodies]
-            chunk, part, answers = [*chunk, REPORT], [*part, -1], [*answers, planes(np.array([len(total)]))]
+            answers = [packed(np.fromiter((total.get(w, 0) for w in words), np.int64, len(words))) for words in bodies]
+            chunk, part, answers = [*chunk, REPORT], [*part, -1], [*answers, packed(np.array([len(total)]))]
         return pa.table([pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array([bucket] * len(chunk), pa.int32()), pa.array(answers, pa.binary())], ["chunk", "part", "bucket", "counts"])
 
     return answer
@@ -255,20 +288,23 @@ def _adder(contexts: int, buckets: int):
     def add(table: pa.Table, answers: pa.Table) -> pa.Table:
         found = {(p, b): x for p, b, x in zip(answers["part"].to_pylist(), answers["bucket"].to_pylist(), answers["counts"].to_pylist(), strict=True)}
         if not len(table):  # the report
-            types = sum(int(unplanes(x, np.int64)[0]) for x in found.values())
+            types = sum(int(unpacked(x, np.int64)[0]) for x in found.values())
             return pa.table([pa.array([x], t) for x, t in zip((None, types, 0, 0.0, 0.0), (*[pa.int64()] * 3, *[pa.float64()] * 2), strict=True)], names)
         table, parts = _ordered(table)
         score = np.zeros(len(parts))
         for k, (code, owner) in enumerate(slices(parts)):
-            code, place = np.unique(code, return_inverse=True)
-            value = np.empty(len(code))
-            for b, at in _contexts(code, contexts):
-                value[at] = unplanes(found[k, b], np.float32)
-            score += np.bincount(owner, value[place], len(parts))
+            place, code, group = gathered(code)
+            known = np.unique(code)  # in the order of the question
+            value = np.empty(len(known), np.float32)
+            for b, at in _contexts(known, contexts):
+                value[at] = unpacked(found.pop((k, b)), np.float32)
+            value = value[np.searchsorted(known, code)]
+            score += np.bincount(owner[place], value[group], len(parts))
+        del value, place, code, group, known, owner
         words = list(dict.fromkeys(chain.from_iterable(parts)))
         count = np.zeros(len(words), np.int64)
-        for b, at in by_bucket(HASHES.of(words), buckets):
-            count[at] = unplanes(found[-1, contexts + b], np.int64)
+        for b, at in _by_word(words, buckets):
+            count[at] = unpacked(found[-1, contexts + b], np.int64)
         number, term = dict(zip(words, range(len(words)), strict=True)), np.log10(count + 0.1)
         base, known = np.zeros(len(parts)), np.zeros(len(parts), np.int64)
         for i, p in enumerate(parts):
@@ -300,7 +336,9 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     add = _adder(contexts, buckets)
 
     def added(table, more):
-        return add(table, more)
+        out = add(table, more)
+        trim()
+        return out
 
     scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(added, f"{ROW} long, t long, k long, b double, s double")
     scored = written(scored, "scores")
