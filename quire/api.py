@@ -37,7 +37,7 @@ class Collection:
     def metadata(self) -> DataFrame:
         """One row a document, with dates parsed."""
         fields = ("title", "author", "subject", "keywords", "creator", "producer", "pdf_version")
-        dates = {c: structure.parsed_date(F.col("metadata")[c]).alias(c) for c in ("creation_date", "modification_date")}
+        dates = {c: F.coalesce(structure.parsed_iso_date(F.col("metadata")[c]), structure.parsed_date(F.col("metadata")[c])).alias(c) for c in ("creation_date", "modification_date")}
         return self.opened.where("status = 'ok'").select("doc_id", *(F.col("metadata")[c].alias(c) for c in fields), *dates.values())
 
     def runs(self) -> DataFrame:

@@ -20,15 +20,39 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@lru_cache
+def _undecided() -> str:
+    """A character class of everything that ``folded`` compares otherwise than ``fold``: combining marks, characters
+    that decompose beyond one letter (syllables, voiced kana), and those whose lower case depends on more."""
+    table, ranges = dict(zip(*_accents(), strict=True)), []
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000:
+            continue
+        low = c.lower()
+        same = len(low) == 1 and c != "Σ" and all(fold(x) == table.get(y, y) and fold(x, True) == table.get(x, x) for x, y in ((c, low), (low, low)))
+        if not same or unicodedata.combining(c):
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + r"\p{M}]"
+
+
+def undecided(text: Column) -> Column:
+    """Whether ``folded`` may differ from ``fold`` on a text."""
+    return text.rlike(_undecided())
+
+
 def folded(text: Column, case_sensitive: bool = False, diacritic_sensitive: bool = False) -> Column:
-    """The text as it is compared, for texts without combining marks; its length stays the same."""
+    """The text as it is compared, for texts that are not ``undecided``; its length stays the same."""
     out = text if case_sensitive else F.lower(text)
     return out if diacritic_sensitive else F.translate(out, *_accents())
 
 
 def fold(text: str, case_sensitive: bool = False, diacritic_sensitive: bool = False) -> str:
     """A query as it is compared."""
-    out = text if case_sensitive else text.lower()
+    out = text if case_sensitive else text.replace("Σ", "σ").lower()  # whatever stands next to it
     if not diacritic_sensitive:
         out = "".join(c for c in unicodedata.normalize("NFD", out) if unicodedata.category(c) != "Mn")
     return out

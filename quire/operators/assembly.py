@@ -6,6 +6,8 @@ advances), vertical. Comparisons are with the previous item of a total order, so
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -146,34 +148,37 @@ def peak_coverage(intervals: DataFrame, by: list[str]) -> DataFrame:
 
 
 def tolerant_gutters(intervals: DataFrame, by: list[str], least: Column) -> DataFrame:
-    """(by, tolerance, from, to): gutters at the first of the tolerances 0, 1, 2, 4, ... up to half the peak
+    """(by, tolerance, from, to): gutters at the first of the tolerances 0, 1, 2, 4, ... and at last half the peak
     (1 at least) that gives any."""
     peak = peak_coverage(intervals, by).withColumn("most", F.greatest(F.lit(1), F.floor(F.col("peak") / 2)))
     steps = F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int")))
-    tried = peak.select(*by, F.explode(F.filter(steps, lambda t: t <= F.col("most"))).alias("tolerance"))
+    tried = peak.select(*by, F.explode(F.array_union(F.filter(steps, lambda t: t < F.col("most")), F.array(F.col("most").cast("int")))).alias("tolerance"))
     some = intervals.join(tried, by)
     found = gutters(some, [*by, "tolerance"], F.col("tolerance"), least)
     first = found.groupBy(*by).agg(F.min("tolerance").alias("tolerance"))
     return found.join(first, [*by, "tolerance"])
 
 
-def merge_narrow(edges: list[float], left: float, right: float, least: float) -> list[float]:
-    """Gutter centres after columns narrower than ``least`` were merged, the narrowest first, across the
-    gutter on the side of the nearer neighbouring centre, the left one on a tie."""
-    cuts = sorted(edges)
+def merge_narrow(centres: list[float], segments: list[tuple[float, float]], least: float) -> list[float]:
+    """Gutter centres after the first column narrower than ``least`` was merged, again and again.
+
+    A column is as wide as its segments (start, end) reach; those that cross one of the given gutters don't
+    count, and one without any has no width and lies midway between its gutters. It merges across the
+    gutter to the neighbour with the nearer middle, the left one on a tie.
+    """
+    cuts = sorted(centres)
+    whole = [(a, b) for a, b in segments if not any(a < c < b for c in cuts)]
     while cuts:
-        limits = [left, *cuts, right]
-        widths = [b - a for a, b in zip(limits, limits[1:], strict=False)]
-        k = min(range(len(widths)), key=lambda i: (widths[i], i))
-        if widths[k] >= least:
+        spans: list[list[tuple[float, float]]] = [[] for _ in range(len(cuts) + 1)]
+        for a, b in whole:
+            spans[bisect_left(cuts, (a + b) / 2)].append((a, b))
+        ends = [(min(a for a, _ in s), max(b for _, b in s)) if s else None for s in spans]
+        k = next((i for i, e in enumerate(ends) if e is None or e[1] - e[0] < least), None)
+        if k is None:
             break
-        if k == 0:
-            cuts.pop(0)
-        elif k == len(widths) - 1:
-            cuts.pop()
-        else:
-            middle = [(a + b) / 2 for a, b in zip(limits, limits[1:], strict=False)]
-            cuts.pop(k - 1 if middle[k] - middle[k - 1] <= middle[k + 1] - middle[k] else k)
+        middle = [sum(e) / 2 if e else (cuts[max(i - 1, 0)] + cuts[min(i, len(cuts) - 1)]) / 2 for i, e in enumerate(ends)]
+        right_is_nearer = 0 < k < len(cuts) and middle[k + 1] - middle[k] < abs(middle[k] - middle[k - 1])
+        cuts.pop(0 if k == 0 else k if right_is_nearer else k - 1)
     return cuts
 
 
@@ -214,15 +219,17 @@ def columns_of(own: DataFrame) -> DataFrame:
     bounds = written(class_bounds(segs).join(reliable_advances(own).where("reliable").select(*CLASS), CLASS), "bounds")
     extent = F.col("right") - F.col("left")
     narrow = segs.join(bounds, CLASS).where(F.col("end") - F.col("start") < WIDE_SHARE * extent)
-    found = tolerant_gutters(narrow.select(*CLASS, "start", "end"), CLASS, F.lit(0.0)).join(bounds, CLASS)
-    median = segs.groupBy(*CLASS).agg(F.median("size").alias("m"))
-    found = found.join(median, CLASS).where(F.col("to") - F.col("from") >= F.col("m"))
-    centres = found.groupBy(*CLASS, "left", "right").agg(F.array_sort(F.collect_list((F.col("from") + F.col("to")) / 2)).alias("centres"))
+    median = segs.groupBy(*CLASS).agg(F.median("size").alias("m"))  # a gutter is at least that wide
+    found = tolerant_gutters(narrow.join(median, CLASS).select(*CLASS, "m", "start", "end"), [*CLASS, "m"], F.col("m"))
+    centres = found.groupBy(*CLASS).agg(F.array_sort(F.collect_list((F.col("from") + F.col("to")) / 2)).alias("centres"))
+    ends = narrow.groupBy(*CLASS, "left", "right").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    centres = centres.join(ends, CLASS)
     kinds = ", ".join(f"{c} {t}" for c, t in centres.dtypes if c in CLASS)
 
     def merge(batches):
         for pdf in batches:
-            pdf["centres"] = [merge_narrow(list(c), a, b, NARROW_SHARE * (b - a)) for c, a, b in zip(pdf["centres"], pdf["left"], pdf["right"], strict=True)]
+            columns = (pdf[c] for c in ("centres", "starts", "ends", "left", "right"))
+            pdf["centres"] = [merge_narrow(list(c), list(zip(s, e, strict=True)), NARROW_SHARE * (b - a)) for c, s, e, a, b in zip(*columns, strict=True)]
             yield pdf[[*CLASS, "centres"]]
 
     cuts = written(centres.mapInPandas(merge, f"{kinds}, centres array<double>"), "cuts")

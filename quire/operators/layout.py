@@ -32,15 +32,24 @@ def page_frames(pages: DataFrame) -> DataFrame:
 def page_at_y(points: DataFrame, frames: DataFrame) -> DataFrame:
     """Each y (doc_id, id, y) with its page: the first that ends below it, so a gap belongs to the next page;
     above the first page the first, below the last one the last."""
-    met = points.join(frames.select("doc_id", "page_index", F.col("y").alias("_y"), "h"), "doc_id")
-    ends = F.col("_y") + F.col("h")
-    found = met.groupBy("doc_id", "id", "y").agg(F.min(F.when(ends >= F.col("y"), F.col("page_index"))).alias("a"), F.max("page_index").alias("b"))
-    return found.select("doc_id", "id", "y", F.coalesce("a", "b").alias("page_index"))
+    kinds = dict(points.dtypes)
+    ends = frames.select("doc_id", F.lit(None).cast(kinds["id"]).alias("id"), F.lit(None).cast(kinds["y"]).alias("y"), (F.col("y") + F.col("h")).alias("_at"), F.lit(0).alias("_kind"), "page_index")
+    asked = points.select("doc_id", "id", "y", F.col("y").cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(dict(frames.dtypes)["page_index"]).alias("page_index"))
+    both, doc = ends.unionByName(asked), W.partitionBy("doc_id")
+    order = doc.orderBy(F.desc("_at"), "_kind", F.desc("page_index"))  # ends below first, of one place the first page last
+    found = both.withColumns({"_a": F.last("page_index", ignorenulls=True).over(order), "_b": F.max("page_index").over(doc)})
+    found = found.where("_kind = 1 and _b is not null")
+    return found.select("doc_id", "id", "y", F.when(F.col("y").isNull(), F.col("_b")).otherwise(F.coalesce("_a", "_b")).alias("page_index"))
 
 
 def visible_parts(views: DataFrame, frames: DataFrame) -> DataFrame:
-    """The pages each view (doc_id, id, vx, vy, vw, vh) shows, and the rectangle of each, in page space."""
-    met = views.join(frames, "doc_id")
+    """The pages each view (doc_id, id, vx, vy, vw, vh) shows, and the rectangle of each, in page space. A view
+    meets only the pages from its top to its bottom."""
+    numbered = views.withColumn("_n", F.struct("id", "vx", "vy", "vw", "vh"))
+    ends = numbered.select("doc_id", F.col("_n").alias("id"), F.explode(F.array("vy", F.col("vy") + F.col("vh"))).alias("y"))
+    span = page_at_y(ends, frames).groupBy("doc_id", "id").agg(F.min("page_index").alias("_a"), F.max("page_index").alias("_b"))
+    span = span.select("doc_id", "id.*", F.explode(F.sequence("_a", "_b")).alias("page_index"))
+    met = span.join(frames, ["doc_id", "page_index"])
     x0, y0 = F.greatest("vx", "x"), F.greatest("vy", "y")
     x1, y1 = F.least(F.col("vx") + F.col("vw"), F.col("x") + F.col("w")), F.least(F.col("vy") + F.col("vh"), F.col("y") + F.col("h"))
     met = met.where((x1 > x0) & (y1 > y0))

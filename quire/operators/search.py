@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,58 +25,70 @@ class Options:
     diacritic_sensitive: bool = False
 
 
-_HITS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("snippet", pa.string()), ("snip_lo", pa.int32()), ("snip_hi", pa.int32())]))
+_RANGE = [("lo", pa.int64()), ("hi", pa.int64())]
+_SNIPPET = [("snippet", pa.string()), ("snip_lo", pa.int32()), ("snip_hi", pa.int32())]
 
 
-def page_matches(pages: DataFrame, query: str, options: Options = Options(), per_page: int = MATCHES_PER_PAGE) -> DataFrame:
+def page_matches(pages: DataFrame, query: str, options: Options = Options(), per_page: int | None = MATCHES_PER_PAGE, snippets: bool = True) -> DataFrame:
     """(doc_id, page_index, hits): the pages with matches, in original UTF-16 coordinates. One pass without
-    a shuffle; pages that cannot match are dropped before any Python runs."""
+    a shuffle; pages that cannot match are dropped before any Python runs. Texts with characters that only
+    Python folds as the query is folded all pass."""
     asked = T.fold(T.trimmed(query), options.case_sensitive, options.diacritic_sensitive)
     flags = (options.case_sensitive, options.diacritic_sensitive)
     keys = pages.select("doc_id", "page_index", "text")
     if not asked:
         may = keys.where(F.lit(False))
     else:
-        may = keys.where(T.folded(F.col("text"), *flags).contains(asked) | F.col("text").rlike(r"\p{M}"))
-    kinds = dict(keys.dtypes)
+        may = keys.where(T.folded(F.col("text"), *flags).contains(asked) | T.undecided(F.col("text")))
+    kinds, fields = dict(keys.dtypes), _RANGE + _SNIPPET * snippets
+    names, hits_type = [n for n, _ in fields], pa.list_(pa.struct(fields))
 
     def run(batches):
         for batch in batches:
-            hits = []
+            own, sizes = [], []
             for text in batch.column(2).to_pylist():
-                own = []
-                for lo, hi in T.find_matches(text, asked, *flags, per_page):
-                    s, a, b = T.snippet(text, lo, hi, SNIPPET_REACH)
-                    own.append({"lo": lo, "hi": hi, "snippet": s, "snip_lo": a, "snip_hi": b})
-                hits.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, _HITS)], ["doc_id", "page_index", "hits"])
-
-    hit = "array<struct<lo:bigint,hi:bigint,snippet:string,snip_lo:int,snip_hi:int>>"
+                found = T.find_matches(text, asked, *flags, per_page)
+                if snippets:
+                    found = [(lo, hi, *T.snippet(text, lo, hi, SNIPPET_REACH)) for lo, hi in found]
+                sizes.append(len(found))
+                own += found
+            columns = zip(*own, strict=True) if own else [[]] * len(fields)
+            parts = [pa.array(x, t) for x, (_, t) in zip(columns, fields, strict=True)]
+            offsets = pa.array([0, *accumulate(sizes)], pa.int32())
+            hits = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, names)).cast(hits_type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hits], ["doc_id", "page_index", "hits"])
+
+    hit = "array<struct<lo:bigint,hi:bigint" + ",snippet:string,snip_lo:int,snip_hi:int" * snippets + ">>"
     found = may.mapInArrow(run, f"doc_id {kinds['doc_id']}, page_index {kinds['page_index']}, hits {hit}")
     return found.where(F.size("hits") > 0)
 
 
-def search(pages: DataFrame, query: str, options: Options = Options(), per_page: int = MATCHES_PER_PAGE, per_document: int = MATCHES_PER_DOCUMENT) -> DataFrame:
+def search(pages: DataFrame, query: str, options: Options = Options(), per_page: int = MATCHES_PER_PAGE, per_document: int = MATCHES_PER_DOCUMENT, snippets: bool = True) -> DataFrame:
     """All matches by page, then position: at most ``per_page`` of a page and ``per_document`` of a document.
 
-    The document's cap is a running sum over its pages' counts, so matches themselves are not shuffled by it.
+    The document's cap is a running sum over its pages' counts, for which its pages' matches are sorted together;
+    without ``snippets`` they are ranges only.
     """
-    found = page_matches(pages, query, options, per_page)
+    found = page_matches(pages, query, options, per_page, snippets)
     before = F.sum(F.size("hits")).over(W.partitionBy("doc_id").orderBy("page_index").rowsBetween(W.unboundedPreceding, -1))
     capped = found.withColumn("_left", F.lit(per_document) - F.coalesce(before, F.lit(0))).where("_left > 0")
     capped = capped.withColumn("hits", F.slice("hits", F.lit(1), F.greatest(F.col("_left"), F.lit(1)).cast("int")))
     each = capped.select("doc_id", "page_index", F.posexplode("hits").alias("match_no", "h"))
-    return each.select("doc_id", "page_index", "match_no", *(F.col(f"h.{c}").alias(c) for c in ("lo", "hi", "snippet", "snip_lo", "snip_hi")))
+    return each.select("doc_id", "page_index", "match_no", *(F.col(f"h.{n}").alias(n) for n, _ in _RANGE + _SNIPPET * snippets))
 
 
 def count_matches(pages: DataFrame, query: str, options: Options = Options()) -> DataFrame:
-    """(doc_id, page_index, n) without caps, for texts without combining marks: string functions only."""
+    """(doc_id, page_index, n) without caps: by string functions, and texts that these don't fold as the query
+    is folded by ``page_matches``."""
     asked = T.fold(T.trimmed(query), options.case_sensitive, options.diacritic_sensitive)
     if not asked:
         return pages.where(F.lit(False)).select("doc_id", "page_index", F.lit(0).cast("bigint").alias("n"))
     text = T.folded(F.col("text"), options.case_sensitive, options.diacritic_sensitive)
     n = ((F.length(text) - F.length(F.replace(text, F.lit(asked), F.lit("")))) / len(asked)).cast("bigint")
-    return pages.select("doc_id", "page_index", n.alias("n")).where("n > 0")
+    odd = F.coalesce(T.undecided(F.col("text")), F.lit(False))
+    plain = pages.where(~odd).select("doc_id", "page_index", n.alias("n")).where("n > 0")
+    rest = page_matches(pages.where(odd), query, options, None, snippets=False)
+    return plain.unionByName(rest.select("doc_id", "page_index", F.size("hits").cast("bigint").alias("n")))
 
 
 def provided(provider: DataFrame, own: DataFrame) -> DataFrame:

@@ -73,6 +73,17 @@ def merged_metadata(info: DataFrame, xmp: DataFrame, key: str = "doc_id") -> Dat
     return both.select(key, *(F.coalesce(c, f"_{c}").alias(c) for c in fields))
 
 
+def parsed_iso_date(text: Column) -> Column:
+    """A date of a metadata packet (year, then month, day, time and zone as far as given) as a UTC timestamp; null
+    if it isn't one."""
+    part = lambda k: F.nullif(F.regexp_extract(text, r"^\s*(\d{4})-(\d{2})(?:-(\d{2})(?:T(\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?)?\s*$", k), F.lit(""))
+    number = lambda k, least: F.coalesce(part(k).cast("int"), F.lit(least))
+    local = F.try_make_timestamp(number(1, None), number(2, 1), number(3, 1), number(4, 0), number(5, 0), number(6, 0).cast("double"))
+    zone = part(7)
+    shift = (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int")) * F.when(zone.startswith("-"), -60).otherwise(60)
+    return F.timestamp_seconds(F.unix_seconds(local) - F.when(zone.isNull() | (zone == "Z"), 0).otherwise(shift))
+
+
 def parsed_date(text: Column) -> Column:
     """A date string as a UTC timestamp. The year is needed; fields are read from the left, the first that is
     missing or out of range stops the reading, and the rest takes its least value. An offset, apostrophes

@@ -22,7 +22,7 @@ from .registry import query
 def xref_merge(t):
     day = F.unix_seconds(F.date_trunc("day", "ts"))
     entries = t.events.select((F.col("user_id") % 400).alias("obj_num"), day.alias("section"), (-day).alias("rank"), F.col("event_id").alias("offset"))
-    return D.valid_entries(D.first_wins(entries, ["obj_num"], "rank", "offset"), F.lit(15), F.lit(9000)).drop("rank")
+    return D.valid_entries(D.first_wins(entries, ["obj_num"], "rank", "offset"), F.lit(15), F.lit(1 << 40)).drop("rank")
 
 
 @query("SELECT user_id AS obj_num, max(event_id) AS \"offset\", arg_max(event_type, event_id) AS kind FROM events GROUP BY user_id")

@@ -104,7 +104,7 @@ def peak_coverage(t):
 
 @query(
     f"""WITH {_SWEEP}, pk AS (SELECT page, greatest(1, floor(max(cover) / 2)) AS most FROM cv GROUP BY page),
-        tl AS (SELECT page, t FROM pk, (SELECT unnest([0, 1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) AS t) WHERE t <= most),
+        tl AS (SELECT page, t FROM pk, (SELECT unnest([0, 1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) AS t) WHERE t < most UNION SELECT page, most FROM pk),
         tr AS (SELECT cv.*, t FROM cv JOIN tl USING (page) WHERE (cover <= t) <> (cover - d <= t)), sp AS (SELECT page, t, x, cover, lead(x) OVER (PARTITION BY page, t ORDER BY x, kind) AS nx FROM tr),
         ok AS (SELECT * FROM sp WHERE cover <= t AND nx IS NOT NULL AND nx - x >= 8)
         SELECT page, CAST(t AS INTEGER) AS tolerance, x AS "from", nx AS "to" FROM ok WHERE t = (SELECT min(t) FROM ok o WHERE o.page = ok.page)"""

@@ -72,7 +72,7 @@ def search_matches(t):
 )
 def search_caps(t):
     pages = t.documents.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_index"), "text")
-    found = S.search(pages, "e")
+    found = S.search(pages, "e", snippets=False)
     return found.groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("first_lo"), F.max("lo").alias("last_lo"))
 
 

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-shared-"))
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-shared-"))  # one machine
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get()
 

@@ -97,9 +97,12 @@ def test_reading_order(spark):
 
 
 def test_narrow_columns_merge():
-    assert A.merge_narrow([10.0, 50.0], 0.0, 100.0, 20.0) == [50.0]
-    assert A.merge_narrow([45.0, 55.0], 0.0, 100.0, 20.0) == [55.0]
-    assert A.merge_narrow([50.0], 0.0, 100.0, 20.0) == [50.0]
+    assert A.merge_narrow([10.0, 50.0], [(0, 9), (11, 49), (51, 100)], 20.0) == [50.0]
+    assert A.merge_narrow([45.0, 55.0], [(0, 44), (46, 54), (56, 100)], 20.0) == [55.0]  # as near to both: left
+    assert A.merge_narrow([45.0, 55.0], [(0, 44), (46, 54), (56, 80)], 20.0) == [45.0]
+    assert A.merge_narrow([50.0], [(0, 45), (55, 100), (10, 90)], 20.0) == [50.0]  # one that crosses doesn't count
+    assert A.merge_narrow([30.0, 60.0], [(0, 29), (61, 100)], 20.0) == [60.0]  # a column without segments has no width
+    assert A.merge_narrow([10.0, 20.0, 60.0], [(0, 9), (11, 19), (21, 59), (61, 100)], 25.0) == [60.0]  # the first first
 
 
 def test_selection_diff(spark):
