@@ -109,7 +109,7 @@ class Trie:
             logp[go[miss]] += np.log10(q[miss] / (t[miss] + q[miss]))
             rest_t[go[~hit]], rest_q[go[~hit]] = self.total_rest[k][c[~hit]], self.distinct_rest[k][c[~hit]]
         known = len(self.keys[0])
-        logp[open_] -= np.log10(256 - known)
+        logp[open_] -= np.log10(max(1, 256 - known))  # none is open where all are known
         return logp
 
 
@@ -294,13 +294,16 @@ def _adder(contexts: int, buckets: int):
         score = np.zeros(len(parts))
         for k, (code, owner) in enumerate(slices(parts)):
             place, code, group = gathered(code)
-            known = np.unique(code)  # in the order of the question
-            value = np.empty(len(known), np.float32)
-            for b, at in _contexts(known, contexts):
-                value[at] = unpacked(found.pop((k, b)), np.float32)
-            value = value[np.searchsorted(known, code)]
+            order = np.argsort(code)  # the question's
+            known = code[order]
+            new = np.r_[True, known[1:] != known[:-1]]
+            answer = np.empty(np.count_nonzero(new), np.float32)
+            for b, at in _contexts(known[new], contexts):
+                answer[at] = unpacked(found.pop((k, b)), np.float32)
+            value = np.empty(len(code), np.float32)
+            value[order] = answer[np.cumsum(new) - 1]
             score += np.bincount(owner[place], value[group], len(parts))
-        del value, place, code, group, known, owner
+        del value, answer, order, place, code, group, known, owner
         words = list(dict.fromkeys(chain.from_iterable(parts)))
         count = np.zeros(len(words), np.int64)
         for b, at in _by_word(words, buckets):
