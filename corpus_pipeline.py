@@ -5,6 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 next, so a lost executor never costs more than one stage.
 
 Rows with null or repeated ids are documents of their own in every stage; an empty table passes through.
+Inside a stage the documents' columns have names of their own, so none can clash.
 """
 
 from __future__ import annotations
@@ -24,9 +25,21 @@ from quire.llm.toxicity import fit, held_out, score_toxicity
 TOXIC = 0.7
 
 
-def _kept(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
-    """The keyed rows whose ``_row`` is among ``ids``, with the columns of the documents."""
-    return rows.join(ids.select(ROW), ROW, "left_semi").select(*columns)
+class _Rows:
+    """The documents with row keys, and columns c0, c1, ... instead of their names."""
+
+    def __init__(self, docs: DataFrame):
+        self.columns, self.names = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+        own = dict(zip(self.columns, self.names, strict=True))
+        self.text, self.n_chars = own["text"], own.get("n_chars")
+        self.rows = keyed(docs.toDF(*self.names), own["doc_id"])
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.names).toDF(*self.columns)
+
+    def kept(self, ids: DataFrame) -> DataFrame:
+        """The documents whose key is among ``ids``."""
+        return self.named(self.rows.join(ids.select(ROW), ROW, "left_semi"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,37 +47,35 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels of the held-out third are never read."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     model = fit(docs, labels)
-    rows = keyed(docs)
-    clean = score_toxicity(rows, model, id_col=ROW).where(F.col("score") < TOXIC)
-    return _kept(rows, clean, docs.columns)
+    own = _Rows(docs)
+    return own.kept(score_toxicity(own.rows, model, ROW, own.text).where(F.col("score") < TOXIC))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first row by id of equal texts."""
-    rows = keyed(docs)
-    return _kept(rows, exact_groups(rows, id_col=ROW).where("kept"), docs.columns)
+    own = _Rows(docs)
+    return own.kept(exact_groups(own.rows, ROW, own.text).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first row by id of each component of similar documents: five-word shingles, similarity
     of 0.8 or more. Documents without words are no copies of one another here."""
-    rows = keyed(docs)
-    found = jaccard_components(rows, id_col=ROW, shingle=5, percent=80)
-    return _kept(rows, found.where(F.col(ROW) == F.col("component_id")), docs.columns)
+    own = _Rows(docs)
+    found = jaccard_components(own.rows, ROW, own.text, shingle=5, percent=80)
+    return own.kept(found.where(F.col(ROW) == F.col("component_id")))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of repeated passages. Texts without any stay as they are, white space included; a
     document that loses all its words stays with an empty text. ``n_chars`` follows the text."""
-    rows = keyed(docs)
-    found = remove_repeated_words(rows, id_col=ROW).select(ROW, "n_removed", F.col("kept").alias("_kept"))
-    met = rows.join(found, ROW)
-    text = F.when(F.col("n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    met = met.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        met = met.withColumn("n_chars", chars)
-    return met.select(*docs.columns)
+    own = _Rows(docs)
+    met = own.rows.join(remove_repeated_words(own.rows, ROW, own.text).select(ROW, "n_removed", "kept"), ROW)
+    less = F.col("n_removed") > 0
+    met = met.withColumn(own.text, F.when(less, F.col("kept")).otherwise(F.col(own.text)))
+    if own.n_chars:
+        chars = F.when(less, F.length(own.text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own.n_chars))
+        met = met.withColumn(own.n_chars, chars)
+    return own.named(met)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
