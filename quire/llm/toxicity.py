@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import raw_text, tidy, written
 
 SAMPLE = 20_000
-MOST_FEATURES = 20_000
-MOST_WORDS = 50_000
+#: Words of the character model and weighty features kept, for each row of the sample.
+KEPT = 4
 LEAST_SUPPORT = 4
 
 # Letters that a sign may stand for.
@@ -178,11 +178,14 @@ def _signatures(text: bytes) -> list[int]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits a model on at most ``sample`` labelled rows, the first by a hash of their id. Rows without a
-    label, an id or a document are left out; without both labels the model gives every text one score."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").dropDuplicates(["_id"])
+    label, an id or a document are left out; without both labels the model gives every text one score. Of
+    an id with several labels the greatest counts, of one with several texts the least. The ``KEPT`` x ``sample``
+    most frequent words make the character model, and as many features of the greatest weights are kept."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), raw_text(text_col).alias("_text"))
-    rows = written(texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]), "labelled")  # at most ``sample`` rows
+    labelled = texts.join(F.broadcast(chosen), "_id")  # at most ``sample`` ids
+    rows = written(labelled.groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y")), "labelled")
 
     def sign(batches):
         for batch in batches:
@@ -208,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield _emit(items[k : k + 50_000], [("w", pa.string()), ("n", pa.int64())])
 
     words = rows.select("_text").mapInArrow(tidy(count_words), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    chars = CharModel.of({r.w: r.n for r in words.orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()})
+    chars = CharModel.of({r.w: r.n for r in words.orderBy(F.desc("n"), "w").limit(KEPT * sample).collect()})
     shared = spark.sparkContext.broadcast(chars)
 
     def count_features(batches):
@@ -236,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     least = F.col("n1") - F.sqrt(F.col("n1").cast("double"))  # a cautious count of toxic documents
     weight = F.log((least + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     top = found.where(f"f <> '' and n1 >= {LEAST_SUPPORT}").withColumn("w", weight).where("w > 1")
-    model = Model(chars, {r.f: r.w for r in top.orderBy(F.desc("w"), "f").limit(MOST_FEATURES).collect()})
+    model = Model(chars, {r.f: r.w for r in top.orderBy(F.desc("w"), "f").limit(KEPT * sample).collect()})
     model_b = spark.sparkContext.broadcast(model)
 
     def measure(batches):

@@ -74,3 +74,26 @@ def test_columns(spark):
     assert info[3].n_frames == len(info[3].frame_offsets) == 4 and info[3].duration_s == 4 * 1152 / 48000
     assert parse_media(docs).where("doc_id is null").first().info.n_frames == 0
     assert media_digests(stored.limit(0)).count() == 0 and describe(b"")[0]["n_frames"] == 0
+
+
+def test_nothing_fails_on_short_frames_and_foreign_bytes(spark):
+    import random
+
+    from quire.llm.media import media_digests, parse, write
+
+    rng = random.Random(9)
+    heads = [bytes([0xFF, a, b, c]) for a in (0xF2, 0xF3, 0xFA, 0xFB, 0xE3, 0xFD, 0xFF) for b in (0x10, 0x14, 0x18, 0xC4, 0x92) for c in (0x00, 0xC0)]
+    for head in heads:
+        for mark in (b"Xing", b"Info", b"VBRI"):
+            for size in (4, 9, 12, 17, 20, 24, 36, 40, 60, 120):
+                body = bytearray(rng.randbytes(size))
+                place = rng.choice([0, 5, 9, 11, 13, 17, 32, 34])
+                body[place : place + 4] = mark
+                parse((head + bytes(body)) * rng.choice([1, 2, 3]))
+    good = write(b"some text")
+    broken = bytearray(good)
+    broken[-100] ^= 1  # within the payload
+    rows = [(1, bytearray(good)), (2, None), (3, bytearray(b"foreign")), (4, broken), (5, bytearray(good[:300])), (6, bytearray())]
+    got = {r.doc_id: r for r in media_digests(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1].n_bytes == 9 and got[1].payload_bytes == 576
+    assert all(got[k].payload_sha256 is None and got[k].feature is None for k in range(2, 7))

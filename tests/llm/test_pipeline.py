@@ -94,3 +94,20 @@ def test_empty(spark, tmp_path):
     frame.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_columns_with_the_names_stages_use(spark, tmp_path):
+    """Every stage keeps columns that are called as its own are, and their values."""
+    import corpus_pipeline
+
+    passage = " ".join(f"w{i}" for i in range(30))
+    texts = [f"{passage} one", f"two {passage}", "same text here", "same text here", None, ""]
+    names = ["_row", "_kept", "n_removed", "kept", "_text", "_id", "score", "c0", "c1", "component_id", "label", "n_chars"]
+    rows = [(i, t, *([i * 100] * len(names))) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[n] == r.doc_id * 100 for n in names if n != "n_chars"), name

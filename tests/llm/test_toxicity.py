@@ -63,3 +63,13 @@ def test_held_out_accuracy(spark):
     empty = fit(docs.limit(0), marks)
     assert Scorer(empty).model.score(Scorer(empty).stats(b"")) < 0.7
     assert score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_repeated_ids_give_one_model(spark):
+    """Of an id with several texts or labels one is taken, whatever the order of rows."""
+    from quire.llm.toxicity import fit
+
+    rows = [(i % 30, f"word{i} text {'awful' if i % 2 else 'nice'} more{i % 7}") for i in range(90)]
+    labels = spark.createDataFrame([(i % 30, i % 2) for i in range(60)] + [(3, 1), (3, 0)], "doc_id long, toxic int")
+    models = [fit(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((rows, 1), (rows[::-1], 3))]
+    assert models[0] == models[1]
