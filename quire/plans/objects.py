@@ -6,6 +6,7 @@ import base64
 import zlib
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -125,17 +126,21 @@ def cid_width(t):
 
 
 @query(
-    """SELECT DISTINCT p_partkey, CASE p_partkey % 4 WHEN 0 THEN chr(CAST(65 + p_partkey % 26 AS INTEGER)) WHEN 1 THEN chr(CAST(256 + p_partkey % 700 AS INTEGER)) WHEN 2 THEN 'A' ELSE NULL END AS text FROM part"""
+    """SELECT DISTINCT p_partkey, CASE p_partkey % 4 WHEN 0 THEN chr(CAST(65 + p_partkey % 26 AS INTEGER)) WHEN 1 THEN chr(CAST(256 + p_partkey % 700 AS INTEGER))
+              WHEN 2 THEN CASE p_partkey % 5 WHEN 0 THEN 'é' WHEN 1 THEN 'Ö' WHEN 2 THEN 'ß' WHEN 3 THEN '“' ELSE 'š' END ELSE NULL END AS text FROM part"""
 )
 def glyph_lookup(t):
+    from ..sources.content import GLYPHS
+
     k = F.col("p_partkey")
+    known = F.array(*map(F.lit, ("eacute", "Odieresis", "germandbls", "quotedblleft", "scaron")))
     name = (
         F.when(k % 4 == 0, F.char((k % 26 + 65).cast("int")))
         .when(k % 4 == 1, F.concat(F.lit("uni"), F.lpad(F.hex(k % 700 + 256), 4, "0")))
-        .when(k % 4 == 2, F.lit("capital"))
+        .when(k % 4 == 2, F.element_at(known, (k % 5 + 1).cast("int")))
         .otherwise(F.lit("nothing"))
     )
-    return t.part.select("p_partkey", D.glyph_unicode(name, {"capital": "A", "space": " "}).alias("text"))
+    return t.part.select("p_partkey", D.glyph_unicode(name, GLYPHS).alias("text"))
 
 
 @query(
@@ -159,18 +164,26 @@ def encoding_differences(t):
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def hex_roundtrip(t):
-    loose = F.concat(F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(.{40})", "$1\n "), F.lit(">junk"))
-    body = F.regexp_replace(F.split_part(loose, F.lit(">"), F.lit(1)), r"[\x00\t\n\f\r ]", "")
-    return t.documents.select("doc_id", F.md5(F.unhex(body)).alias("digest"))
+    def loose(x):
+        digits = x.hex().upper().encode()
+        return b"\n ".join(digits[k : k + 40] for k in range(0, len(digits), 40)) + b">junk"
+
+    return _round_trip(t, loose, lambda x, n: C.ascii_hex(x))
 
 
 @query("WITH d AS (SELECT l_orderkey, l_partkey, l_suppkey, sum(l_suppkey % 256) OVER (PARTITION BY l_orderkey % 100 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) % 256 AS v FROM lineitem) SELECT l_orderkey, sum(v)::BIGINT AS total FROM d GROUP BY l_orderkey")
 def tiff_predictor(t):
-    from pyspark.sql.window import Window as W
+    """One row of samples for each hundredth of the orders, stored as differences and summed up again."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+    def run(table):
+        table = table.sort_by([(c, "ascending") for c in order])
+        stored = (table["l_suppkey"].to_numpy() % 256).astype(np.uint8)
+        samples = np.frombuffer(C.predictor(stored.tobytes(), {"Predictor": 2, "Columns": len(stored)}), np.uint8)
+        return pa.table({"l_orderkey": table["l_orderkey"].cast(pa.int64()), "v": samples.astype(np.int64)})
 
-    row = W.partitionBy(F.col("l_orderkey") % 100).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").rowsBetween(W.unboundedPreceding, W.currentRow)
-    v = F.sum(F.col("l_suppkey") % 256).over(row) % 256
-    return t.lineitem.select("l_orderkey", v.alias("v")).groupBy("l_orderkey").agg(F.sum("v").alias("total"))
+    parts = t.lineitem.select(*order, (F.col("l_orderkey") % 100).alias("part"))
+    return parts.groupBy("part").applyInArrow(run, "l_orderkey bigint, v bigint").groupBy("l_orderkey").agg(F.sum("v").alias("total"))
 
 
 def _round_trip(t, encode, decode):

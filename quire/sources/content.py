@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 from ..limits import GLYPHS_PER_PAGE
@@ -23,6 +24,41 @@ GLYPHS = {
     "quotedblleft": "“", "quotedblright": "”", "endash": "–", "emdash": "—", "bullet": "•", "ellipsis": "…", "germandbls": "ß", "fi": "ﬁ", "fl": "ﬂ", "Euro": "€",
 }
 
+# How names of glyphs call the marks of letters, marks by themselves, and letters and signs whose names
+# follow no rule.
+MARKS = {
+    "GRAVE": "grave", "ACUTE": "acute", "CIRCUMFLEX": "circumflex", "TILDE": "tilde", "DIAERESIS": "dieresis", "RING ABOVE": "ring", "CEDILLA": "cedilla",
+    "CARON": "caron", "MACRON": "macron", "BREVE": "breve", "OGONEK": "ogonek", "DOT ABOVE": "dotaccent", "DOUBLE ACUTE": "hungarumlaut",
+}
+LONE = {
+    "grave": "`", "acute": "´", "circumflex": "ˆ", "tilde": "˜", "dieresis": "¨", "ring": "˚", "cedilla": "¸", "caron": "ˇ", "macron": "¯", "breve": "˘", "ogonek": "˛",
+    "dotaccent": "˙", "hungarumlaut": "˝", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "oslash": "ø", "Oslash": "Ø", "lslash": "ł", "Lslash": "Ł", "eth": "ð", "Eth": "Ð",
+    "thorn": "þ", "Thorn": "Þ", "dotlessi": "ı", "dcroat": "đ", "Dcroat": "Đ", "hbar": "ħ", "Hbar": "Ħ", "kgreenlandic": "ĸ", "eng": "ŋ", "Eng": "Ŋ", "tbar": "ŧ", "Tbar": "Ŧ",
+    "asciicircum": "^", "asciitilde": "~", "bar": "|", "braceleft": "{", "braceright": "}", "exclamdown": "¡", "questiondown": "¿", "cent": "¢", "sterling": "£",
+    "currency": "¤", "yen": "¥", "brokenbar": "¦", "section": "§", "copyright": "©", "registered": "®", "trademark": "™", "ordfeminine": "ª", "ordmasculine": "º",
+    "guillemotleft": "«", "guillemotright": "»", "guilsinglleft": "‹", "guilsinglright": "›", "logicalnot": "¬", "degree": "°", "plusminus": "±", "mu": "µ",
+    "paragraph": "¶", "periodcentered": "·", "onequarter": "¼", "onehalf": "½", "threequarters": "¾", "multiply": "×", "divide": "÷", "dagger": "†", "daggerdbl": "‡",
+    "perthousand": "‰", "quotesinglbase": "‚", "quotedblbase": "„", "florin": "ƒ", "fraction": "⁄", "minus": "−", "ff": "ﬀ", "ffi": "ﬃ", "ffl": "ﬄ", "nbspace": "\u00a0",
+    "onesuperior": "¹", "twosuperior": "²", "threesuperior": "³", "infinity": "∞", "notequal": "≠", "lessequal": "≤", "greaterequal": "≥", "partialdiff": "∂",
+    "summation": "∑", "product": "∏", "integral": "∫", "radical": "√", "approxequal": "≈", "lozenge": "◊", "arrowleft": "←", "arrowup": "↑", "arrowright": "→", "arrowdown": "↓",
+}
+
+
+def _by_rule() -> dict[str, str]:
+    """Names of letters with a mark (base letter, then mark), and of Greek letters, from the characters' names."""
+    out = {}
+    for c in map(chr, (*range(0xC0, 0x180), *range(0x218, 0x21C))):
+        if (m := re.fullmatch(r"LATIN (SMALL|CAPITAL) LETTER ([A-Z]) WITH (.+)", unicodedata.name(c))) and m[3] in MARKS:
+            out[(m[2] if m[1] == "CAPITAL" else m[2].lower()) + MARKS[m[3]]] = c
+    for c in map(chr, range(0x391, 0x3CA)):
+        if m := re.fullmatch(r"GREEK (SMALL|CAPITAL) LETTER ([A-Z]+)", unicodedata.name(c, "")):
+            name = m[2].lower().replace("lamda", "lambda")
+            out[name.capitalize() if m[1] == "CAPITAL" else name] = c
+    return out
+
+
+GLYPHS = _by_rule() | LONE | GLYPHS
+
 
 def glyph_text(name: str) -> str:
     if name in GLYPHS:

@@ -75,7 +75,8 @@ def outline_table(source: DataFrame) -> DataFrame:
 
 
 def run_table(source: DataFrame) -> DataFrame:
-    """The positioned runs of all pages, as ``operators.assembly`` reads them."""
+    """The positioned runs of all pages, as ``operators.assembly`` reads them, with their quads (the lower left corner
+    first, then around)."""
 
     def make(content):
         doc = _open(content)
@@ -85,10 +86,10 @@ def run_table(source: DataFrame) -> DataFrame:
             except CodecError:
                 continue
             for e, r in enumerate(runs):
-                yield k, e, r.text, r.x, r.y, r.dx, r.dy, r.size, sum(r.advances), r.vertical, r.invisible, r.advances
+                yield k, e, r.text, r.x, r.y, r.dx, r.dy, r.size, sum(r.advances), r.vertical, r.invisible, r.advances, [{"x": a, "y": b} for a, b in r.quad]
 
-    kinds = {"page_index": pa.int32(), "emit_idx": pa.int32(), "text": pa.string(), "x": pa.float64(), "y": pa.float64(), "dx": pa.float64(), "dy": pa.float64(), "size": pa.float64(), "width": pa.float64(), "vertical": pa.bool_(), "invisible": pa.bool_(), "advances": pa.list_(pa.float64())}
-    schema = "page_index int, emit_idx int, text string, x double, y double, dx double, dy double, size double, width double, vertical boolean, invisible boolean, advances array<double>"
+    kinds = {"page_index": pa.int32(), "emit_idx": pa.int32(), "text": pa.string(), "x": pa.float64(), "y": pa.float64(), "dx": pa.float64(), "dy": pa.float64(), "size": pa.float64(), "width": pa.float64(), "vertical": pa.bool_(), "invisible": pa.bool_(), "advances": pa.list_(pa.float64()), "quad": pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))}
+    schema = "page_index int, emit_idx int, text string, x double, y double, dx double, dy double, size double, width double, vertical boolean, invisible boolean, advances array<double>, quad array<struct<x:double,y:double>>"
     return _rows(source, schema, kinds, make)
 
 

@@ -187,3 +187,21 @@ def test_mutations_end_in_a_result():
                     Interpreter(got).page(p)
                 except CodecError:
                     pass
+
+
+def test_glyph_names_by_rule():
+    from quire.sources.content import glyph_text
+
+    names = {"eacute": "é", "Adieresis": "Ä", "ccedilla": "ç", "scaron": "š", "Zdotaccent": "Ż", "ohungarumlaut": "ő", "circumflex": "ˆ", "AE": "Æ", "alpha": "α", "Omega": "Ω", "lambda": "λ", "uni00E9": "é", "what": "�"}
+    assert {n: glyph_text(n) for n in names} == names
+
+
+def test_runs_have_quads(spark):
+    from quire.sources.frames import run_table, text_files
+
+    texts = spark.createDataFrame([(1, "first line\nsecond")], "doc_id long, text string")
+    runs = run_table(text_files(texts)).collect()
+    assert len(runs) == 2
+    for r in runs:
+        xs, ys = [p.x for p in r.quad], [p.y for p in r.quad]
+        assert len(r.quad) == 4 and abs(max(xs) - min(xs) - r.width) < 1e-6 and min(ys) < r.y < max(ys)
