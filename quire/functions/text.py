@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def _accents() -> tuple[str, str]:
     """Precomposed letters and their bases, by the rule of canonical decomposition."""
     pairs = []
-    for code in range(0xC0, 0x2000):
+    for code in (*range(0xC0, 0xD800), *range(0xE000, 0x30000)):
         base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")
         if len(base) == 1 and base != chr(code):
             pairs.append((chr(code), base))
@@ -25,18 +25,19 @@ def _undecided() -> str:
     """A character class of everything that ``folded`` compares otherwise than ``fold``: combining marks, characters
     that decompose beyond one letter (syllables, voiced kana), and those whose lower case depends on more."""
     table, ranges = dict(zip(*_accents(), strict=True)), []
-    for code in range(0x80, 0x110000):
-        c = chr(code)
-        if 0xD800 <= code < 0xE000:
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x30000)):  # beyond it nothing folds
+        c, low = chr(code), chr(code).lower()
+        if c == low and unicodedata.is_normalized("NFD", c):
             continue
-        low = c.lower()
         same = len(low) == 1 and c != "Σ" and all(fold(x) == table.get(y, y) and fold(x, True) == table.get(x, x) for x, y in ((c, low), (low, low)))
-        if not same or unicodedata.combining(c):
+        if not same and not unicodedata.category(c).startswith("M"):
             if ranges and ranges[-1][1] == code - 1:
                 ranges[-1][1] = code
             else:
                 ranges.append([code, code])
-    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + r"\p{M}]"
+    shown = lambda some: "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in some)
+    low, high = ([r for r in ranges if (r[0] < 0x300) == is_low] for is_low in (True, False))
+    return rf"[{shown(low)}[[^\x00-\x{{2FF}}]&&[\p{{M}}{shown(high)}]]]"  # Latin letters need one comparison
 
 
 def undecided(text: Column) -> Column:
