@@ -16,13 +16,13 @@ from .registry import query
 
 
 @query(
-    """WITH e AS (SELECT user_id % 400 AS obj, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS section, event_id % 10000 AS off FROM events),
+    """WITH e AS (SELECT user_id % 400 AS obj, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS section, event_id * 7919 % 10000 AS off FROM events),
             r AS (SELECT *, row_number() OVER (PARTITION BY obj ORDER BY section DESC, off DESC) AS r FROM e)
        SELECT obj AS obj_num, section, off + 15 AS "offset" FROM r WHERE r = 1 AND off + 15 < 9000"""
 )
 def xref_merge(t):
     day = F.unix_seconds(F.date_trunc("day", "ts"))
-    entries = t.events.select((F.col("user_id") % 400).alias("obj_num"), day.alias("section"), (-day).alias("rank"), (F.col("event_id") % 10000).alias("offset"))
+    entries = t.events.select((F.col("user_id") % 400).alias("obj_num"), day.alias("section"), (-day).alias("rank"), (F.col("event_id") * 7919 % 10000).alias("offset"))
     return D.valid_entries(D.first_wins(entries, ["obj_num"], "rank", "offset"), F.lit(15), F.lit(9000)).drop("rank")
 
 
