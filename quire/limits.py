@@ -16,3 +16,4 @@ NESTING = 512
 SECTIONS = 1_024
 OUTLINE_ITEMS, OUTLINE_DEPTH = 50_000, 64
 DECODED_BYTES = 512 * 1024 * 1024
+CONTENT_BYTES = 32 * 1024 * 1024

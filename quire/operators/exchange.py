@@ -42,3 +42,21 @@ def position_json(page: Column, offset: Column, zoom: Column) -> Column:
 
 def highlight_json(mark: Column) -> Column:
     return F.to_json(mark)
+
+
+def position_from_json(text: Column) -> Column:
+    """A reading position (page, offset, zoom) with the offset within 0 to 1; null where one of them is missing."""
+    read = F.from_json(text, "page int, offset double, zoom double")
+    whole = read["page"].isNotNull() & read["offset"].isNotNull() & read["zoom"].isNotNull()
+    return F.when(whole, F.struct(read["page"].alias("page"), F.least(F.greatest(read["offset"], F.lit(0.0)), F.lit(1.0)).alias("offset"), read["zoom"].alias("zoom")))
+
+
+MARK = "id string, page int, quads array<string>, color struct<red:double,green:double,blue:double,alpha:double>"
+
+
+def highlight_from_json(text: Column) -> Column:
+    """A highlight (id, page, quads, color) whose quads are objects as by ``quad_json``; null without id or page.
+    Objects that are no quads are left out."""
+    read = F.from_json(text, MARK)
+    quads = F.filter(F.transform(read["quads"], quad_from_json), lambda q: q.isNotNull())
+    return F.when(read["id"].isNotNull() & read["page"].isNotNull(), F.struct(read["id"].alias("id"), read["page"].alias("page"), quads.alias("quads"), read["color"].alias("color")))

@@ -10,6 +10,7 @@ from ..limits import TILE_KEYS
 
 INSET, SPACING, LONGEST = 12.0, 12.0, 50_000.0
 TILE = 512.0
+PREFETCH, PREVIEWS = 0.5, 3
 
 
 def side(v: Column) -> Column:
@@ -56,6 +57,12 @@ def visible_parts(views: DataFrame, frames: DataFrame) -> DataFrame:
     return met.select("doc_id", "id", "page_index", (x0 - F.col("x")).alias("px"), (y0 - F.col("y")).alias("py"), (x1 - x0).alias("pw"), (y1 - y0).alias("ph"))
 
 
+def current_page(views: DataFrame, frames: DataFrame) -> DataFrame:
+    """(doc_id, id, page_index): the page at the middle of each view (doc_id, id, vy, vh)."""
+    middles = views.select("doc_id", "id", (F.col("vy") + F.col("vh") / 2).alias("y"))
+    return page_at_y(middles, frames).select("doc_id", "id", "page_index")
+
+
 def near_range(first: Column, last: Column, count: Column, margin: int = 2) -> Column:
     """The pages to keep ready around those on show."""
     return F.struct(F.greatest(first - margin, F.lit(0)).alias("lo"), F.least(last + margin, count - 1).alias("hi"))
@@ -130,6 +137,43 @@ def keep_desired(buffer: DataFrame, wanted: DataFrame, always: DataFrame | None
     return buffer.join(keep.distinct(), "key", "left_semi")
 
 
+def without_keys(buffer: DataFrame, keys: DataFrame) -> DataFrame:
+    return buffer.join(keys.select("key"), "key", "left_anti")
+
+
+def prefetch_tiles(views: DataFrame, frames: DataFrame) -> DataFrame:
+    """(doc_id, id, page_index, tile_col, tile_row) to make ready beside what views (doc_id, id, vx, vy, vw, vh, bucket)
+    show: half a view above and below on the shown pages, and what of it passes a page's edge as a strip of the
+    neighbour that isn't shown. Tiles on show are left out."""
+    shown = visible_parts(views, frames)
+    sized = shown.join(views.select("doc_id", "id", "bucket", (F.col("vh") * PREFETCH).alias("_m")), ["doc_id", "id"])
+    sized = sized.join(frames.select("doc_id", "page_index", "w", "h"), ["doc_id", "page_index"])
+    top, bottom = F.col("py") - F.col("_m"), F.col("py") + F.col("ph") + F.col("_m")
+    y0, y1 = F.greatest(top, F.lit(0.0)), F.least(bottom, F.col("h"))
+    key = ["doc_id", "id", "page_index"]
+    own = sized.select(*key, "bucket", "w", "h", F.col("px").alias("rx"), y0.alias("ry"), F.col("pw").alias("rw"), (y1 - y0).alias("rh"))
+    over = F.array(F.struct(F.lit(-1).alias("to"), (-top).alias("by")), F.struct(F.lit(1).alias("to"), (bottom - F.col("h")).alias("by")))
+    spill = sized.select("doc_id", "id", "bucket", "px", "pw", "page_index", F.explode(over).alias("o")).where("o.by > 0")
+    spill = spill.select("doc_id", "id", (F.col("page_index") + F.col("o.to")).alias("page_index"), "bucket", "px", "pw", "o.*").join(shown.select(*key), key, "left_anti")
+    spill = spill.join(frames.select("doc_id", "page_index", "w", "h"), ["doc_id", "page_index"]).withColumn("by", F.least("by", "h"))
+    ry = F.when(F.col("to") < 0, F.col("h") - F.col("by")).otherwise(0.0)
+    strips = spill.select(*key, "bucket", "w", "h", F.col("px").alias("rx"), ry.alias("ry"), F.col("pw").alias("rw"), F.col("by").alias("rh"))
+    on_show = sized.select(*key, "bucket", "w", "h", F.col("px").alias("rx"), F.col("py").alias("ry"), F.col("pw").alias("rw"), F.col("ph").alias("rh"))
+    every = own.withColumn("_seen", F.lit(0)).unionByName(strips.withColumn("_seen", F.lit(0))).unionByName(on_show.withColumn("_seen", F.lit(1)))
+    found = tiles(every.withColumn("id", F.struct(*key, "_seen")))
+    once = found.select("id.*", "tile_col", "tile_row").groupBy(*key, "tile_col", "tile_row").agg(F.max("_seen").alias("_seen"))
+    return once.where("_seen = 0").drop("_seen")
+
+
+def prefetch_previews(views: DataFrame, frames: DataFrame) -> DataFrame:
+    """(doc_id, id, page_index): the pages within three of those on show that are not on show."""
+    shown = visible_parts(views, frames).select("doc_id", "id", "page_index")
+    span = shown.groupBy("doc_id", "id").agg(F.min("page_index").alias("_a"), F.max("page_index").alias("_b"))
+    near = span.select("doc_id", "id", F.explode(F.sequence(F.col("_a") - PREVIEWS, F.col("_b") + PREVIEWS)).alias("page_index"))
+    real = near.join(frames.select("doc_id", "page_index"), ["doc_id", "page_index"], "left_semi")
+    return real.join(shown, ["doc_id", "id", "page_index"], "left_anti")
+
+
 def capture(y: Column, frame_y: Column, frame_h: Column) -> Column:
     """The place on a page, 0 to 1, that a content y shows."""
     return F.least(F.greatest((y - frame_y) / frame_h, F.lit(0.0)), F.lit(1.0))

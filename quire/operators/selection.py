@@ -88,10 +88,14 @@ def text_lines(pages: DataFrame) -> DataFrame:
 
 def line_of_offset(offsets: DataFrame, lines: DataFrame) -> DataFrame:
     """Each offset with its line: the last that starts at or before it; the first one for what lies before.
-    An as-of join on the page. ``offsets``: doc, page, id, offset."""
-    met = offsets.join(lines, PAGE)
-    key = F.struct((F.col("lo") <= F.col("offset")).alias("at"), F.when(F.col("lo") <= F.col("offset"), F.col("lo")).otherwise(-F.col("lo")).alias("o"))
-    return met.groupBy(*PAGE, "id", "offset").agg(F.max_by(F.struct("line_no", "lo", "hi"), key).alias("line"))
+    Lines and offsets of a page meet in one window. ``offsets``: doc, page, id, offset."""
+    starts = lines.select(*PAGE, F.col("lo").cast("bigint").alias("_at"), F.lit(0).alias("_kind"), F.struct("line_no", "lo", "hi").alias("line"))
+    asked = offsets.select(*PAGE, "id", "offset", F.col("offset").cast("bigint").alias("_at"), F.lit(1).alias("_kind"))
+    order = W.partitionBy(*PAGE).orderBy("_at", "_kind")
+    met = asked.unionByName(starts, allowMissingColumns=True)
+    up_to, all_of = order.rowsBetween(W.unboundedPreceding, W.currentRow), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    met = met.withColumns({"_last": F.last("line", ignorenulls=True).over(up_to), "_first": F.first("line", ignorenulls=True).over(all_of)})
+    return met.where("_kind = 1 and _first is not null").select(*PAGE, "id", "offset", F.coalesce("_last", "_first").alias("line"))
 
 
 def hit_test(points: DataFrame, lines: DataFrame, window: int = 4) -> DataFrame:

@@ -108,6 +108,21 @@ def parsed_date(text: Column) -> Column:
     return F.timestamp_seconds(F.unix_seconds(start) + seconds)
 
 
+# The kind that a warning belongs to; what isn't named here is of kind parsing.
+WARNING_KINDS = {
+    "header": ("headerOffset", "version", "endMark"),
+    "crossReference": ("sections", "sectionCycle", "section", "hybrid", "entryOffset", "rowWidth", "sectionShort"),
+    "recovery": ("recovered",),
+    "objectStream": ("objectStream", "member"),
+}
+
+
+def warning_kind(warning: Column) -> Column:
+    """The kind of a warning (its code, then what it is about)."""
+    kinds = F.create_map(*(F.lit(x) for kind, codes in WARNING_KINDS.items() for code in codes for x in (code, kind)))
+    return F.when(warning.isNotNull(), F.coalesce(F.try_element_at(kinds, F.split_part(warning, F.lit(" "), F.lit(1))), F.lit("parsing")))
+
+
 def greatest_version(*versions: Column) -> Column:
     """The greatest of 'major.minor' texts as pairs of numbers; malformed ones don't count."""
     pairs = [F.when(v.rlike(r"^\d{1,2}\.\d{1,2}$"), F.struct(F.split_part(v, F.lit("."), F.lit(1)).cast("int").alias("a"), F.split_part(v, F.lit("."), F.lit(2)).cast("int").alias("b"))) for v in versions]

@@ -123,6 +123,68 @@ class UnicodeMap:
         return None
 
 
+@dataclass
+class CidMap:
+    """A font's own map of codes to glyph numbers, with the byte lengths its codespaces give."""
+
+    spaces: list[tuple[int, int, int]] = field(default_factory=list)  # length, first, last
+    single: dict[int, int] = field(default_factory=dict)
+    ranges: list[tuple[int, int, int, int]] = field(default_factory=list)  # length, first, last, first glyph
+    vertical: bool = False
+
+    @classmethod
+    def parse(cls, data: bytes) -> CidMap | None:
+        """None without codespaces. Damaged and reversed entries are left out."""
+        out, reader, held = cls(), Reader(data, 0, refs=False), []
+        whole = lambda v: type(v) is int and v >= 0
+        while reader.at < len(data) and len(out.single) + len(out.ranges) < 262_144:
+            try:
+                v = reader.value()
+            except Damage:
+                reader.at += 1
+                continue
+            if type(v) is not Op:
+                held.append(v)
+                continue
+            step = {"endcodespacerange": 2, "endcidrange": 3, "endcidchar": 2}.get(v, 0)
+            for k in range(0, len(held) - step + 1, step or 1) if step else ():
+                a, b = held[k], held[k + 1]
+                if not isinstance(a, bytes) or not (whole(b) if v == "endcidchar" else isinstance(b, bytes)):
+                    continue
+                lo = int.from_bytes(a, "big")
+                if v == "endcidchar":
+                    out.single[lo] = b
+                elif lo <= (hi := int.from_bytes(b, "big")):
+                    if v == "endcodespacerange":
+                        out.spaces.append((len(a), lo, hi))
+                    elif whole(held[k + 2]):
+                        out.ranges.append((len(a), lo, hi, held[k + 2]))
+            for name, mode in zip(held, held[1:], strict=False):
+                if isinstance(name, Name) and name == "WMode" and type(mode) is int:
+                    out.vertical = mode == 1
+            held = []
+        return out if out.spaces else None
+
+    def codes(self, b: bytes):
+        """(code, length): of the codespaces that hold the next bytes the shortest, else one byte."""
+        at = 0
+        while at < len(b):
+            for n in range(1, min(4, len(b) - at) + 1):
+                code = int.from_bytes(b[at : at + n], "big")
+                if any(m == n and lo <= code <= hi for m, lo, hi in self.spaces):
+                    break
+            else:
+                n, code = 1, b[at]
+            yield code, n
+            at += n
+
+    def get(self, code: int, length: int) -> int | None:
+        """A single entry first, then the first range of that length that holds the code."""
+        if code in self.single:
+            return self.single[code]
+        return next((to + code - lo for n, lo, hi, to in self.ranges if n == length and lo <= code <= hi), None)
+
+
 @dataclass
 class Font:
     """Decodes strings; the default is one byte a code, unknown text and width 500."""
@@ -135,9 +197,15 @@ class Font:
     ascent: float = 800.0
     descent: float = -200.0
     vertical: bool = False
+    cids: CidMap | None = None
 
     def glyphs(self, b: bytes):
         """(text, width in thousandths, whether it is a single-byte space) of each code."""
+        if self.cids:
+            for c, n in self.cids.codes(b):
+                text = self.unicode.get(c) if self.unicode else None
+                yield text if text is not None else "�", self.widths.get(self.cids.get(c, n), self.default_width), n == 1 and c == 32
+            return
         codes = [int.from_bytes(b[i : i + 2], "big") for i in range(0, len(b), 2)] if self.two_byte else b
         for c in codes:
             text = self.unicode.get(c) if self.unicode else None
@@ -158,7 +226,13 @@ def load_font(doc: Document, spec) -> Font:
     number = lambda v, d: float(v) if isinstance(v := doc.resolve(v), int | float) else d
     if spec.get("Subtype") == "Type0":
         font.two_byte, font.default_width = True, 1000.0
-        font.vertical = str(doc.resolve(spec.get("Encoding"))).endswith("-V")
+        encoding = doc.resolve(spec.get("Encoding"))
+        if isinstance(encoding, Stream):
+            try:
+                font.cids = CidMap.parse(doc.decoded(encoding))
+            except CodecError:
+                doc.warnings.add("cidMap")
+        font.vertical = font.cids.vertical if font.cids else str(encoding).endswith("-V")
         kids = doc.resolve(spec.get("DescendantFonts"))
         kid = doc.resolve(kids[0]) if isinstance(kids, list) and kids else None
         if isinstance(kid, dict):

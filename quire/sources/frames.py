@@ -93,15 +93,16 @@ def run_table(source: DataFrame) -> DataFrame:
     return _rows(source, schema, kinds, make)
 
 
-def text_files(texts: DataFrame, per_page: int = 50) -> DataFrame:
-    """(doc_id, content): each text as a document, a line for each of its lines that isn't empty."""
+def text_files(texts: DataFrame, per_page: int = 50, xref: str = "table") -> DataFrame:
+    """(doc_id, content): each text as a document, a line for each of its lines that isn't empty. ``xref`` as in
+    ``write.text_document``."""
     from .write import text_document
 
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches):
         for batch in batches:
-            made = [text_document([x for x in (t or "").split("\n") if x], per_page) for t in batch.column(1).to_pylist()]
+            made = [text_document([x for x in (t or "").split("\n") if x], per_page, xref) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
 
     return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, content binary")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
-from ..limits import OUTLINE_DEPTH, OUTLINE_ITEMS, PAGES, REFERENCE_HOPS, SECTIONS, TREE_DEPTH
+from ..limits import CONTENT_BYTES, OUTLINE_DEPTH, OUTLINE_ITEMS, PAGES, REFERENCE_HOPS, SECTIONS, TREE_DEPTH
 from .codecs import CodecError, decode, stages
 from .cos import Damage, Op, Reader, Ref, Stream, Warnings, indirect
 
@@ -43,6 +44,7 @@ class Document:
     trailer: dict = field(default_factory=dict)
     xref: dict = field(default_factory=dict)  # number: ("u", offset, gen), ("c", container, index) or ("f",)
     warnings: Warnings = field(default_factory=Warnings)
+    decrypt: Callable[[bytes], bytes] | None = None  # of a stream's bytes, before its filters
 
     def __post_init__(self):
         self._objects, self._busy, self._containers = {}, set(), {}
@@ -50,11 +52,11 @@ class Document:
     # opening
 
     @classmethod
-    def open(cls, data: bytes) -> Document:
+    def open(cls, data: bytes, decrypt: Callable[[bytes], bytes] | None = None) -> Document:
         at = data[:1024].find(b"%PDF-")
         if at < 0:
             raise CannotOpen("notAPDF")
-        self = cls(data, bias=at)
+        self = cls(data, bias=at, decrypt=decrypt)
         if at:
             self.warnings.add("headerOffset", str(at))
         if m := _VERSION.match(data, at):
@@ -256,7 +258,7 @@ class Document:
         names, own = self.resolve(stream.info.get("Filter")), self.resolve(stream.info.get("DecodeParms"))
         names = [self.resolve(x) for x in names] if isinstance(names, list) else names
         own = [self.resolve(x) for x in own] if isinstance(own, list) else own
-        return decode(stream.raw, stages(names, own))
+        return decode(self.decrypt(stream.raw) if self.decrypt else stream.raw, stages(names, own))
 
     def _container(self, num: int) -> list:
         """(number, value) of the members of an object stream; members out of range are left out."""
@@ -329,15 +331,18 @@ class Document:
         return (float(x0), float(y0), float(x1), float(y1)) if x1 > x0 and y1 > y0 else None
 
     def contents(self, page: Page) -> bytes:
-        """The page's content, its parts joined by spaces. Parts that are damaged are left out; a filter that
-        isn't supported fails the page with ``CodecError``."""
+        """The page's content, its parts joined by spaces and cut at ``CONTENT_BYTES``. Parts that are damaged are left
+        out; a filter that isn't supported fails the page with ``CodecError``."""
         value = self.resolve(page.contents)
-        out = []
+        out, left = [], CONTENT_BYTES + 1
         for part in value if isinstance(value, list) else [value]:
+            if left <= 1:
+                break
             stream = self.resolve(part)
             if isinstance(stream, Stream):
                 try:
-                    out.append(self.decoded(stream))
+                    out.append(self.decoded(stream)[: left - 1])
+                    left -= len(out[-1]) + 1
                 except CodecError as e:
                     if e.code == "unsupportedFilter":
                         raise
