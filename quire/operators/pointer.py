@@ -52,10 +52,9 @@ def selection_lines(numbered: DataFrame) -> DataFrame:
         return F.when(long >= ALIGNED, G.point(dx / long, dy / long)).otherwise(G.point(F.lit(1.0), F.lit(0.0)))
 
     along = lambda p: p["x"] * F.col("axis.x") + p["y"] * F.col("axis.y")
-    sums = lambda a: F.aggregate(a, F.array(F.lit(0.0)), lambda s, v: F.array_append(s, F.element_at(s, -1) + v))
     run = lambda r: F.struct(
         r["run_lo"].alias("lo"), r["run_hi"].alias("hi"), F.least(along(r["quad"][0]), along(r["quad"][1])).alias("s"), F.greatest(along(r["quad"][0]), along(r["quad"][1])).alias("e"),
-        sums(r["advances"]).alias("sums"),
+        r["advances"].alias("advances"),
     )
     ys = F.flatten(F.transform("_m", lambda r: F.transform(r["quad"], lambda p: p["y"])))
     lines = lines.withColumns({"axis": direction(F.col("_m")[0]["quad"]), "y0": F.array_min(ys), "y1": F.array_max(ys), "lo": F.col("_m")[0]["run_lo"], "hi": F.element_at("_m", -1)["run_hi"]})
@@ -88,9 +87,18 @@ def text_offsets(points: DataFrame, lines: DataFrame) -> DataFrame:
     away = lambda r: F.greatest(F.lit(0.0), r["s"] - p, p - r["e"])
     best = best.withColumn("_r", F.element_at("runs", (1 - F.array_min(F.transform("runs", lambda r, k: F.struct(away(r).alias("d"), (-k).alias("k"))))["k"]).cast("int")))
     r = F.col("_r")
-    total = F.element_at(r["sums"], -1)
+    best = best.withColumn("_total", F.aggregate(r["advances"], F.lit(0.0), lambda s, v: s + v))
+    total = F.col("_total")
     target = F.when(r["e"] > r["s"], (p - r["s"]) / (r["e"] - r["s"])).otherwise(0.0) * total
-    step = -F.array_min(F.transform(r["sums"], lambda v, k: F.struct(F.abs(v - target).alias("d"), (-k).alias("k"))))["k"]
+    state = lambda at, k, d, best: F.struct(at.alias("at"), k.alias("k"), d.alias("d"), best.alias("best"))
+
+    def walk(s, v):
+        at, k = s["at"] + v, s["k"] + 1
+        d = F.abs(at - F.col("_target"))
+        return state(at, k, F.least(s["d"], d), F.when(d <= s["d"], k).otherwise(s["best"]))
+
+    best = best.withColumn("_target", target)
+    step = F.aggregate(r["advances"], state(F.lit(0.0), F.lit(0), F.abs(F.col("_target")), F.lit(0)), walk, lambda s: s["best"])
     offset = (
         F.when(p <= F.col("p0"), F.col("lo")).when(p >= F.col("p1"), F.col("hi")).when(p < r["s"], r["lo"]).when(p > r["e"], r["hi"])
         .when(total > 0, r["lo"] + step).otherwise(r["lo"])
