@@ -37,6 +37,7 @@ class PieceModel:
         kinds = [p.type for p in proto.pieces]
         self.names = [p.piece for p in proto.pieces]
         self.size = len(self.names)
+        self.digits = [b"%d" % i for i in range(self.size)]
         self.ids = {p: i for i, p in enumerate(self.names) if kinds[i] == 1}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that reach over a space are not supported")
@@ -252,6 +253,14 @@ def bounded(column: pa.Array, most: int = 8_000_000):
         lo = hi
 
 
+def id_lists(column: pa.Array):
+    """The lists of a column, empty ones for nulls; the ids come out of one buffer."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), 0
+    for n in column.value_lengths().fill_null(0).to_pylist():
+        yield flat[at : at + n]
+        at += n
+
+
 def decode_pieces(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """(``id_col``, ``text_col``): the text of each array of ids; null arrays give an empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
@@ -260,7 +269,7 @@ def decode_pieces(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_
     def run(batches):
         table = worker_made("pieces", shared.value, PieceModel)
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            texts = [str(table.decode(x or []), "utf-8", "replace") for x in batch.column(1).to_pylist()]
+            texts = [str(table.decode(x), "utf-8", "replace") for x in id_lists(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_id", "_text"])
 
     return encoded.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids")).mapInArrow(tidy(run), f"_id {kind}, _text string").toDF(id_col, text_col)
@@ -277,12 +286,12 @@ def piece_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
 
         pieces = worker_made("pieces", table.value, PieceModel)
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            rows = [x or [] for x in batch.column(1).to_pylist()]
+            rows = list(id_lists(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(x) for x in rows], pa.int64()),
-                    pa.array([sha256(",".join(map(str, x)).encode()).hexdigest() for x in rows]),
+                    pa.array([sha256(b",".join(map(pieces.digits.__getitem__, x))).hexdigest() for x in rows]),
                     pa.array([sha256(str(pieces.decode(x), "utf-8", "replace").encode()).hexdigest() for x in rows]),
                 ],
                 ["_id", "n", "i", "d"],

@@ -1,9 +1,11 @@
 import random
+from hashlib import sha256
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from quire.llm.piece_tokenizer import PieceModel, _Encoder, decode_pieces, encode_pieces, piece_digests
+from quire.llm.piece_tokenizer import PieceModel, _Encoder, decode_pieces, encode_pieces, id_lists, piece_digests
 
 MODEL = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
 
@@ -38,3 +40,20 @@ def test_frames_nulls_and_repeats(spark):
     assert back == [(0, "a b"), (1, ""), (1, "a b"), (3, "")]
     assert {r.n_tokens for r in piece_digests(docs, MODEL).collect()} == {0, 2}
     assert piece_digests(docs.limit(0), MODEL).count() == 0
+
+
+def test_lists_of_slices_and_nulls():
+    column = pa.array([[1, 2], None, [], [3], [4, 5, 6]], pa.list_(pa.int32()))
+    assert list(id_lists(column)) == [[1, 2], [], [], [3], [4, 5, 6]]
+    assert list(id_lists(column.slice(1, 3))) == [[], [], [3]] and list(id_lists(column.slice(0, 0))) == []
+
+
+def test_digests_equal_the_library(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    digest = lambda b: sha256(b).hexdigest()
+    texts = sample()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in piece_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL).collect()}
+    for k, text in enumerate(texts):
+        ids = library.encode(text)
+        assert got[k] == (len(ids), digest(",".join(map(str, ids)).encode()), digest(library.decode(ids).encode()))
