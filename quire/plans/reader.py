@@ -81,8 +81,8 @@ def words_under(t):
 @query(
     f"""WITH {_RUNS}, o AS (SELECT *, CAST((conv_id * 7 + turn) % 40 AS BIGINT) AS a, CAST((conv_id * 7 + turn) % 40 + 90 AS BIGINT) AS z FROM r),
         c AS (SELECT *, greatest(a, lo) - lo AS i, least(z, lo + n) - lo AS j FROM o WHERE lo < z AND a < lo + n)
-        SELECT conv_id AS doc_id, turn AS page_index, count(*) AS n_quads, round(sum(CASE WHEN i < n1 THEN 10 + i * 4 ELSE 16 + i * 4 END), 4) AS left_sum,
-               round(sum(CASE WHEN j > n1 THEN 16 + j * 4 ELSE 10 + j * 4 END), 4) AS right_sum, round(min(792 - y0 - 12), 4) AS bottom, round(max(792 - y0), 4) AS top FROM c GROUP BY ALL"""
+        SELECT conv_id AS doc_id, turn AS page_index, count(*) AS n_quads, CAST(sum(CASE WHEN i < n1 THEN 10 + i * 4 ELSE 16 + i * 4 END) AS DOUBLE) AS left_sum,
+               CAST(sum(CASE WHEN j > n1 THEN 16 + j * 4 ELSE 10 + j * 4 END) AS DOUBLE) AS right_sum, CAST(min(792 - y0 - 12) AS DOUBLE) AS bottom, CAST(max(792 - y0) AS DOUBLE) AS top FROM c GROUP BY ALL"""
 )
 def selection_marks(t):
     pages = turns(t)
@@ -227,7 +227,7 @@ def position_json(t):
 
 
 @query(
-    """SELECT p_partkey, 'h' || p_partkey AS id, CAST(p_size AS INTEGER) AS page, CAST(p_partkey % 3 AS INTEGER) AS n_quads, CASE WHEN p_partkey % 3 > 0 THEN (p_partkey % 700)::DOUBLE END AS x, 0.25 AS red FROM part"""
+    """SELECT p_partkey, 'h' || p_partkey AS id, CAST(p_size AS INTEGER) AS page, CAST(p_partkey % 3 AS INTEGER) AS n_quads, CASE WHEN p_partkey % 3 > 0 THEN (p_partkey % 700)::DOUBLE END AS x, 0.25::DOUBLE AS red FROM part"""
 )
 def highlight_json(t):
     """Marks with their quads written and read back, beside a text that is no quad."""
