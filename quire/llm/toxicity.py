@@ -1,15 +1,18 @@
 """Toxicity scores on text that a noisy-channel decoder has restored.
 
-A token that holds digits or signs between letters, long repetitions or single letters spread by spaces
-or dots is a character lattice: each place may stand for itself or for the letters it imitates, and a
-repetition for one or two letters. A Viterbi search under a character trigram model picks the likeliest
-word. Restored words and their beginnings are weighed by how much more often labelled toxic documents
-hold them than others, and a logistic model turns a document's strongest weights into a probability.
-
-The model is fitted on a bounded, hash-ordered sample of labelled rows (``sample``); near copies count
+A token that holds signs, long repetitions or single letters spread by spaces, dots or dashes is a
+character lattice: each place may stand for itself or for the letters it imitates, a repetition for one
+or two letters, and a gap between spread letters for nothing or for the end of a word. A Viterbi search
+under a character trigram model picks the likeliest words. The model counts words and numbers of all
+documents, so that a number is read as itself where that is likelier. Restored words and their beginnings
+are weighed by how much more often labelled toxic documents hold them than others, and a logistic model
+turns a document's strongest weights into a probability. Words spread in pieces of two or more letters
+are not joined.
+
+The classifier is fitted on a bounded, hash-ordered sample of labelled rows (``sample``); near copies count
 once in it, one part weighs the words and the other fits the logistic model. Scoring is one pass over
-all documents without a shuffle: the broadcast model has at most ``MOST_FEATURES`` weights and
-``MOST_WORDS`` words behind its character counts.
+all documents without a shuffle: the broadcast model has at most ``KEPT`` x ``sample`` weights and
+``trigrams`` counts.
 """
 
 from __future__ import annotations
@@ -29,8 +32,12 @@ from pyspark.sql import functions as F
 from .common import raw_text, tidy, written
 
 SAMPLE = 20_000
-#: Words of the character model and weighty features kept, for each row of the sample.
+#: Weighty features kept, for each row of the sample.
 KEPT = 4
+#: Trigrams of the character model, the most frequent of all documents: the bound of its broadcast.
+TRIGRAMS = 400_000
+#: Distinct tokens or trigrams that a task gathers before it hands them on.
+HELD = 200_000
 LEAST_SUPPORT = 4
 
 # Letters that a sign may stand for.
@@ -39,13 +46,17 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 _EDGE = ".,;:?\"'()[]{}<>»«…-–—_*`~#"
-_SPREAD = re.compile(rb"(?<![^\x20\x09-\x0D])[A-Za-z0-9@$!]([ ._*-])[A-Za-z0-9@$!](?:\1[A-Za-z0-9@$!])+(?![^\x20\x09-\x0D.,;:?!])")
+_GAP = "[ \\t._*-]{1,3}"
+_UNIT = r"(?:[A-Za-z0-9@$!+|(<]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})"
+_SPREAD = re.compile(rf"(?<![^\x20\x09-\x0D\"'(]){_UNIT}(?:{_GAP}{_UNIT}){{2,}}(?![^\x20\x09-\x0D\"').,;:?!])".encode("latin-1"))
+_GAPS = re.compile(f"({_GAP})")
 _REPEAT = re.compile(r"(.)\1\1")
+START, END = "\x02", "\x03"
 
 
 @dataclass
 class CharModel:
-    """Character trigrams of words, with add-one smoothing; words are framed by two starts and an end."""
+    """Character trigrams of words, with smoothing; words are framed by two ``START`` and an ``END``."""
 
     three: dict[str, int] = field(default_factory=dict)
     two: dict[str, int] = field(default_factory=dict)
@@ -53,26 +64,35 @@ class CharModel:
 
     @classmethod
     def of(cls, words: dict[str, int]) -> CharModel:
-        three, two, seen = Counter(), Counter(), set()
-        for w, n in words.items():
-            seen.update(w)
-            framed = f"^^{w}$"
-            for i in range(len(framed) - 2):
-                three[framed[i : i + 3]] += n
-                two[framed[i : i + 2]] += n
-        return cls(dict(three), dict(two), len(seen) + 1)
+        return cls.counted(trigrams(words.items()))
+
+    @classmethod
+    def counted(cls, three: dict[str, int]) -> CharModel:
+        two = Counter()
+        for g, n in three.items():
+            two[g[:2]] += n
+        return cls(dict(three), dict(two), len({g[2] for g in three} | {END}))
 
     def cost(self, context: str, c: str) -> float:
         return -math.log((self.three.get(context + c, 0) + 0.1) / (self.two.get(context, 0) + 0.1 * self.letters))
 
 
+def trigrams(words) -> Counter:
+    out = Counter()
+    for w, n in words:
+        framed = START + START + w + END
+        for i in range(len(framed) - 2):
+            out[framed[i : i + 3]] += n
+    return out
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Readings of each place of a token: (letters, channel cost). A run of three or more equal signs is
-    one place, read as one or two letters."""
-    out = []
+    one place, read as one or two letters. Among letters a sign rarely stands for itself, alone it may."""
+    out, mixed = [], any(map(str.isalpha, token))
     for c, run in itertools.groupby(token):
         n = len(list(run))
-        reads = [(c, 0.7 if c in LEET else 0.05)] + [(x, 0.7) for x in LEET.get(c, "")]
+        reads = [(c, 0.7 if mixed and c in LEET else 0.05)] + [(x, 0.7) for x in LEET.get(c, "")]
         if n >= 3:
             out.append([(x, p) for x, p in reads] + [(x + x, p + 0.5) for x, p in reads])
         else:
@@ -80,21 +100,39 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def spread(parts: list[str]) -> list[list[tuple[str, float]]]:
+    """Readings of letters (at even places of ``parts``) spread by gaps: a gap joins its letters or ends a
+    word, which is likelier where it is wider than the narrowest."""
+    least = min(map(len, parts[1::2]))
+    joins = [[("", 0.1), (" ", 1.0)], [("", 2.0), (" ", 0.1)]]
+    mixed = any(map(str.isalpha, parts[::2]))
+    out = []
+    for k, x in enumerate(parts):
+        if k % 2:
+            out.append(joins[len(x) > least])
+        else:
+            out.append([(x, 0.7 if mixed and x in LEET else 0.05)] + [(y, 0.7) for y in LEET.get(x, "")])
+    return out
+
+
 def viterbi(places: list[list[tuple[str, float]]], model: CharModel) -> str:
-    """The reading of least cost under the channel and the character model. Ties go to the first reading."""
-    best = {"^^": (0.0, None)}
+    """The reading of least cost under the channel and the character model, a space where a word ends. Ties
+    go to the first reading."""
+    best = {START + START: (0.0, None)}
     for reads in places:
         now: dict[str, tuple[float, tuple]] = {}
         for context, (cost, path) in best.items():
             for letters, paid in reads:
                 total, state = cost + paid, context
                 for c in letters:
-                    total += model.cost(state, c)
-                    state = state[1] + c
+                    if c == " ":
+                        total, state = total + model.cost(state, END), START + START
+                    else:
+                        total, state = total + model.cost(state, c), state[1] + c
                 if state not in now or total < now[state][0]:
                     now[state] = (total, (path, letters))
         best = now
-    context = min(best, key=lambda k: best[k][0] + model.cost(k, "$"))
+    context = min(best, key=lambda k: best[k][0] + model.cost(k, END))
     path = best[context][1]
     letters = []
     while path:
@@ -104,22 +142,31 @@ def viterbi(places: list[list[tuple[str, float]]], model: CharModel) -> str:
 
 
 def odd(word: str) -> bool:
-    """Whether a word is worth decoding: signs among letters, or a repetition."""
-    return bool(_REPEAT.search(word)) or (any(c in LEET for c in word) and any(c.isalpha() for c in word))
+    """Whether a word is worth decoding: it holds signs, or a repetition."""
+    return any(c in LEET for c in word) or bool(_REPEAT.search(word))
+
+
+def bare(token: bytes) -> str:
+    """A token in lower case and without punctuation at its ends."""
+    return str(token, "utf-8", "replace").lower().strip(_EDGE).rstrip("!")
 
 
 def restore(token: bytes, model: CharModel) -> str:
-    """The word that a token stands for, in lower case and without punctuation at its ends."""
-    word = str(token, "utf-8", "replace").lower().strip(_EDGE).rstrip("!")
-    if len(word) < 2 or not odd(word):
+    """The word that a token stands for, or the words of a spread run, with one space between."""
+    word = bare(token)
+    if len(word) < 2:
         return word
-    return viterbi(lattice(word), model)
+    if word[1] in " \t._*-":
+        parts = _GAPS.split(word)
+        if len(parts) >= 5 and all(len(x) == 1 and (x.isalnum() or x in LEET) for x in parts[::2]):
+            return viterbi(spread(parts), model)
+    return viterbi(lattice(word), model) if odd(word) else word
 
 
 def tokens(text: bytes) -> set[bytes]:
-    """The distinct tokens of a text, and words whose letters are spread by spaces, dots or dashes."""
+    """The distinct tokens of a text, and runs of single letters spread by spaces, dots or dashes."""
     out = set(text.split())
-    out.update(m[0].replace(m[1], b"") for m in _SPREAD.finditer(text))
+    out.update(m[0] for m in _SPREAD.finditer(text))
     return out
 
 
@@ -133,11 +180,11 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     coef: tuple[float, ...] = (-2.0, 0.0, 0.0, 0.0)
 
-    def weigh(self, token: bytes) -> tuple[str, float]:
-        """A token's restored word and its weight."""
-        word = restore(token, self.chars)
+    def weigh(self, token: bytes) -> tuple[tuple[str, float], ...]:
+        """A token's restored words of positive weight, with their weights."""
         get = self.weights.get
-        return word, max((get(f, 0.0) for f in features(word)), default=0.0)
+        words = ((w, max((get(f, 0.0) for f in features(w)), default=0.0)) for w in restore(token, self.chars).split(" "))
+        return tuple(x for x in words if x[1] > 0)
 
     def score(self, stats: tuple[float, ...]) -> float:
         z = self.coef[0] + sum(a * b for a, b in zip(self.coef[1:], stats, strict=True))
@@ -154,12 +201,13 @@ class Scorer:
         if len(memo) > self.limit:
             memo.clear()
         for t in tokens(text):
-            hit = memo.get(t, 0)
-            if hit == 0:
-                word, weight = self.model.weigh(t)
-                hit = memo[t] = (word, weight) if weight > 0 else None
+            hit = memo.get(t)
+            if hit is None:
+                hit = self.model.weigh(t)
+                if len(t) < 200:
+                    memo[t] = hit
             if hit:
-                found[hit[0]] = hit[1]
+                found.update(hit)
         top = sorted(found.values(), reverse=True)
         return (top[0] if top else 0.0, sum(top[:3]), math.log1p(len(top)))
 
@@ -176,11 +224,44 @@ def _signatures(text: bytes) -> list[int]:
     return [int((h * np.uint64(m)).min() >> np.uint64(1)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fits a model on at most ``sample`` labelled rows, the first by a hash of their id. Rows without a
+def char_model(docs: DataFrame, text_col: str = "text", most: int = TRIGRAMS) -> CharModel:
+    """Trigrams of the words of letters and the numbers of all documents. Tasks count them first, so that
+    a shuffle moves no tokens; the driver receives the ``most`` most frequent ones."""
+
+    def count(batches):
+        seen, found = Counter(), Counter()
+
+        def settle():
+            words = ((bare(t), n) for t, n in seen.items())
+            found.update(trigrams((w, n) for w, n in words if w.isalpha() or any(map(str.isdigit, w)) and not any(map(str.isalpha, w))))
+            seen.clear()
+
+        def rows():
+            items = list(found.items())
+            found.clear()
+            for k in range(0, len(items), 50_000):
+                yield _emit(items[k : k + 50_000], [("g", pa.string()), ("n", pa.int64())])
+
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                seen.update(set(x.split()))
+                if len(seen) > HELD:
+                    settle()
+                if len(found) > HELD:
+                    yield from rows()
+        settle()
+        yield from rows()
+
+    counted = docs.select(raw_text(text_col).alias("_text")).mapInArrow(tidy(count), "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return CharModel.counted({r.g: r.n for r in counted.orderBy(F.desc("n"), "g").limit(most).collect()})
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most: int = TRIGRAMS) -> Model:
+    """Fits the classifier on at most ``sample`` labelled rows, the first by a hash of their id. Rows without a
     label, an id or a document are left out; without both labels the model gives every text one score. Of
-    an id with several labels the greatest counts, of one with several texts the least. The ``KEPT`` x ``sample``
-    most frequent words make the character model, and as many features of the greatest weights are kept."""
+    an id with several labels the greatest counts, of one with several texts the least. The character model
+    counts all rows of ``docs``, each distinct token of a text once; its ``most`` most frequent trigrams and
+    ``KEPT`` x ``sample`` features of the greatest weights are kept."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), raw_text(text_col).alias("_text"))
@@ -202,16 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     rows = rows.join(F.broadcast(spark.createDataFrame(once, f"_id {kind}")), "_id").withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(3)) == 0)
 
-    def count_words(batches):
-        counts = Counter()
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                counts.update(w for t in set(x.split()) if (w := str(t, "utf-8", "replace").lower().strip(_EDGE + "!")).isalpha())
-        for k in range(0, len(items := list(counts.items())), 50_000):
-            yield _emit(items[k : k + 50_000], [("w", pa.string()), ("n", pa.int64())])
-
-    words = rows.select("_text").mapInArrow(tidy(count_words), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    chars = CharModel.of({r.w: r.n for r in words.orderBy(F.desc("n"), "w").limit(KEPT * sample).collect()})
+    chars = char_model(docs, text_col, most)
     shared = spark.sparkContext.broadcast(chars)
 
     def count_features(batches):
@@ -223,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 own = set()
                 for t in tokens(x):
                     if t not in memo:
-                        memo[t] = features(restore(t, shared.value))
+                        memo[t] = [f for w in restore(t, shared.value).split(" ") for f in features(w)]
                     own.update(memo[t])
                 for f in own:
                     counts[f][y] += 1

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from quire.llm.toxicity import CharModel, Scorer, fit, held_out, lattice, logistic, restore, score_toxicity, tokens, viterbi
+from quire.llm.toxicity import END, START, CharModel, Scorer, char_model, fit, held_out, lattice, logistic, restore, score_toxicity, spread, tokens, viterbi
 
 WORDS = {w: 50 for w in "idiot moron stupid trash loser clown the and house letter book free see all worthless".split()}
 CHARS = CharModel.of(WORDS)
@@ -12,7 +12,60 @@ CHARS = CharModel.of(WORDS)
 def test_restores_obfuscated_words():
     for token, want in [("1d10t", "idiot"), ("m0r0n!!", "moron"), ("$tupid", "stupid"), ("stuuuupid,", "stupid"), ("tr@sh", "trash"), ("l0s3r.", "loser"), ("House", "house"), ("letter", "letter"), ("freeee", "free"), ("2024", "2024"), ("", ""), ("!!!", "")]:
         assert restore(token.encode(), CHARS) == want, token
-    assert {b"idiot"} <= tokens(b"an i d i o t here") and {b"m0r0n"} <= tokens(b"x m.0.r.0.n")
+    assert restore(b"$tr@$h", CHARS) == "strash" and restore(b"4$$", CharModel.of(WORDS | {"ass": 50})) == "ass"
+
+
+def test_numbers_stay_where_they_are_likelier():
+    model = CharModel.of({"ass": 5, "1455": 40, "455": 60, "$100": 9})
+    assert [restore(x, model) for x in (b"455", b"4$$", b"$100", b"1455")] == ["455", "ass", "$100", "1455"]
+
+
+def test_spread_letters_are_parted_into_words():
+    model = CharModel.of(WORDS | {"you": 90, "a": 90, "such": 40, "an": 40, "été": 50, "ты": 50, "дурак": 50})
+    for text, run, want in [
+        ("an i d i o t here", "i d i o t", "idiot"),
+        ("x m.0.r.0.n!", "x m.0.r.0.n", None),
+        ("see m.0.r.0.n!", "m.0.r.0.n", "moron"),
+        ("such a i d i o t", "a i d i o t", "a idiot"),
+        ("y o u i d i o t", "y o u i d i o t", "you idiot"),
+        ("y-o-u  m-0-r-o-n", "y-o-u  m-0-r-o-n", "you moron"),
+        ("(é t é)", "é t é", "été"),
+        ("т ы   д у р а к", "т ы   д у р а к", "ты дурак"),
+    ]:
+        found = {t.decode() for t in tokens(text.encode()) if len(t.split()) > 1 or t.decode() == run}
+        assert run in found, text
+        if want:
+            assert restore(run.encode(), model) == want, text
+    assert tokens(b"plain words, no a b runs") == {b"plain", b"words,", b"no", b"a", b"b", b"runs"}
+    long = " ".join("idiot" * 5000).encode()
+    assert set(restore(long, model).split(" ")) <= {"idiot", "idi", "ot", "id", "iot"}
+
+
+def test_spread_reading_is_of_least_cost():
+    rng = random.Random(7)
+    for _ in range(40):
+        parts = [rng.choice("aio103t")]
+        for _ in range(rng.randint(2, 3)):
+            parts += [rng.choice([" ", "  ", "."]), rng.choice("aio103t")]
+        places = spread(parts)
+
+        def cost(reads):
+            words = "".join(x for x, _ in reads).split(" ")
+            framed = [START + START + w + END for w in words]
+            return sum(p for _, p in reads) + sum(CHARS.cost(f[i : i + 2], f[i + 2]) for f in framed for i in range(len(f) - 2))
+
+        best = min(map(cost, itertools.product(*places)))
+        got = viterbi(places, CHARS)
+        assert any("".join(x for x, _ in r) == got and abs(cost(r) - best) < 1e-9 for r in itertools.product(*places))
+
+
+def test_character_model_counts_all_documents(spark):
+    texts = ["One two two", "two 1455 x9", None, "", "One, more! $100 …"] * 7
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = CharModel.of({"one": 14, "two": 14, "1455": 7, "more": 7, "$100": 7})
+    assert char_model(docs) == want
+    assert char_model(docs.limit(0)) == CharModel.of({})
+    assert len(char_model(docs, most=5).three) == 5
 
 
 def test_viterbi_is_the_least_cost_reading():
@@ -23,7 +76,7 @@ def test_viterbi_is_the_least_cost_reading():
 
         def cost(reads):
             word = "".join(x for x, _ in reads)
-            framed = f"^^{word}$"
+            framed = START + START + word + END
             return sum(p for _, p in reads) + sum(CHARS.cost(framed[i : i + 2], framed[i + 2]) for i in range(len(framed) - 2))
 
         best = min(map(cost, itertools.product(*places)))
