@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as G
-from ..limits import GLYPHS_PER_PAGE, SELECTION_UNITS
+from ..functions.text import utf16_length
+from ..limits import GLYPHS_PER_PAGE, PAGE_TEXT_UNITS, SELECTION_UNITS
 
 PAGE = ["doc_id", "page_index"]
 
@@ -28,22 +29,43 @@ def quads_for_ranges(ranges: DataFrame, runs: DataFrame) -> DataFrame:
     return met.withColumn("part", G.part_of_quad(F.col("quad"), F.col("advances"), a, b))
 
 
-def sanitize_runs(runs: DataFrame, glyph_cap: int = GLYPHS_PER_PAGE) -> DataFrame:
-    """Runs of a foreign page made safe: doc, page, seq, lo, hi, text_units, quad_ok, n_advances, bad_advance.
+def cut_text(text: Column, units: int = PAGE_TEXT_UNITS) -> Column:
+    """A text's first UTF-16 units, without a last character that would be parted: half a pair, a letter whose
+    marks follow, a line break of two."""
+    short = F.substring(text, 1, units)  # as many characters hold the wanted units
+    raw = F.encode(short, "UTF-16BE")
+    half = F.hex(F.substring(raw, 2 * units - 1, 1)).between("D8", "DB")
+    cut = F.decode(F.substring(raw, F.lit(1), F.when(half, 2 * units - 2).otherwise(2 * units)), "UTF-16BE")
+    after = F.substring(text, F.length(cut) + 1, F.lit(1))
+    parted = after.rlike(r"^[\p{M}\x{200D}]") | ((after == "\n") & cut.endswith("\r"))
+    return F.when(utf16_length(text) <= units, text).when(parted, F.regexp_replace(cut, r"(?s)(\r|\P{M}\p{M}*)\z", "")).otherwise(cut)
 
-    In this order: runs without a finite quad go; ranges are cut to the text; advances that are missing, too
-    few or bad become 1 a unit (``uniform``); from the run on that would exceed the page's cap all go; the
-    rest is sorted by (lo, hi, seq) and numbered.
+
+def sanitize_runs(runs: DataFrame, pages: DataFrame, glyph_cap: int = GLYPHS_PER_PAGE, text_cap: int = PAGE_TEXT_UNITS) -> DataFrame:
+    """Runs (doc, page, seq, run_lo, run_hi, quad, advances, ...) of a foreign page made safe, with their run_no.
+
+    In this order: runs without a finite quad go; ranges are cut to the page's text (``pages``: doc, page, text,
+    itself cut by ``cut_text``), and with them the advances; advances that then are too few or too many,
+    negative or not finite become 1 a unit; from the run on that would exceed the page's cap all go; a page whose
+    starts go back somewhere is sorted by (run_lo, run_hi, seq). Runs of unknown pages and of null texts go, null advances are none.
     """
-    lo = F.least(F.greatest(F.col("lo"), F.lit(0)), F.col("text_units"))
-    hi = F.least(F.greatest(F.col("hi"), lo), F.col("text_units"))
-    out = runs.where("quad_ok").withColumns({"_lo": lo, "_hi": hi})
-    out = out.where("_hi > _lo").withColumn("uniform", F.col("bad_advance") | (F.col("n_advances") < F.col("hi") - F.col("lo")))
-    out = out.drop("lo", "hi").withColumnsRenamed({"_lo": "lo", "_hi": "hi"})
-    in_turn = W.partitionBy(*PAGE).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = out.withColumn("_sum", F.sum(F.col("hi") - F.col("lo")).over(in_turn)).where(F.col("_sum") <= glyph_cap)
-    order = W.partitionBy(*PAGE).orderBy("lo", "hi", "seq")
-    return out.withColumn("run_no", F.row_number().over(order) - 1).drop("_sum")
+    size = pages.select(*PAGE, F.coalesce(utf16_length(cut_text(F.col("text"), text_cap)), F.lit(0)).alias("_n"))
+    out = runs.where(F.forall("quad", lambda p: G.finite(p["x"], p["y"]))).join(size, PAGE)
+    lo = F.least(F.greatest(F.col("run_lo"), F.lit(0)), F.col("_n"))
+    out = out.withColumns({"_lo": lo, "_hi": F.least(F.greatest(F.col("run_hi"), lo), F.col("_n"))}).where("_lo < _hi")
+    n, given = (F.col("_hi") - F.col("_lo")).cast("int"), F.coalesce("advances", F.array().cast("array<double>"))
+    skip = F.greatest(F.col("_lo") - F.col("run_lo"), F.lit(0)).cast("int")
+    less = (F.col("_lo") != F.col("run_lo")) | (F.col("_hi") != F.col("run_hi"))
+    out = out.withColumn("advances", F.when(less & (skip + n <= F.size(given)), F.slice(given, skip + 1, n)).otherwise(given))
+    sound = (F.size("advances") == n) & F.forall("advances", lambda x: G.finite(x) & (x >= 0))
+    out = out.withColumn("advances", F.when(sound, F.col("advances")).otherwise(uniform_advances(F.col("_lo"), F.col("_hi"))))
+    in_turn = W.partitionBy(*PAGE).orderBy("seq")
+    out = out.withColumn("_sum", F.sum(n).over(in_turn.rowsBetween(W.unboundedPreceding, W.currentRow))).where(F.col("_sum") <= glyph_cap)
+    out = out.withColumn("_back", F.coalesce(F.lag("_lo").over(in_turn) > F.col("_lo"), F.lit(False)))
+    out = out.withColumn("_back", F.max("_back").over(W.partitionBy(*PAGE)))
+    order = W.partitionBy(*PAGE).orderBy(F.when(F.col("_back"), F.col("_lo")), F.when(F.col("_back"), F.col("_hi")), "seq")
+    out = out.withColumn("run_no", F.row_number().over(order) - 1)
+    return out.drop("run_lo", "run_hi", "_n", "_sum", "_back").withColumnsRenamed({"_lo": "run_lo", "_hi": "run_hi"})
 
 
 def normal_selection(start_page, start_offset, end_page, end_offset) -> Column:

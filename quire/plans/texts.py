@@ -175,21 +175,31 @@ def range_quads(t):
 
 
 @query(
-    """WITH a AS (SELECT o_custkey, o_orderkey, o_orderkey % 40 - 5 AS lo, o_orderkey % 40 - 5 + (o_orderkey * 7) % 23 AS hi,
-                         o_orderkey % 11 <> 0 AS quad_ok, (o_orderkey * 3) % 19 AS n_adv, o_orderkey % 7 = 0 AS bad FROM orders),
-            b AS (SELECT o_custkey, o_orderkey, least(greatest(lo, 0), 30) AS l2, least(greatest(hi, least(greatest(lo, 0), 30)), 30) AS h2, bad OR n_adv < hi - lo AS uniform FROM a WHERE quad_ok),
-            c AS (SELECT *, sum(h2 - l2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS s FROM b WHERE h2 > l2)
-       SELECT o_custkey AS doc_id, o_orderkey AS seq, l2 AS lo, h2 AS hi, uniform, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l2, h2, o_orderkey) - 1 AS INTEGER) AS run_no
-       FROM c WHERE s <= 80"""
+    """WITH p AS (SELECT o_orderkey, CASE WHEN o_custkey % 9 >= 5 THEN 18 ELSE 4 * (o_custkey % 9) END AS n FROM orders),
+       r AS (SELECT l_orderkey, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS seq, l_partkey % 24 - 4 AS a, l_partkey % 24 - 4 + l_suppkey % 13 AS b, n,
+                    list_transform(range((l_linenumber * 3 + l_partkey) % 13), lambda i: ((i + l_linenumber) % 7 - CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END) * 0.5) AS adv
+             FROM lineitem JOIN p ON l_orderkey = o_orderkey WHERE l_suppkey % 11 <> 0),
+       c AS (SELECT *, least(greatest(a, 0), n) AS lo, least(greatest(b, least(greatest(a, 0), n)), n) AS hi FROM r),
+       d AS (SELECT *, CASE WHEN (lo <> a OR hi <> b) AND hi - a <= len(adv) THEN adv[lo - a + 1:hi - a] ELSE adv END AS x FROM c WHERE lo < hi),
+       e AS (SELECT *, CASE WHEN len(x) = hi - lo AND list_min(x) >= 0 THEN list_sum(x) ELSE hi - lo END AS width, sum(hi - lo) OVER (PARTITION BY l_orderkey ORDER BY seq) AS s FROM d),
+       f AS (SELECT *, coalesce(lag(lo) OVER (PARTITION BY l_orderkey ORDER BY seq) > lo, false) AS back FROM e WHERE s <= 25),
+       g AS (SELECT *, bool_or(back) OVER (PARTITION BY l_orderkey) AS sorted FROM f)
+       SELECT l_orderkey AS doc_id, CAST(seq AS BIGINT) AS seq, CAST(lo AS BIGINT) AS run_lo, CAST(hi AS BIGINT) AS run_hi, CAST(width AS DOUBLE) AS width,
+              CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN sorted THEN lo END, CASE WHEN sorted THEN hi END, seq) - 1 AS INTEGER) AS run_no FROM g"""
 )
 def sanitize_runs(t):
-    key = F.col("o_orderkey")
-    lo = key % 40 - 5
-    runs = t.orders.select(
-        F.col("o_custkey").alias("doc_id"), F.lit(0).alias("page_index"), key.alias("seq"), lo.alias("lo"), (lo + key * 7 % 23).alias("hi"),
-        F.lit(30).cast("bigint").alias("text_units"), (key % 11 != 0).alias("quad_ok"), (key * 3 % 19).alias("n_advances"), (key % 7 == 0).alias("bad_advance"),
+    """Pages of letters and pairs, cut in the middle of a pair; runs beyond the text with advances of all kinds."""
+    pages = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.expr("repeat('ab\U0001f600', cast(o_custkey % 9 as int))").alias("text"))
+    lo, x = F.expr("l_partkey % 24 - 4"), F.expr("if(l_suppkey % 11 = 0, double('nan'), 1.0d)")
+    advances = F.expr("""transform(filter(sequence(0, 12), i -> i < (l_linenumber * 3 + l_partkey) % 13),
+        i -> cast((i + l_linenumber) % 7 - if(l_partkey % 3 = 0, 1, 0) as double) * 0.5d)""")
+    runs = t.lineitem.select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.expr("l_linenumber * 10000000000L + l_partkey * 100000 + l_suppkey").alias("seq"),
+        lo.cast("bigint").alias("run_lo"), (lo + F.expr("l_suppkey % 13")).cast("bigint").alias("run_hi"),
+        F.array(*[G.point(x, F.lit(float(k))) for k in range(4)]).alias("quad"), advances.alias("advances"),
     )
-    return L.sanitize_runs(runs, glyph_cap=80).select("doc_id", "seq", "lo", "hi", "uniform", "run_no")
+    out = L.sanitize_runs(runs, pages, glyph_cap=25, text_cap=19)
+    return out.select("doc_id", "seq", "run_lo", "run_hi", F.aggregate("advances", F.lit(0.0), lambda s, a: s + a).alias("width"), "run_no")
 
 
 _LINES = """

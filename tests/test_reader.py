@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
-from quire.operators import caches, layout, marks, pointer
+from quire.operators import caches, layout, marks, pointer, selection
 from quire.sources import content, pdf
 from quire.sources.write import text_document
 
@@ -171,3 +171,55 @@ def test_prefetch_leaves_out_what_is_shown(spark):
     assert shown == {(0, 2)} and near == {(0, p) for p in (0, 1, 3, 4, 5)}
     assert {r.page_index for r in layout.prefetch_tiles(views, frames).collect()} <= {1, 2, 3}
     assert layout.current_page(views, frames).where(F.col("id") == 0).first().page_index == 2
+
+
+def test_cut_text_leaves_whole_characters(spark):
+    texts = ["", "abc", "ab\U0001f600c", "e\u0301e\u0301e\u0301", "a\r\nb", "\U0001d400" * 4, "ab\u200dc", None]
+    for units, want in [
+        (1, ["", "a", "a", "", "a", "", "a", None]),
+        (2, ["", "ab", "ab", "e\u0301", "a", "\U0001d400", "a", None]),
+        (3, ["", "abc", "ab", "e\u0301", "a\r\n", "\U0001d400", "ab\u200d", None]),
+        (8, texts),
+    ]:
+        out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", selection.cut_text(F.col("text"), units).alias("t")).collect()
+        assert [r.t for r in sorted(out)] == want, units
+
+
+def test_sanitize_runs_equals_a_plain_walk(spark):
+    rng, inf, nan = random.Random(9), float("inf"), float("nan")
+    pages = [(d, 0, "ab\U0001f600" * rng.randint(0, 8)) for d in range(40)] + [(99, 0, None)]
+    runs = []
+    for d, _, _ in pages[:-1] + [(99, 0, None), (100, 0, "no page")]:
+        at = -3
+        for seq in range(rng.randint(0, 9)):
+            at = at + rng.randint(0, 6) if d % 3 else rng.randint(-5, 35)
+            hi = at + rng.randint(-2, 9)
+            n = max(0, hi - at) + rng.choice([0, 0, 0, -1, 1])
+            advances = None if rng.random() < 0.1 else [rng.choice([1.5, 2.0, 0.0] + [nan, inf, -1.0] * (rng.random() < 0.2)) for _ in range(max(0, n))]
+            quad = [(rng.choice([0.0] * 30 + [nan, inf]), float(k)) for k in range(4)]
+            runs.append((d, 0, seq, at, hi, quad, advances))
+    fields = "doc_id int, page_index int, seq int, run_lo int, run_hi int, quad array<struct<x:double,y:double>>, advances array<double>"
+    given = spark.createDataFrame(runs, fields).withColumn("extra", F.col("seq") + 1).repartition(3)
+    out = selection.sanitize_runs(given, spark.createDataFrame(pages, "doc_id int, page_index int, text string"), glyph_cap=20, text_cap=19)
+    got = sorted((r.doc_id, r.run_no, r.seq, r.run_lo, r.run_hi, r.advances, r.extra) for r in out.collect())
+    want = []
+    for d, _, text in pages:
+        n = min(len((text or "").encode("utf-16-le")) // 2, 19)
+        n, kept, total = 18 if n == 19 else n, [], 0
+        for _, _, seq, a, b, quad, advances in sorted((r for r in runs if r[0] == d), key=lambda r: r[2]):
+            lo = min(max(a, 0), n)
+            hi, x = min(max(b, lo), n), advances or []
+            if text is None or hi == lo or any(not abs(v) < inf for p in quad for v in p):
+                continue
+            if (lo, hi) != (a, b) and hi - a <= len(x):
+                x = x[lo - a : hi - a]
+            if len(x) != hi - lo or not all(0 <= v < inf for v in x):
+                x = [1.0] * (hi - lo)
+            total += hi - lo
+            if total > 20:
+                break
+            kept.append((lo, hi, seq, x))
+        if any(q[0] < p[0] for p, q in zip(kept, kept[1:])):
+            kept.sort(key=lambda r: r[:3])
+        want += [(d, k, seq, lo, hi, x, seq + 1) for k, (lo, hi, seq, x) in enumerate(kept)]
+    assert got == sorted(want) and len(got) > 40
