@@ -129,6 +129,18 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
 
 
+def utf16_slice(text: Column, lo: Column, hi: Column) -> Column:
+    """The text from UTF-16 place lo to hi; halves of pairs at its ends are left out."""
+    raw = F.encode(text, "UTF-16BE")
+    lead = lambda at: F.hex(F.substring(raw, (2 * at - 1).cast("int"), F.lit(1))).between("D8", "DB")  # noqa: E731  whether the unit before a place begins a pair
+    a = F.greatest(lo, F.lit(0))
+    first = a + F.when((a > 0) & lead(a), 1).otherwise(0)
+    last = hi - F.when((hi > 0) & lead(hi), 1).otherwise(0)
+    paired = F.decode(F.substring(raw, (2 * first + 1).cast("int"), F.greatest(2 * (last - first), F.lit(0)).cast("int")), "UTF-16BE")
+    plain = F.substring(text, (a + 1).cast("int"), F.greatest(hi - a, F.lit(0)).cast("int"))
+    return F.when(F.length(text) == utf16_length(text), plain).otherwise(paired)
+
+
 def word_at(text: Column, offset: Column) -> Column:
     """The range (lo, hi) of the word that holds ``offset``, or else of the word with the nearest boundary,
     the later one on a tie; null without words. A word is a stretch of letters and digits."""

@@ -1,4 +1,4 @@
-"""Text runs, selections and hit tests on them."""
+"""Text runs, selections and hit tests on them. Places in texts are UTF-16 units."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as G
-from ..functions.text import utf16_length
+from ..functions.text import utf16_length, utf16_slice
 from ..limits import GLYPHS_PER_PAGE, PAGE_TEXT_UNITS, SELECTION_UNITS
 
 PAGE = ["doc_id", "page_index"]
@@ -82,17 +82,19 @@ def page_ranges(selections: DataFrame, pages: DataFrame) -> DataFrame:
     """
     s, e = F.col("selection.start"), F.col("selection.end")
     met = selections.join(pages, "doc_id").where((F.col("page_index") >= s["page"]) & (F.col("page_index") <= e["page"]))
-    n = F.length("text")
+    n = utf16_length(F.col("text"))
     lo = F.when(F.col("page_index") == s["page"], F.least(F.greatest(s["offset"], F.lit(0)), n)).otherwise(0)
     hi = F.when(F.col("page_index") == e["page"], F.least(F.greatest(e["offset"], F.lit(0)), n)).otherwise(n)
     return met.withColumns({"lo": lo.cast("int"), "hi": F.greatest(lo, hi).cast("int")})
 
 
 def selected_strings(ranges: DataFrame, cap: int = SELECTION_UNITS) -> DataFrame:
-    """The text of each document's selection: fragments by page, joined by line breaks."""
-    part = F.coalesce(F.substring(F.col("text"), F.col("lo") + 1, F.col("hi") - F.col("lo")), F.lit(""))
+    """The text of each document's selection: fragments by page, joined by line breaks, cut to whole characters of at
+    most ``cap`` units."""
+    part = F.coalesce(utf16_slice(F.col("text"), F.col("lo"), F.col("hi")), F.lit(""))
     parts = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", part.alias("part")))).alias("parts"))
-    return parts.select("doc_id", F.substring(F.array_join(F.transform("parts", lambda x: x["part"]), "\n"), 1, cap).alias("selected"))
+    joined = parts.select("doc_id", F.array_join(F.transform("parts", lambda x: x["part"]), "\n").alias("_all"))
+    return joined.select("doc_id", cut_text(F.col("_all"), cap).alias("selected"))
 
 
 def changed_pages(old: Column, new: Column, ends: Column) -> Column:
@@ -103,9 +105,9 @@ def changed_pages(old: Column, new: Column, ends: Column) -> Column:
 def text_lines(pages: DataFrame) -> DataFrame:
     """(doc, page, line_no, lo, hi) of the lines of each page's text, cut at LF, CR, LS and PS."""
     parts = pages.select(*PAGE, F.posexplode(F.split("text", "[\n\r  ]")).alias("line_no", "_t"))
-    before = F.sum(F.length("_t") + 1).over(W.partitionBy(*PAGE).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
+    before = F.sum(utf16_length(F.col("_t")) + 1).over(W.partitionBy(*PAGE).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
     lo = F.coalesce(before, F.lit(0))
-    return parts.select(*PAGE, "line_no", lo.alias("lo"), (lo + F.length("_t")).alias("hi"))
+    return parts.select(*PAGE, "line_no", lo.alias("lo"), (lo + utf16_length(F.col("_t"))).alias("hi"))
 
 
 def line_of_offset(offsets: DataFrame, lines: DataFrame) -> DataFrame:

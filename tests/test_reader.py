@@ -223,3 +223,30 @@ def test_sanitize_runs_equals_a_plain_walk(spark):
             kept.sort(key=lambda r: r[:3])
         want += [(d, k, seq, lo, hi, x, seq + 1) for k, (lo, hi, seq, x) in enumerate(kept)]
     assert got == sorted(want) and len(got) > 40
+
+
+def test_places_of_selections_are_utf16_units(spark):
+    rng = random.Random(4)
+    rows = [(d, p, "".join(rng.choice(["a", "\U0001f600", "é", "\n", "b"]) for _ in range(rng.randint(0, 12)))) for d in range(30) for p in range(3)]
+    pages = spark.createDataFrame(rows, "doc_id int, page_index int, text string")
+    ends = [(d, rng.randint(0, 1), rng.randint(0, 14), 2, rng.randint(0, 14)) for d in range(30)]
+    chosen = spark.createDataFrame(ends, "doc_id int, a int, b int, c int, d int").select("doc_id", selection.normal_selection(*map(F.col, "abcd")).alias("selection"))
+    got = {r.doc_id: r.selected for r in selection.selected_strings(selection.page_ranges(chosen, pages)).collect()}
+    lines = {(r.doc_id, r.page_index, r.line_no): (r.lo, r.hi) for r in selection.text_lines(pages).collect()}
+
+    def part(text, lo, hi):
+        at, out = 0, ""
+        for c in text:
+            n = 2 if ord(c) > 0xFFFF else 1
+            out += c if lo <= at and at + n <= hi else ""
+            at += n
+        return out
+
+    for d, a, b, c, e in ends:
+        assert got[d] == "\n".join(part(t, b if p == a else 0, e if p == c else 99) for i, p, t in rows if i == d and a <= p <= c)
+    for d, p, text in rows:
+        at = 0
+        for k, line in enumerate(text.split("\n")):
+            n = len(line.encode("utf-16-le")) // 2
+            assert lines[d, p, k] == (at, at + n)
+            at += n + 1
