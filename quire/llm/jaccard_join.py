@@ -3,9 +3,12 @@
 A document's tokens are its distinct word shingles. Documents with equal sets are one class, and a class
 is represented by one row from the start. The stages:
 
-1. Similar documents are partitioned into groups. In one order of all tokens, those that tasks report as
-   frequent last, a set shows its first tokens: so many that two linked sets share at least
-   ``shared_least`` of what they show. Shown tokens meet in Spark. Where few sets share one, pairs are
+1. Similar documents are partitioned into groups. Sets with one signature of a few drawn tokens in common
+   hang together; most near copies do, and a signature costs a row, not pairs. In one order of all tokens,
+   those that tasks report as frequent last, a set shows its first tokens: so many that two linked sets
+   share at least ``shared_least`` of what they show. Shown tokens meet in Spark, and each set counts those
+   it shares with sets that it doesn't hang together with: only where these are enough for a link do
+   sets stay. Their shown tokens meet again. Where few sets share one, pairs are
    counted; where many do, only each set's number of such tokens is, and it counts for a pair as if
    they shared them all. Sets that show enough such tokens to be linked by these alone join the
    smallest that shows one. What hangs together, directly or not, is one family. A large family is dealt to blocks twice, by the least token of
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, ROW, keyed, mix, pair, partitions, raw_text, tidy, tidy_group, with_text, written
+from .common import HASHES, ROW, keyed, mix, pair, partitions, raw_text, tidy, tidy_group, with_all_texts, with_text, written
 from .components import components
 from .repeats import BUCKET_BYTES, by_bucket, chunks, planes, release, text_bytes, unplanes
 
@@ -48,6 +51,9 @@ CELLS = 1 << 16
 CELL_BITS = 22
 #: Blocks whose unions a query meets in one task.
 UNIONS = 1024
+#: Signatures of a set and the tokens drawn for each. Sets of fewer than ``SIGNED`` tokens have none.
+SIGNATURES, DRAWS, SIGNED = 6, 4, 32
+_DRAWN = np.arange(SIGNATURES * DRAWS, dtype=np.uint64) * np.uint64((1 << 64) // (SIGNATURES * DRAWS))
 _TAG = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -191,6 +197,22 @@ def merged_pairs(pairs: np.ndarray, counts: np.ndarray, least: np.ndarray):
     return pairs[first], np.add.reduceat(counts, first), np.maximum.reduceat(least, first)
 
 
+def signatures(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The signatures of each set: names of ``DRAWS`` tokens, each the first from a fixed number on, going round.
+
+    Two sets draw the same token with the probability of their similarity. Any signatures give the same links.
+    """
+    large = [x for x in sets if len(x) >= SIGNED]
+    if not large:
+        return [np.zeros(0, np.uint64)] * len(sets)
+    drawn = np.stack([x[np.searchsorted(x, _DRAWN) % len(x)] for x in large]).reshape(-1, SIGNATURES, DRAWS)
+    name = drawn[:, :, 0]
+    for k in range(1, DRAWS):
+        name = pair(name, drawn[:, :, k])
+    names = iter(name)
+    return [next(names) if len(x) >= SIGNED else name[0, :0] for x in sets]
+
+
 def _first_of_equal(sets: list[np.ndarray]) -> np.ndarray:
     """Marks the first of equal sets."""
     seen: set = set()
@@ -203,10 +225,10 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
 
 
 def _describe(rows: DataFrame, n: int) -> DataFrame:
-    """(row, size, two hashes of the set), and a line without row for each task: the cells of tokens that
-    stand out among its sets, and how often they occur."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    line = lambda *columns: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [ROW, "n", "f", "g", "cells", "times"])
+    """(row, size, two hashes of the set, signatures), and a line without row for each task: the cells of tokens
+    that stand out among its sets, and how often they occur."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    line = lambda *columns: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [ROW, "n", "f", "g", "signs", "cells", "times"])
 
     def run(batches):
         times, seen = np.zeros(1 << CELL_BITS, np.int32), set()
@@ -218,12 +240,12 @@ def _describe(rows: DataFrame, n: int) -> DataFrame:
                     f[i] = mix(x).sum(), np.bitwise_xor.reduce(mix(x * _TAG))
             new = [x for x, c in zip(sets, f[:, 0].tolist(), strict=True) if not (c in seen or seen.add(c))]
             times += np.bincount(_cells(np.concatenate([np.zeros(0, np.uint64), *new])), minlength=len(times)).astype(np.int32)
-            yield line(ids, [len(x) for x in sets], *(c.view(np.int64) for c in np.ascontiguousarray(f.T)), *[[None] * len(sets)] * 2)
+            yield line(ids, [len(x) for x in sets], *(c.view(np.int64) for c in np.ascontiguousarray(f.T)), [x.view(np.int64) for x in signatures(sets)], *[[None] * len(sets)] * 2)
         mean = times.mean()
         often = np.flatnonzero(times >= max(4, len(seen) // 2048, mean + 6 * mean**0.5))
-        yield line([None], [0], [0], [0], [planes(often.astype(np.uint32))], [planes(times[often])])
+        yield line([None], [0], [0], [0], [None], [planes(often.astype(np.uint32))], [planes(times[often])])
 
-    return rows.select(ROW, "_text").mapInArrow(tidy(run), f"{ROW} long, n long, f long, g long, cells binary, times binary")
+    return rows.select(ROW, "_text").mapInArrow(tidy(run), f"{ROW} long, n long, f long, g long, signs array<long>, cells binary, times binary")
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +262,74 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return top["cell"].to_numpy(), np.minimum(255, 1 + 6 * np.log2(np.maximum(top["n"].to_numpy(), 1))).astype(np.uint8)
 
 
+def _alike(sets: DataFrame, member: DataFrame) -> DataFrame:
+    """(v, label): the representatives that hang together by their signatures, and the smallest of each part."""
+    reps = sets.where(F.size("signs") > 0).select(ROW, "signs").join(member.where(F.col("rep") == F.col(ROW)).select(ROW), ROW)
+    signs = written(reps.select(ROW, F.explode("signs").alias("sign")), "signatures")
+    first = signs.groupBy("sign").agg(F.min(ROW).alias("a"), F.max(ROW).alias("last")).where("a < last").select("sign", "a")
+    return components(signs.join(first, "sign").select("a", F.col(ROW).alias("b")).where("a <> b"))
+
+
+def _sharing(rows: DataFrame, n: int, percent: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(row): those of ``rows`` (row, text, part) that can be linked with a row of another part.
+
+    Linked rows show ``alone_least`` tokens in common at least. A row counts the tokens it shows that a row of
+    another part shows too. Where a chunk sees both, it counts by itself and sends only two rows of different
+    parts, so that a very frequent token costs two rows a chunk. Counts move in blocks to the bucket of the row.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)  # at most CELLS numbers
+
+    def several(token: np.ndarray, part: np.ndarray):
+        """An order by token and part, the first and the last place of each place's token in it, and whether their parts differ."""
+        order = np.lexsort((part, token))
+        token, part = token[order], part[order]
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[first, len(token)])
+        last = first + times - 1
+        return order, first, last, np.repeat(part[first] != part[last], times)
+
+    def counted(row: np.ndarray, count: np.ndarray, least: np.ndarray) -> list[tuple]:
+        return [(c, *(planes(np.ascontiguousarray(v[x])) for v in (row, count, least))) for c, x in by_bucket(mix(row.view(np.uint64)), buckets)]
+
+    def send(batches):
+        level = np.zeros(1 << CELL_BITS, np.uint8)
+        level[shared.value[0]] = shared.value[1]
+        for ids, texts, parts in chunks(batches):
+            own, part, sets = np.asarray(ids), np.asarray(parts), token_sets(texts.to_pylist(), n)
+            first_tokens = shown(sets, percent, level)
+            token, place = np.concatenate([np.zeros(0, np.uint64), *first_tokens]), np.repeat(np.arange(len(own)), [len(x) for x in first_tokens])
+            order, first, last, both = several(token, part[place])
+            token, place = token[order], place[order]
+            go = ~both
+            go[first] = go[last] = True
+            some = np.fromiter(map(len, sets), np.int64, len(sets))
+            has = some > 0
+            counts = np.bincount(place[~go], minlength=len(own))
+            out = [(int(own[0] % buckets), *[None] * 3, *line) for line in counted(own[has], counts[has], alone_least(some, percent)[has])]
+            token, place = token[go], place[go]
+            out += [(b, planes(token[x]), planes(own[place[x]]), planes(part[place[x]]), *[None] * 4) for b, x in by_bucket(token, buckets)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 3, pa.int32(), *[pa.binary()] * 3), strict=True)], list("bspqcrkl"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        read = lambda c, kind=np.int64: np.concatenate([np.zeros(0, kind), *(unplanes(x, kind) for x in table[c].to_pylist() if x)])
+        token, row = read("s", np.uint64), read("p")
+        order, _, _, both = several(token, read("q"))
+        row, count = np.unique(row[order][both], return_counts=True)
+        own = counted(row, count, np.zeros(len(row), np.int64))
+        own = pa.table([pa.array(x, t) for x, t in zip(zip(*own, strict=True) if own else [[]] * 4, (pa.int32(), *[pa.binary()] * 3), strict=True)], list("crkl"))
+        return pa.concat_tables([own, table.select(list("crkl")).filter(table["c"].is_valid()).cast(own.schema)])
+
+    def settle(table: pa.Table) -> pa.Table:
+        row, count, least = (np.concatenate([np.zeros(0, np.int64), *(unplanes(x, np.int64) for x in table[c].to_pylist())]) for c in "rkl")
+        row, place = np.unique(row, return_inverse=True)
+        return pa.table({ROW: row[np.bincount(place, count, len(row)) >= np.bincount(place, least, len(row))]})
+
+    sent = rows.select(ROW, "_text", "part").mapInArrow(tidy(send), "b int, s binary, p binary, q binary, c int, r binary, k binary, l binary")
+    counts = sent.groupBy("b").applyInArrow(tidy_group(meet), "c int, r binary, k binary, l binary")
+    return written(counts.groupBy("c").applyInArrow(tidy_group(settle), f"{ROW} long"), "sharing")
+
+
 def _families(rows: DataFrame, n: int, percent: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b): pairs of rows that connect all rows that may be linked.
 
@@ -435,10 +525,17 @@ def linked(reps: DataFrame, member: DataFrame, sets: DataFrame, n: int, percent:
     """
     spark = reps.sparkSession
     buckets = max(partitions(spark), total_bytes // BUCKET_BYTES + 1)
-    pairs = _families(reps, n, percent, buckets, _frequent(sets))
-    for c in "ab":
-        pairs = pairs.join(member.select(F.col(ROW).alias(c), F.col("rep").alias(f"_{c}")), c)
-    pairs = written(pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct(), "family-pairs")
+    frequent, alike = _frequent(sets), _alike(sets, member)
+    # copies, which their representative speaks for, and what hangs together already
+    marks = member.join(alike.select(F.col("v").alias("rep"), F.col("label").alias("part")), "rep", "left").select(ROW, "rep", "part")
+    marks = written(marks.where(f"rep <> {ROW} or part is not null"), "marks")
+    own = with_all_texts(reps.select(ROW, "_text"), marks).where(f"rep is null or rep = {ROW}").select(ROW, "_text", F.coalesce("part", ROW).alias("part"))
+    sharing = _sharing(own, n, percent, buckets, frequent)
+    release(spark)
+    tokens, left = sets.where(F.col(ROW).isNotNull()).select(ROW, "n").join(sharing.withColumn("stays", F.lit(1)), ROW, "left").agg(F.sum("n"), F.sum(F.col("n") * F.col("stays"))).first()
+    fewer = max(partitions(spark), -(-buckets * (left or 0) // max(tokens or 0, 1)))
+    pairs = _families(with_text(reps.select(ROW, "_text"), sharing), n, percent, fewer, frequent)
+    pairs = written(pairs.unionByName(alike.select(F.col("label").alias("a"), F.col("v").alias("b"))).where("a <> b").distinct(), "family-pairs")
     release(spark)
     if pairs.isEmpty():
         return None

@@ -144,6 +144,28 @@ def test_pairs_of_a_group_grow_with_its_size_not_its_square(spark):
     assert got[60] <= 3 * got[20] + 3
 
 
+def test_only_sets_that_may_be_linked_with_another_part_are_paired(spark, monkeypatch):
+    """Pages that share some phrases, and near copies and copies that their signatures join: few make pairs."""
+    paired, families = [], jaccard_join._families
+
+    def spied(rows, *facts):
+        paired.append(rows.count())
+        return families(rows, *facts)
+
+    monkeypatch.setattr(jaccard_join, "_families", spied)
+    rng = random.Random(12)
+    phrases = [[f"p{k}_{i}" for i in range(8)] for k in range(30)]
+    texts = [" ".join([*(f"u{i}_{j}" for j in range(90)), *rng.choice(phrases)]) for i in range(150)]
+    texts += [" ".join([*(f"w{i}" for i in range(400)), f"t{k % 20}"]) for k in range(60)]
+    edge = [f"e{i}" for i in range(100)]
+    texts += [" ".join(edge), " ".join([*edge[:93], *(f"f{i}" for i in range(7))])]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 4), "doc_id long, text string")
+    out = sorted(jaccard_components(docs).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_shingles, r.component_id) for r in out] == brute(texts)
+    assert len(paired) == 1 and paired[0] <= 4
+
+
 def test_families_over_blocks_and_chunks_equal_brute_force(spark, monkeypatch):
     """Large families of near copies at the threshold: blocks, leaders, bitmaps and searches all take part."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
