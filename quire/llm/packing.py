@@ -9,9 +9,11 @@ filled window, so padding stays small however large the input is. Only lengths a
 
 from __future__ import annotations
 
+import json
 import os
-import unicodedata
+import re
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,68 +25,91 @@ from .piece_tokenizer import bounded
 
 #: Pieces a shard packs at most on average. A shard is one task's memory.
 SHARD = 8192
-#: Latin, Greek and Cyrillic end here.
-LETTERS_END = "Ԁ"
-
-
-def _letters_only(spec: str):
-    """The same merges for words that ``_plain`` accepts, without the steps that leave them as they are: for
-    ASCII words, and for others."""
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-    out = Tokenizer.from_str(spec), Tokenizer.from_str(spec)
-    bytes_shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # ASCII letters show themselves
-    for tokenizer, steps in zip(out, ([], [bytes_shown]), strict=True):
-        tokenizer.normalizer = normalizers.Sequence([])
-        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *steps])
-    return out
-
-
-def _plain(word: bytes) -> bool:
-    """Whether a word is letters only, in lower case and composed: normalising and splitting leave it whole.
-    Only of scripts whose letters no version of Unicode disagrees on."""
-    if word.isascii():
-        return word.isalpha() and word.islower()
-    text = str(word, "utf-8", "replace")
-    return max(text) < LETTERS_END and text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
+#: Text bytes tokenised at once: the list of their words is the largest thing a worker holds besides what it learnt.
+AT_ONCE = 1_000_000
+#: The steps before the merges that ``_tokens`` reproduces.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: What the steps cut off plain text in lower case, where all that is not ASCII is letters: endings after an apostrophe,
+#: digits, runs of signs. What white space and these leave are runs of letters.
+_SIGNS = re.compile(rb"([!-@\[-`{-~](?:(?<=')(?:s|t|re|ve|m|ll|d)|(?<=[0-9])|(?<![0-9])[!-/:-@\[-`{-~]*))")
+#: Bytes of plain text: ASCII without control characters, and U+00C0 to U+017F, which are letters but for three.
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+#: Times, divided by, and the capital whose lower case is two characters.
+_OTHERS = tuple(c.encode() for c in "×÷İ")
+
+
+def _plain(text: bytes) -> bool:
+    """Whether ``_tokens`` cuts the text as the library does: composition changes none of its characters, lowering each to
+    one letter, no version of Unicode disagrees on them, and no special token is in it."""
+    if text.translate(None, _PLAIN) or b"<|" in text:
+        return False
+    if text.isascii():
+        return True
+    if any(c in text for c in _OTHERS):
+        return False
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _tokens(text: bytes) -> list[bytes]:
+    """What the steps cut plain text into."""
+    return b" ".join(_SIGNS.split(text.lower() if text.isascii() else text.decode().lower().encode())).split()
+
+
+class _Vocabulary:
+    """The library's tokenizer and, if its steps are ``_STEPS``, two that share its merges and take
+    ``_tokens``, split at spaces, as they are: for ASCII, and for others."""
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.merging, self.last = Tokenizer.from_str(spec), None, None
+        steps = json.loads(spec)
+        model, special = steps["model"], all("<|" in t["content"] and not t["normalized"] for t in steps["added_tokens"])
+        if all(steps[k] == v for k, v in _STEPS.items()) and special and model["type"] == "BPE" and not model["dropout"] and model["end_of_word_suffix"]:
+            bytes_shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # ASCII shows itself
+            self.merging = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
+            self.merging[0].pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.merging[1].pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_shown])
+            vocab = model["vocab"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+            self.last[[i for t, i in vocab.items() if t.endswith(model["end_of_word_suffix"])]] = True
 
 
 class WordCache:
     """A vocabulary of the ``tokenizers`` library that never joins symbols over ASCII white space.
 
-    Distinct words are tokenised once per task, many at a time with a separator word between them.
+    Plain text (``_plain``) is lowered and cut at once, if the vocabulary's steps are known; other words, and
+    all words of other vocabularies, go through the library whole. Distinct tokens and words are merged once per task.
     """
 
     MARK = "\x02"
 
     def __init__(self, spec: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.plain = worker_made("tokenizer", spec, Tokenizer.from_str), worker_made("letters", spec, _letters_only)
+        self.vocabulary = worker_made("vocabulary", spec, _Vocabulary)
         self.memo = worker_memo(("words", hash(spec)), limit)
         self.mark = self._ids(self.MARK)
         if len(self.mark) != 1:
             raise ValueError("the separator must be one token")
-        self.points = {p: np.array(self._ids(chr(p)), "<u4").tobytes() for p in b".,;:!?"}
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.vocabulary.whole.encode(text, add_special_tokens=False).ids
 
-    def _learn_cores(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, rest = {}, []
-        kinds = ([], [])
-        for w in words:
-            (kinds[0] if w.isalpha() and w.islower() else kinds[1] if not w.isascii() and _plain(w) else rest).append(w)
-        for plain, letters in zip(self.plain, kinds, strict=True):
-            bar = plain.encode("|").ids[0]
-            joined = [b" | ".join(letters[k : k + 512]).decode() for k in range(0, len(letters), 512)]
-            for k, found in enumerate(plain.encode_batch_fast(joined)):
-                some, ids = letters[512 * k : 512 * k + 512], np.array(found.ids, "<u4")
-                cuts, flat = np.flatnonzero(ids == bar), ids.tobytes()
-                starts, ends = np.r_[0, cuts + 1] * 4, np.r_[cuts, len(ids)] * 4
-                out.update(zip(some, map(flat.__getitem__, map(slice, starts.tolist(), ends.tolist())), strict=True))
-        words = rest
+    def _learn_whole(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out = {}
         for k in range(0, len(words), 256):
             some = words[k : k + 256]
             ids = np.array(self._ids(f" {self.MARK} ".join(str(w, "utf-8", "replace") for w in some)), "<u4")
@@ -97,38 +122,38 @@ class WordCache:
             out.update((w, flat[a:b]) for w, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
         return out
 
-    def _core(self, word: bytes) -> bytes:
-        """The word without a closing point after what is a letter or digit once composed and lowered: the point
-        is a token of its own there. ASCII words come in lower case; others may compose differently then."""
-        if b"<|" in word:  # may be a special token
-            return word
-        if word[-1] in self.points and len(word) > 1:
-            before = word[-2:-1].decode() if word[-2] < 128 else str(word[:-1], "utf-8", "replace")[-1]
-            if before < LETTERS_END and before.isalnum() and before.lower().isalnum():
-                word = word[:-1]
-        return word.lower() if word.isascii() else word
-
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        short = [w for w in words if w.isascii() and b"<|" not in w]
-        low = b" ".join(short).lower().split(b" ") if short else []  # no word holds a space
-        cores = [c if c.isalpha() else self._core(c) for c in low]
-        if len(short) < len(words):
-            odd = [w for w in words if not (w.isascii() and b"<|" not in w)]
-            words, cores = short + odd, cores + [self._core(w) for w in odd]
-        known = self.memo.now
-        new = dict.fromkeys(cores)
-        ids = self._learn_cores([c for c in new if c not in known])
-        if len(ids) < len(new):
-            ids.update((c, known[c]) for c in new if c not in ids)
-        closed = [(w, c) for w, c in zip(words, cores, strict=True) if len(w) != len(c)]
-        out = dict(zip(words, map(ids.__getitem__, cores), strict=True))
-        out.update((w, ids[c] + self.points[w[-1]]) for w, c in closed)
-        ids.update(out)
-        return ids
+        if not self.vocabulary.merging:
+            return self._learn_whole(words)
+        out, rest, kinds = {}, [], ([], [])
+        for w in words:
+            (kinds[not w.isascii()] if w.isalpha() or _plain(w) else rest).append(w)
+        for merging, tokens in zip(self.vocabulary.merging, kinds, strict=True):
+            joined = [b" ".join(tokens[k : k + 512]).decode() for k in range(0, len(tokens), 512)]
+            for k, found in enumerate(merging.encode_batch_fast(joined, add_special_tokens=False)):
+                some, ids = tokens[512 * k : 512 * k + 512], np.array(found.ids, "<u4")
+                ends = (np.flatnonzero(self.vocabulary.last[ids]) + 1) * 4
+                if len(ends) != len(some):  # a byte is not in the vocabulary
+                    rest += some
+                    continue
+                out.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
+        out.update(self._learn_whole(rest))
+        return out
+
+    def _cut(self, text: bytes) -> list[bytes]:
+        """The tokens of plain words and, as they are, the other words."""
+        if not self.vocabulary.merging:
+            return text.split()
+        if _plain(text):
+            return _tokens(text)
+        out = []
+        for plain, words in groupby(text.split(), _plain):
+            out += _tokens(b" ".join(words)) if plain else words
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts, words = [t.split() for t in texts], set()
+        parts, words = [self._cut(t) for t in texts], set()
         for p in parts:
             words.update(p)
         get = self.memo.prepare(words, self._learn).__getitem__
@@ -143,7 +168,7 @@ def cut_pieces(rows: DataFrame, spec: str, end_id: int, window: int) -> DataFram
     def run(batches):
         words = WordCache(shared.value)
         for batch in batches:
-            for lo, hi in bounded(batch.column(1)):
+            for lo, hi in bounded(batch.column(1), AT_ONCE):
                 ids, out = batch.column(0).slice(lo, hi - lo).to_pylist(), []
                 for row, flat in zip(ids, words.encode(batch.column(1).slice(lo, hi - lo).to_pylist()), strict=True):
                     flat += end

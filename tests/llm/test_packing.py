@@ -50,6 +50,47 @@ def test_ids_equal_the_library_on_documents():
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_differ_in_case_and_signs_are_merged_once():
+    from quire.llm import common
+
+    common._MEMOS.clear()
+    cache = WordCache(SPEC)
+    whole = []
+    cache._learn_whole = lambda words: whole.extend(words) or {}  # the library's own steps
+    cache.encode(["Quaüze, quaüze. QUAÜZE%%% (quaüze) quaüze's 7 vex'd".encode()])
+    assert sorted(cache.memo.now) == sorted(w.encode() for w in ["quaüze", ",", ".", "%%%", "(", ")", "'s", "7", "vex", "'d"]) and not whole
+
+
+def test_other_vocabularies_equal_the_library():
+    """Without the lowering step, and with a special token that a word may hold, nothing may be cut as for the known one."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    upper, special = json.loads(SPEC), json.loads(SPEC)
+    upper["normalizer"]["normalizers"].pop()
+    special["added_tokens"][0]["content"] = "able"
+    special["model"]["vocab"]["able"] = special["model"]["vocab"].pop("<|startoftext|>", 49406)
+    for spec in map(json.dumps, (upper, special)):
+        plain, cache = Tokenizer.from_str(spec), WordCache(spec)
+        for text in ["Enable, the TABLE's x", "ÉTÉ able 12 a<|endoftext|>b"]:
+            assert np.frombuffer(cache.encode([text.encode()])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_plain_words_beside_others_equal_the_library():
+    """Texts of plain and other words mixed, endings after signs, invalid bytes, control characters, long runs."""
+    from tokenizers import Tokenizer
+
+    plain, cache = Tokenizer.from_str(SPEC), WordCache(SPEC)
+    rng = random.Random(5)
+    parts = ["It", "'S", "'d", "''ll", "a's't", "$'re", "9'm", "1,234.5", "É", "İx", "ŉ", "ſt", "×", "÷", "²", "ª", "ß", "ĲY", "—", "x—y", "\x1f", "\x7f", "e\u0301", "漢", "<|", "<|endoftext|>", "|>", "||", "Σς", "ΑΣ", " ", "\n", "\x85", "\xa0", "_", "a" * 300, "!" * 300]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    for text, got, ids in zip(texts, cache.encode([t.encode() for t in texts]), plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids.ids, text
+    for bad in [b"ab\xff cd", b"\x80 x", b"\xc3", b"x\xc3 y"]:
+        assert np.frombuffer(cache.encode([bad])[0], "<u4").tolist() == plain.encode(bad.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+
 def brute_best_fit(lengths, size):
     room, where, offset = [], [0] * len(lengths), [0] * len(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
