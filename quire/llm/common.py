@@ -141,9 +141,12 @@ def trim() -> None:
 
 
 def tidy(run):
-    """``run`` for ``mapInArrow``; when a task ends, its worker gives freed memory back."""
+    """``run`` for ``mapInArrow``; when a task ends, its worker gives freed memory back. What functions of other
+    modules have learnt in that worker goes first."""
+    module = run.__module__
 
     def tidied(batches):
+        owned(module)
         yield from run(batches)
         trim()
 
@@ -152,8 +155,10 @@ def tidy(run):
 
 def tidy_group(run):
     """The same for the function of ``applyInArrow``, after each group."""
+    module = run.__module__
 
     def tidied(table):
+        owned(module)
         out = run(table)
         trim()
         return out
@@ -208,9 +213,11 @@ _MEMOS: dict = {}
 
 
 def worker_memo(key, limit: int) -> Memo:
-    """This worker process's memo for ``key``; a new key replaces the memos of others."""
+    """This worker process's memo for ``key``; a new key replaces the memos of others, and the hashes of words."""
     if key not in _MEMOS:
         _MEMOS.clear()
+        HASHES.clear()
+        trim()
         _MEMOS[key] = Memo(limit)
     return _MEMOS[key]
 
@@ -224,3 +231,17 @@ def worker_made(kind: str, source, make):
     if _MADE.get(kind, (None,))[0] != key:
         _MADE[kind] = (key, make(source))
     return _MADE[kind][1]
+
+
+_OWNER = [""]
+
+
+def owned(module: str) -> None:
+    """Memos and made objects of this worker process are from now on those of functions of ``module``. Workers live on
+    from one operator to the next, so that in a pipeline each would else hold what an earlier one knew."""
+    if _OWNER[0] != module:
+        _OWNER[0] = module
+        if _MEMOS or _MADE:
+            _MEMOS.clear()
+            _MADE.clear()
+            trim()

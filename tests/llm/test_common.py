@@ -20,3 +20,24 @@ def test_keys_follow_ids(spark):
     assert [r.doc_id for r in out] == [1, 1, 3, 3, None] and [r.text for r in out][2:] == ["b", "c", "z"]
     assert len({r[ROW] for r in out}) == 5
     assert keyed(docs.where("text = 'z'")).count() == 1 and keyed(docs.limit(0)).count() == 0
+
+
+def test_a_worker_drops_what_other_operators_learnt():
+    def stage(module, step):
+        def run(batches):
+            step()
+            yield from batches
+
+        run.__module__ = module
+        return lambda: list(common.tidy(run)([1]))
+
+    held = []
+    pack = stage("quire.llm.packing", lambda: (common.worker_made("vocabulary", "spec", str.upper), common.worker_memo("words", 9).now.update(a=1), held.append(len(common.HASHES))))
+    near = stage("quire.llm.jaccard_join", lambda: (common.HASHES.of([b"a", b"b"]), held.append((len(common._MEMOS), len(common._MADE)))))
+    near()
+    pack()
+    assert held[1] == 0 and common.worker_memo("words", 9).now == {"a": 1}
+    pack()
+    assert common.worker_memo("words", 9).now == {"a": 1}  # kept from task to task of one operator
+    near()
+    assert held[-1] == (0, 0)
