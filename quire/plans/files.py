@@ -19,9 +19,8 @@ def open_documents(t):
 
 @query(f"SELECT doc_id, md5(array_to_string({_LINES}, chr(10))) AS digest FROM documents WHERE len({_LINES}) > 0")
 def document_runs(t):
-    runs = R.run_table(R.text_files(t.documents))
-    lines = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "emit_idx", "text"))).alias("r"))
-    return lines.select("doc_id", F.md5(F.array_join(F.transform("r", lambda x: x["text"]), "\n")).alias("digest"))
+    read = R.read(R.text_files(t.documents)).where(F.size("runs") > 0)
+    return read.select("doc_id", F.md5(F.array_join(F.transform("runs", lambda x: x["text"]), "\n")).alias("digest"))
 
 
 @query(f"SELECT conv_id * 1000 + turn AS doc_id, CAST(0 AS INTEGER) AS page_index, array_to_string({_LINES}, chr(10)) AS text FROM conversations WHERE len({_LINES}) > 0")

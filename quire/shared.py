@@ -5,8 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of texts or files that a Python function takes at a time.
+PIECE = 1 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt evenly over as many tasks as a shuffle has. A file may be one row group and so one task; what costs
+    far more than a shuffle of its rows should not depend on that."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def pieces(batches, size: int = PIECE):
+    """Arrow batches cut, between rows, where their last column has ``size`` bytes."""
+    for batch in batches:
+        start = held = 0
+        for k, n in enumerate(pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()):
+            if held and held + (n or 0) > size:
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += n or 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder."""

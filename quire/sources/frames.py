@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import PIECE, pieces, spread
 from .codecs import CodecError
 from .content import Interpreter
 from .pdf import CannotOpen, Document
@@ -20,13 +21,23 @@ def _rows(source: DataFrame, schema: str, kinds: dict, make) -> DataFrame:
     """``make(doc_id, content)`` gives the rows of one document."""
     kind = dict(source.dtypes)["doc_id"]
 
+    def batch_of(docs, rows, doc_type):
+        columns = zip(zip(*rows, strict=True), kinds.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(docs, doc_type), *(pa.array(c, t) for c, t in columns)], ["doc_id", *kinds])
+
     def run(batches):
         for batch in batches:
+            docs, rows, held, doc_type = [], [], 0, batch.schema.field(0).type
             for k in range(batch.num_rows):  # a document at a time: its pages may be large
-                doc_id, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                rows = list(make(content or b""))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(rows), batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True))], ["doc_id", *kinds])
+                doc_id, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or b""
+                rows += make(content)
+                docs += [doc_id] * (len(rows) - len(docs))
+                held += len(content)
+                if rows and (held >= PIECE or len(rows) >= 4096):
+                    yield batch_of(docs, rows, doc_type)
+                    docs, rows, held = [], [], 0
+            if rows:
+                yield batch_of(docs, rows, doc_type)
 
     return source.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, {schema}")
 
@@ -43,15 +54,30 @@ def _open(content: bytes) -> Document | CannotOpen:
 def opened(source: DataFrame) -> DataFrame:
     """(doc_id, status, detail, page_count, warnings, metadata): one row for every file."""
 
+    return _rows(source, _FACTS_SCHEMA, _FACTS, lambda content: [_facts(_open(content))])
+
+
+_FACTS_SCHEMA = "status string, detail string, page_count int, warnings array<string>, metadata map<string,string>"
+_FACTS = {"status": pa.string(), "detail": pa.string(), "page_count": pa.int32(), "warnings": pa.list_(pa.string()), "metadata": pa.map_(pa.string(), pa.string())}
+
+
+def _facts(doc: Document | CannotOpen) -> tuple:
+    if isinstance(doc, CannotOpen):
+        return doc.status, doc.detail, 0, [], []
+    pages, facts = doc.pages(), doc.metadata()
+    return "ok", "", len(pages), [f"{a} {b}".strip() for a, b in doc.warnings.found], [(k, v) for k, v in facts.items() if isinstance(v, str)]
+
+
+def read(source: DataFrame) -> DataFrame:
+    """What ``opened`` gives, and the texts of all runs in order (page_index, emit_idx, text): each file is opened once."""
+
     def make(content):
         doc = _open(content)
-        if isinstance(doc, CannotOpen):
-            yield doc.status, doc.detail, 0, [], []
-            return
-        pages, facts = doc.pages(), doc.metadata()
-        yield "ok", "", len(pages), [f"{a} {b}".strip() for a, b in doc.warnings.found], [(k, v) for k, v in facts.items() if isinstance(v, str)]
+        facts = _facts(doc)
+        yield *facts, [{"page_index": k, "emit_idx": e, "text": r.text} for k, page in _page_runs(doc) for e, r in enumerate(page)]
 
-    return _rows(source, "status string, detail string, page_count int, warnings array<string>, metadata map<string,string>", {"status": pa.string(), "detail": pa.string(), "page_count": pa.int32(), "warnings": pa.list_(pa.string()), "metadata": pa.map_(pa.string(), pa.string())}, make)
+    runs = pa.list_(pa.struct([("page_index", pa.int32()), ("emit_idx", pa.int32()), ("text", pa.string())]))
+    return _rows(source, f"{_FACTS_SCHEMA}, runs array<struct<page_index:int,emit_idx:int,text:string>>", _FACTS | {"runs": runs}, make)
 
 
 def page_table(source: DataFrame) -> DataFrame:
@@ -74,23 +100,37 @@ def outline_table(source: DataFrame) -> DataFrame:
     return _rows(source, "item_no int, depth int, title string, page_index int", {"item_no": pa.int32(), "depth": pa.int32(), "title": pa.string(), "page_index": pa.int32()}, make)
 
 
-def run_table(source: DataFrame) -> DataFrame:
+def _page_runs(doc: Document | CannotOpen):
+    """(page index, runs) of the pages that can be read."""
+    for k, page in enumerate(doc.pages() if isinstance(doc, Document) else []):
+        try:
+            yield k, Interpreter(doc).page(page)
+        except CodecError:
+            continue
+
+
+# The columns of a run: their types, and what they are of the page's index, the run's place and the run.
+_RUN = {
+    "page_index": ("int", pa.int32(), lambda k, e, r: k), "emit_idx": ("int", pa.int32(), lambda k, e, r: e), "text": ("string", pa.string(), lambda k, e, r: r.text),
+    "x": ("double", pa.float64(), lambda k, e, r: r.x), "y": ("double", pa.float64(), lambda k, e, r: r.y),
+    "dx": ("double", pa.float64(), lambda k, e, r: r.dx), "dy": ("double", pa.float64(), lambda k, e, r: r.dy), "size": ("double", pa.float64(), lambda k, e, r: r.size),
+    "width": ("double", pa.float64(), lambda k, e, r: sum(r.advances)), "vertical": ("boolean", pa.bool_(), lambda k, e, r: r.vertical), "invisible": ("boolean", pa.bool_(), lambda k, e, r: r.invisible),
+    "advances": ("array<double>", pa.list_(pa.float64()), lambda k, e, r: r.advances),
+    "quad": ("array<struct<x:double,y:double>>", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])), lambda k, e, r: [{"x": a, "y": b} for a, b in r.quad]),
+}
+
+
+def run_table(source: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The positioned runs of all pages, as ``operators.assembly`` reads them, with their quads (the lower left corner
-    first, then around)."""
+    first, then around); of their ``columns`` only those wanted, as Spark can't leave any out by itself."""
+    wanted = {c: _RUN[c] for c in columns or _RUN}
 
     def make(content):
-        doc = _open(content)
-        for k, page in enumerate(doc.pages() if isinstance(doc, Document) else []):
-            try:
-                runs = Interpreter(doc).page(page)
-            except CodecError:
-                continue
-            for e, r in enumerate(runs):
-                yield k, e, r.text, r.x, r.y, r.dx, r.dy, r.size, sum(r.advances), r.vertical, r.invisible, r.advances, [{"x": a, "y": b} for a, b in r.quad]
+        for k, page in _page_runs(_open(content)):
+            for e, r in enumerate(page):
+                yield tuple(value(k, e, r) for _, _, value in wanted.values())
 
-    kinds = {"page_index": pa.int32(), "emit_idx": pa.int32(), "text": pa.string(), "x": pa.float64(), "y": pa.float64(), "dx": pa.float64(), "dy": pa.float64(), "size": pa.float64(), "width": pa.float64(), "vertical": pa.bool_(), "invisible": pa.bool_(), "advances": pa.list_(pa.float64()), "quad": pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))}
-    schema = "page_index int, emit_idx int, text string, x double, y double, dx double, dy double, size double, width double, vertical boolean, invisible boolean, advances array<double>, quad array<struct<x:double,y:double>>"
-    return _rows(source, schema, kinds, make)
+    return _rows(source, ", ".join(f"{c} {kind}" for c, (kind, _, _) in wanted.items()), {c: kind for c, (_, kind, _) in wanted.items()}, make)
 
 
 def text_files(texts: DataFrame, per_page: int = 50, xref: str = "table") -> DataFrame:
@@ -101,8 +141,8 @@ def text_files(texts: DataFrame, per_page: int = 50, xref: str = "table") -> Dat
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             made = [text_document([x for x in (t or "").split("\n") if x], per_page, xref) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, content binary")
+    return spread(texts.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, content binary")

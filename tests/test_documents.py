@@ -205,3 +205,35 @@ def test_runs_have_quads(spark):
     for r in runs:
         xs, ys = [p.x for p in r.quad], [p.y for p in r.quad]
         assert len(r.quad) == 4 and abs(max(xs) - min(xs) - r.width) < 1e-6 and min(ys) < r.y < max(ys)
+
+
+def test_a_code_is_looked_up_once_on_a_page(monkeypatch):
+    """However long the text is; places and advances are those of adding glyph by glyph."""
+    asked, own = [], UnicodeMap.get
+    monkeypatch.setattr(UnicodeMap, "get", lambda self, code: asked.append(code) or own(self, code))
+    text = "an old canal " * 400
+    doc = Document.open(text_document([text, text[5:]]))
+    first, second = Interpreter(doc).page(doc.pages()[0])
+    assert (first.text, second.text) == (text, text[5:])
+    assert len(asked) == len(set(text))
+    total = 0.0
+    for _ in text:
+        total += 500.0 / 1000 * 10.0
+    assert first.advances == [5.0] * len(text) and first.quad[1][0] - first.quad[0][0] == total
+
+
+def test_texts_of_one_row_group_are_read_by_many_tasks(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from quire.sources.frames import read, run_table, text_files
+
+    pq.write_table(pa.table({"doc_id": range(400), "text": [f"line {k}\nmore" for k in range(400)]}), tmp_path / "t.parquet")
+    texts = spark.read.parquet(str(tmp_path / "t.parquet"))
+    files = text_files(texts)
+    assert files.select(F.spark_partition_id()).distinct().count() > 1
+    found = {r.doc_id: (r.status, r.page_count, [tuple(x) for x in r.runs]) for r in read(files).collect()}
+    assert found == {k: ("ok", 1, [(0, 0, f"line {k}"), (0, 1, "more")]) for k in range(400)}
+    runs = run_table(files, ["page_index", "emit_idx", "text"]).where("doc_id = 7")
+    assert sorted(tuple(r) for r in runs.collect()) == [(7, 0, 0, "line 7"), (7, 0, 1, "more")]
