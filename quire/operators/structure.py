@@ -132,20 +132,23 @@ def greatest_version(*versions: Column) -> Column:
 
 def in_ranges(keys: DataFrame, ranges: DataFrame, by: list[str], key: str, choose: str, largest: bool) -> DataFrame:
     """Each key with the value of the range (lo to hi) that holds it, the last or the first by ``choose``; null
-    if none does. ``by`` are equal on both sides and make it a hash join."""
-    met = keys.join(ranges, by).where((F.col(key) >= F.col("lo")) & (F.col(key) <= F.col("hi")))
+    if none does. ``by`` are equal on both sides.
+
+    A hash join by cells: a range lies in one or two cells of the least power of four that is longer than it, and a key
+    in one cell of each such length in use, so that it meets only ranges near it, whatever their lengths.
+    """
+    shifted = lambda c: F.call_function("shiftright", F.floor(c).cast("bigint"), F.col("_bits"))
+    n = F.length(F.bin((F.floor("hi") - F.floor("lo")).cast("bigint")))
+    placed = ranges.where("lo <= hi").withColumn("_bits", n + n % 2)
+    used = placed.select("_bits").distinct().agg(F.collect_list("_bits").alias("_used"))  # some 30 at most
+    placed = placed.withColumn("_cell", F.explode(F.array_distinct(F.array(shifted("lo"), shifted("hi")))))
+    asked = keys.select(*by, key).distinct().crossJoin(F.broadcast(used)).withColumn("_bits", F.explode("_used")).drop("_used").withColumn("_cell", shifted(key))
+    met = asked.join(placed, [*by, "_bits", "_cell"]).where((F.col(key) >= F.col("lo")) & (F.col(key) <= F.col("hi")))
     pick = F.max_by if largest else F.min_by
     best = met.groupBy(*by, key).agg(pick("value", choose).alias("value"))
     return keys.join(best, [*by, key], "left")
 
 
-def range_buckets(keys: DataFrame, ranges: DataFrame, key: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a ``bucket`` of ``width`` values, for ranges without another common column: a range
-    appears in every bucket it meets."""
-    cell = lambda c: F.floor(F.col(c) / width)
-    return keys.withColumn("bucket", cell(key)), ranges.withColumn("bucket", F.explode(F.sequence(cell("lo"), cell("hi"))))
-
-
 def overlaid_encoding(items: DataFrame, base: DataFrame) -> DataFrame:
     """A base encoding (code, glyph) under differences (font, seq, number, glyph): a number sets the code, each
     glyph takes the next one; codes outside 0 to 255 don't count, later ones win."""

@@ -120,8 +120,7 @@ def cid_width(t):
     keys = t.orders.select(F.col("o_orderkey").alias("cid"))
     k = F.col("p_partkey")
     ranges = t.part.select((k * 9).alias("lo"), (k * 9 + F.col("p_size")).alias("hi"), F.col("p_size").alias("value"), k.alias("seq"))
-    keys, ranges = D.range_buckets(keys, ranges, "cid", 64)
-    out = D.in_ranges(keys, ranges, ["bucket"], "cid", "seq", True)
+    out = D.in_ranges(keys, ranges, [], "cid", "seq", True)
     return out.select("cid", F.coalesce("value", F.lit(1000)).alias("width"))
 
 

@@ -99,3 +99,30 @@ def test_packet_dates(spark):
     frame = spark.createDataFrame([(i, d) for i, d in enumerate(dates)], "i int, d string")
     got = [str(r.x) for r in frame.orderBy("i").select(structure.parsed_iso_date(F.col("d")).cast("string").alias("x")).collect()]
     assert got == ["2024-03-21 09:45:00", "2024-03-21 07:45:00", "2024-03-01 00:00:00", "2024-03-21 00:00:00", "None", "None", "None"]
+
+
+def test_ranges_of_all_lengths(spark):
+    rng = random.Random(8)
+    ranges = [(k % 3, lo := rng.randint(-500, 5000), lo + rng.choice((-1, 0, 1, 7, 8, 63, 64, 900, 10**6)), k, rng.randint(0, 50)) for k in range(300)]
+    keys = [(k % 4, rng.randint(-700, 7000)) for k in range(500)] * 2
+    frame = spark.createDataFrame(ranges, "font int, lo long, hi long, value long, seq int")
+    asked = spark.createDataFrame(keys, "font int, key long")
+    for by in (["font"], []):
+        for largest in (True, False):
+            got = structure.in_ranges(asked if by else asked.drop("font"), frame, by, "key", "value", largest).collect()
+            pick = max if largest else min
+            want = [(k, pick((v for f, lo, hi, v, _ in ranges if lo <= k <= hi and (f == font or not by)), default=None)) for font, k in keys]
+            assert sorted(((r.key, r.value) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_ranges_meet_only_keys_near_them(spark):
+    """200,000 ranges and as many keys of one font are 4 * 10^10 pairs, and a fraction of that by cells."""
+    import time
+
+    began = time.time()
+    k = F.col("id")
+    keys = spark.range(200_000).select(F.lit(1).alias("font"), (k * 7).alias("key"))
+    ranges = spark.range(200_000).select(F.lit(1).alias("font"), (k * 7 - k % 40).alias("lo"), (k * 7).alias("hi"), k.alias("value"))
+    found = structure.in_ranges(keys, ranges, ["font"], "key", "value", True)
+    assert found.where("value * 7 >= key").count() == 200_000
+    assert time.time() - began < 45
