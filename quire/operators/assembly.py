@@ -31,9 +31,10 @@ def oriented(runs: DataFrame) -> DataFrame:
     """Runs with their angle class (whole degrees) and their place along and across its direction."""
     angle = F.round(F.degrees(F.atan2(F.col("dy"), F.col("dx")))).cast("int")
     length = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    ux, uy = F.when(length > 0, F.col("dx") / length).otherwise(1.0), F.when(length > 0, F.col("dy") / length).otherwise(0.0)
+    # divided last, so that places on one line across or along the direction stay equal
+    places = {"along": (F.col("x") * F.col("dx") + F.col("y") * F.col("dy"), F.col("x")), "across": (F.col("y") * F.col("dx") - F.col("x") * F.col("dy"), F.col("y"))}
     out = runs.withColumn("angle", F.when(F.col("vertical"), 0).otherwise(angle))
-    out = out.withColumns({"along": F.col("x") * ux + F.col("y") * uy, "across": F.col("y") * ux - F.col("x") * uy})
+    out = out.withColumns({c: F.when(length > 0, v / length).otherwise(plain) for c, (v, plain) in places.items()})
     return out.withColumn("class_first", F.min("emit_idx").over(W.partitionBy(*CLASS)))
 
 
