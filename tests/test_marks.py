@@ -126,3 +126,38 @@ def test_ranges_meet_only_keys_near_them(spark):
     found = structure.in_ranges(keys, ranges, ["font"], "key", "value", True)
     assert found.where("value * 7 >= key").count() == 200_000
     assert time.time() - began < 45
+
+
+def test_groups_count_all_marks_of_a_page(spark, tmp_path):
+    """More marks on each page than a page's cap."""
+    import duckdb
+
+    from quire.limits import HIGHLIGHTS_PER_PAGE
+    from quire.plans.queries import QUERIES, SQL
+
+    k = F.col("id")
+    events = spark.range(60_000).select(k.alias("event_id"), (k * 7919 % 20_011).alias("user_id"), F.concat(F.lit("kind"), (k % 11).cast("string")).alias("event_type"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["highlight_groups"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(SQL["highlight_groups"]).df()[list(got.columns)]
+    rows = lambda f: sorted(tuple(r) for r in f.itertuples(index=False, name=None))
+    assert rows(got) == rows(want)
+    assert marks.upsert(spark.createDataFrame([(0, 0, 0, 0, 1, "c", 1)], "batch long, seq long, id long, page_index int, quads_ok int, color string, n_quads int"), None).count() == 1
+    from quire.plans.pages import edits
+    from quire.plans.registry import Tables
+
+    sizes = marks.upsert(edits(Tables(spark, str(tmp_path))), None).groupBy("page_index").count().collect()
+    assert min(r["count"] for r in sizes) > HIGHLIGHTS_PER_PAGE
+
+
+def test_marks_that_no_cap_cuts_need_no_python(spark):
+    rng = random.Random(4)
+    edits = [(k // 12, k, rng.randint(0, 14), rng.randint(-1, 3), 1, "c", 1) for k in range(300)]
+    frame = spark.createDataFrame(edits, "batch long, seq long, id long, page_index int, quads_ok int, color string, n_quads int")
+    for cap in (1000, None):
+        out = marks.upsert(frame, cap)
+        assert sorted((r.id, r.page_index, r.place) for r in out.collect()) == plain_registry([e[:4] for e in edits], 1000)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "InArrow" not in plan and "InPandas" not in plan
