@@ -295,10 +295,8 @@ def literal_strings(t):
 @query(f"SELECT doc_id, 'ok' AS status, CAST(greatest(1, ceil(len({_SPLIT}) / 50.0)) AS INTEGER) AS page_count, md5(array_to_string({_SPLIT}, chr(10))) AS digest FROM documents")
 def stream_documents(t):
     """Documents whose objects are in object streams and whose sections are streams."""
-    files = R.text_files(t.documents, xref="stream")
-    lines = R.run_table(files).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "emit_idx", "text"))).alias("r"))
-    texts = lines.select("doc_id", F.array_join(F.transform("r", lambda x: x["text"]), "\n").alias("text"))
-    return R.opened(files).join(texts, "doc_id", "left").select("doc_id", "status", "page_count", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    read = R.read(R.text_files(t.documents, xref="stream"))
+    return read.select("doc_id", "status", "page_count", F.md5(F.array_join(F.transform("runs", lambda x: x["text"]), "\n")).alias("digest"))
 
 
 def _altered(t, change):
