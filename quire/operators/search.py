@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..limits import MATCHES_PER_DOCUMENT, MATCHES_PER_PAGE, SNIPPET_REACH
+from ..shared import pieces
 
 
 @dataclass(frozen=True)
@@ -44,7 +45,7 @@ def page_matches(pages: DataFrame, query: str, options: Options = Options(), per
     names, hits_type = [n for n, _ in fields], pa.list_(pa.struct(fields))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             own, sizes = [], []
             for text in batch.column(2).to_pylist():
                 found = T.find_matches(text, asked, *flags, per_page)

@@ -237,3 +237,16 @@ def test_texts_of_one_row_group_are_read_by_many_tasks(spark, tmp_path):
     assert found == {k: ("ok", 1, [(0, 0, f"line {k}"), (0, 1, "more")]) for k in range(400)}
     runs = run_table(files, ["page_index", "emit_idx", "text"]).where("doc_id = 7")
     assert sorted(tuple(r) for r in runs.collect()) == [(7, 0, 0, "line 7"), (7, 0, 1, "more")]
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from quire.shared import pieces
+
+    texts = ["a" * n for n in (3, 90, 5, 5, 200, 0, 7)] + [None, "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["doc_id", "text"])
+    cut = list(pieces([batch], 100))
+    assert [p.column(1).to_pylist() for p in cut] == [texts[:3], texts[3:4], texts[4:5], texts[5:]]
+    assert [x for p in cut for x in p.column(0).to_pylist()] == list(range(9))
+    assert list(pieces([batch.slice(0, 0)])) == []
