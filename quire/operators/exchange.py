@@ -17,7 +17,15 @@ def quad_json(quad: Column) -> Column:
 
 def quad_from_json(text: Column) -> Column:
     """The quad of such an object; null if it is none."""
-    read = F.from_json(text, ", ".join(f"{n} array<double>" for n in CORNERS))
+    return _once(F.from_json(text, ", ".join(f"{n} array<double>" for n in CORNERS)), _quad)
+
+
+def _once(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _quad(read: Column) -> Column:
     points = F.array(*(F.struct(read[n][0].alias("x"), read[n][1].alias("y")) for n in CORNERS))
     whole = F.lit(True)
     for n in CORNERS:
@@ -28,7 +36,7 @@ def quad_from_json(text: Column) -> Column:
 def selection_from_json(text: Column) -> Column:
     """A selection with its ends in order, whichever way it was kept."""
     read = F.from_json(text, "start struct<page:int,offset:int>, end struct<page:int,offset:int>")
-    return normal_selection(read["start"]["page"], read["start"]["offset"], read["end"]["page"], read["end"]["offset"])
+    return _once(read, lambda r: normal_selection(r["start"]["page"], r["start"]["offset"], r["end"]["page"], r["end"]["offset"]))
 
 
 def selection_json(selection: Column) -> Column:
@@ -46,9 +54,12 @@ def highlight_json(mark: Column) -> Column:
 
 def position_from_json(text: Column) -> Column:
     """A reading position (page, offset, zoom) with the offset within 0 to 1; null where one of them is missing."""
-    read = F.from_json(text, "page int, offset double, zoom double")
-    whole = read["page"].isNotNull() & read["offset"].isNotNull() & read["zoom"].isNotNull()
-    return F.when(whole, F.struct(read["page"].alias("page"), F.least(F.greatest(read["offset"], F.lit(0.0)), F.lit(1.0)).alias("offset"), read["zoom"].alias("zoom")))
+
+    def checked(read):
+        whole = read["page"].isNotNull() & read["offset"].isNotNull() & read["zoom"].isNotNull()
+        return F.when(whole, F.struct(read["page"].alias("page"), F.least(F.greatest(read["offset"], F.lit(0.0)), F.lit(1.0)).alias("offset"), read["zoom"].alias("zoom")))
+
+    return _once(F.from_json(text, "page int, offset double, zoom double"), checked)
 
 
 MARK = "id string, page int, quads array<string>, color struct<red:double,green:double,blue:double,alpha:double>"
@@ -57,6 +68,9 @@ MARK = "id string, page int, quads array<string>, color struct<red:double,green:
 def highlight_from_json(text: Column) -> Column:
     """A highlight (id, page, quads, color) whose quads are objects as by ``quad_json``; null without id or page.
     Objects that are no quads are left out."""
-    read = F.from_json(text, MARK)
-    quads = F.filter(F.transform(read["quads"], quad_from_json), lambda q: q.isNotNull())
-    return F.when(read["id"].isNotNull() & read["page"].isNotNull(), F.struct(read["id"].alias("id"), read["page"].alias("page"), quads.alias("quads"), read["color"].alias("color")))
+
+    def checked(read):
+        quads = F.filter(F.transform(read["quads"], quad_from_json), lambda q: q.isNotNull())
+        return F.when(read["id"].isNotNull() & read["page"].isNotNull(), F.struct(read["id"].alias("id"), read["page"].alias("page"), quads.alias("quads"), read["color"].alias("color")))
+
+    return _once(F.from_json(text, MARK), checked)

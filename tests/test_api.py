@@ -30,3 +30,12 @@ def test_json(spark):
 def test_scrolling(spark):
     got = spark.range(1).select(Y.capture(F.lit(50.0), F.lit(20.0), F.lit(100.0)), Y.restore(F.lit(0.3), F.lit(20.0), F.lit(100.0)), Y.centred(F.lit(10.0), F.lit(20.0), F.lit(100.0), F.lit(500.0)), Y.centred(F.lit(480.0), F.lit(490.0), F.lit(100.0), F.lit(500.0))).first()
     assert tuple(got) == (0.3, 50.0, 0.0, 400.0)
+
+
+def test_kept_texts_are_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.range(3).select(F.col("id").cast("string").alias("t"))
+    for read, times in ((X.quad_from_json, 1), (X.selection_from_json, 1), (X.position_from_json, 1), (X.highlight_from_json, 2)):
+        plan = texts.select(read(F.col("t")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("from_json(") + plan.count("jsontostructs(") == times, plan
