@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators import marks as M
 from ..operators import pointer as P
 from ..operators import selection as L
 from ..operators import structure as D
+from ..shared import pieces, spread
 from ..sources import frames as R
 from ..sources.content import CidMap
 from ..sources.cos import Reader
@@ -236,7 +239,7 @@ def highlight_json(t):
     quads = F.array_append(F.array_repeat(exchange.quad_json(quad), (k % 3).cast("int")), F.lit('{"topLeft":[1]}'))
     color = F.struct(F.lit(0.25).alias("red"), F.lit(0.5).alias("green"), F.lit(0.75).alias("blue"), F.lit(1.0).alias("alpha"))
     text = exchange.highlight_json(F.struct(F.concat(F.lit("h"), k.cast("string")).alias("id"), F.col("p_size").cast("int").alias("page"), quads.alias("quads"), color.alias("color")))
-    back = t.part.select("p_partkey", exchange.highlight_from_json(text).alias("m"))
+    back = spread(t.part.select("p_partkey", "p_size")).select("p_partkey", exchange.highlight_from_json(text).alias("m"))
     return back.select("p_partkey", "m.id", "m.page", F.size("m.quads").alias("n_quads"), F.try_element_at("m.quads", F.lit(1))[0]["x"].alias("x"), F.col("m.color.red").alias("red"))
 
 
@@ -265,19 +268,21 @@ def cid_segments(t):
     """Texts cut into codes by an embedded map's codespaces, and the sum of their glyph numbers."""
 
     def run(batches):
-        cmap = CidMap.parse(_CMAP)
-        for batch in batches:
+        cmap, known = CidMap.parse(_CMAP), {}
+        for batch in pieces(batches):
             rows = []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                known, n, single, total = {}, 0, 0, 0
-                for code in cmap.codes(text):
-                    if code not in known:
-                        known[code] = cmap.get(*code) or 0
-                    n, single, total = n + 1, single + (code[1] == 1), total + known[code]
-                rows.append((doc, n, single, total, cmap.vertical))
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "n_codes", "n_single", "cid_sum", "vertical"), r, strict=True)) for r in rows])
-
-    return t.documents.where("text <> ''").select("doc_id", F.encode("text", "UTF-8").alias("b")).mapInArrow(run, "doc_id bigint, n_codes bigint, n_single bigint, cid_sum bigint, vertical boolean")
+            for text in batch.column(1).to_pylist():
+                n = single = total = 0
+                for piece, times in Counter(cmap.pieces(text)).items():
+                    if piece not in known:
+                        known[piece] = cmap.get(int.from_bytes(piece, "big"), len(piece)) or 0  # codes of characters: a million at most
+                    n, single, total = n + times, single + times * (len(piece) == 1), total + times * known[piece]
+                rows.append((n, single, total, cmap.vertical))
+            columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kind) for c, kind in columns)], ["doc_id", "n_codes", "n_single", "cid_sum", "vertical"])
+
+    texts = spread(t.documents.where("text <> ''").select("doc_id", F.encode("text", "UTF-8").alias("b")))
+    return texts.mapInArrow(run, "doc_id bigint, n_codes bigint, n_single bigint, cid_sum bigint, vertical boolean")
 
 
 @query(_DIGEST)

@@ -250,3 +250,37 @@ def test_places_of_selections_are_utf16_units(spark):
             n = len(line.encode("utf-16-le")) // 2
             assert lines[d, p, k] == (at, at + n)
             at += n + 1
+
+
+def test_codes_are_cut_as_a_plain_walk_does():
+    """Any codespaces: the shortest one that holds the next bytes, else one byte."""
+    from quire.sources.content import CidMap
+
+    rng = random.Random(2)
+    for k in range(300):
+        spaces = []
+        for _ in range(rng.choice((1, 2, 3, 8, 600 if k % 50 == 0 else 5))):
+            n = rng.randint(1, 5)
+            ends = sorted(int.from_bytes(bytes(rng.choice((0, 1, 2, 10, 91, 92, 93, 254, 255)) for _ in range(n)), "big") for _ in "ab")
+            spaces.append((n, *ends))
+        b = bytes(rng.choice((0, 1, 2, 3, 10, 91, 92, 93, 200, 254, 255)) for _ in range(60))
+        want, at = [], 0
+        while at < len(b):
+            fits = (n for n in range(1, min(4, len(b) - at) + 1) if any(m == n and lo <= int.from_bytes(b[at : at + n], "big") <= hi for m, lo, hi in spaces))
+            n = next(fits, 1)
+            want.append((int.from_bytes(b[at : at + n], "big"), n))
+            at += n
+        assert list(CidMap(spaces).codes(b)) == want, spaces
+
+
+def test_a_text_is_cut_at_once():
+    """A million codes take a fraction of a second (4 seconds and more when each was sought in every codespace)."""
+    import time
+
+    from quire.plans.reader import _CMAP
+    from quire.sources.content import CidMap
+
+    cmap, text = CidMap.parse(_CMAP), ("aé€😀" * 250_000).encode()
+    began = time.process_time()
+    assert len(cmap.pieces(text)) == 1_000_000
+    assert time.process_time() - began < 1.5
