@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import structure as D
+from ..shared import pieces, spread
 from ..sources import codecs as C
 from .registry import query
 
@@ -187,11 +188,11 @@ def tiff_predictor(t):
 
 def _round_trip(t, encode, decode):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             digests = [md5(decode(encode(x), len(x))).hexdigest() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], ["doc_id", "digest"])
 
-    return t.documents.select("doc_id", F.encode("text", "UTF-8").alias("b")).mapInArrow(run, "doc_id bigint, digest string")
+    return spread(t.documents.select("doc_id", F.encode("text", "UTF-8").alias("b"))).mapInArrow(run, "doc_id bigint, digest string")
 
 
 _DIGEST = "SELECT doc_id, md5(text) AS digest FROM documents"

@@ -143,3 +143,56 @@ def test_lzw_round_trip():
         for data in (rng.randbytes(n), b"ab" * n, bytes(rng.choice(b"abc") for _ in range(n))):
             for early in (0, 1):
                 assert C.lzw(C.lzw_encode(data, early), early) == data
+
+
+def test_damaged_lzw_ends_as_a_plain_walk_does():
+    def plain(data, early):
+        table, out, width, last, bits, held = [bytes([i]) for i in range(256)] + [b"", b""], b"", 9, None, 0, 0
+        for byte in data:
+            held, bits = held << 8 | byte, bits + 8
+            if bits < width:
+                continue
+            bits -= width
+            code, held = held >> bits, held & (1 << bits) - 1
+            if code == 256:
+                del table[258:]
+                width, last = 9, None
+                continue
+            if code == 257:
+                break
+            if code > len(table) or code == len(table) and (last is None or code == 4096):
+                return "corrupted"
+            entry = table[code] if code < len(table) else last + last[:1]
+            out += entry
+            if last is not None and len(table) < 4096:
+                table.append(last + entry[:1])
+            last = entry
+            while width < 12 and len(table) + early >= 1 << width:
+                width += 1
+        return out
+
+    def decoded(data, early):
+        try:
+            return C.lzw(data, early)
+        except C.CodecError as e:
+            return e.code
+
+    rng = random.Random(9)
+    for k in range(200):
+        early = k % 2
+        data = bytearray(C.lzw_encode(bytes(rng.choices(range(rng.choice((1, 2, 4, 256))), k=rng.choice((0, 1, 40, 9000)))), early))
+        for _ in range(k % 3):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        data = bytes(data[: rng.randint(0, len(data))] if k % 5 == 0 else data)
+        assert decoded(data, early) == plain(data, early)
+
+
+def test_round_trips_of_one_row_group_are_many_tasks(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quire.plans.queries import QUERIES
+
+    pq.write_table(pa.table({"doc_id": range(400), "text": [f"line {k}" for k in range(400)]}), tmp_path / "documents.parquet")
+    for name in ("lzw_roundtrip", "cid_segments"):
+        assert QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
