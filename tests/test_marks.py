@@ -161,3 +161,16 @@ def test_marks_that_no_cap_cuts_need_no_python(spark):
         assert sorted((r.id, r.page_index, r.place) for r in out.collect()) == plain_registry([e[:4] for e in edits], 1000)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_points_meet_plain_numbers(spark):
+    """The join that tries regions reads no quads, slanted quads work, and those that are not finite hold nothing."""
+    inf, nan = float("inf"), float("nan")
+    quads = [(0, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]), (1, [(2.0, 0.0), (4.0, 2.0), (2.0, 4.0), (0.0, 2.0)]), (2, [(1.0, 1.0)] * 4), (3, [(0.0, 0.0), (inf, 0.0), (4.0, 4.0), (0.0, 4.0)]), (4, [(nan, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)])]
+    regions = spark.createDataFrame([(1, 0, k, k, q) for k, q in quads], "doc_id int, page_index int, region_id int, seq int, quad array<struct<x:double,y:double>>")
+    points = [(2.0, 2.0, 1), (3.5, 3.5, 0), (1.0, 1.0, 1), (0.5, 0.5, 0), (5.0, 1.0, None), (nan, 1.0, None), (1.0, inf, None), (4.0, 4.0, 0)]
+    asked = spark.createDataFrame([(1, 0, k, x, y) for k, (x, y, _) in enumerate(points)], "doc_id int, page_index int, point_id int, x double, y double")
+    out = marks.region_hits(asked, regions)
+    assert {r.point_id: r.region_id for r in out.collect()} == {k: want for k, (_, _, want) in enumerate(points)}
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and not any("quad" in x for x in joins)
