@@ -45,7 +45,7 @@ class Collection:
 
     def text(self, columns: bool = True) -> DataFrame:
         """(doc_id, page_index, text) of all pages that have text."""
-        own = assembly.page_texts(self.runs(), columns).select("doc_id", "page_index", "text")
+        own = assembly.page_texts(frames.run_table(self.files, assembly.RUN), columns).select("doc_id", "page_index", "text")
         return own if self.provider is None else finding.provided(self.provider, own)
 
     def search(self, query: str, options: finding.Options = finding.Options(), columns: bool = True) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 from ..shared import written
 
+#: The columns of runs that reading order needs.
+RUN = ["page_index", "emit_idx", "text", "x", "y", "dx", "dy", "size", "width", "vertical"]
 PAGE = ["doc_id", "page_index"]
 CLASS = [*PAGE, "angle", "vertical"]
 LINE = [*CLASS, "line_no"]

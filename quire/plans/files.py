@@ -26,7 +26,7 @@ def document_runs(t):
 @query(f"SELECT conv_id * 1000 + turn AS doc_id, CAST(0 AS INTEGER) AS page_index, array_to_string({_LINES}, chr(10)) AS text FROM conversations WHERE len({_LINES}) > 0")
 def document_page_text(t):
     texts = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return A.page_texts(R.run_table(R.text_files(texts, per_page=100_000))).select("doc_id", "page_index", "text")
+    return A.page_texts(R.run_table(R.text_files(texts, per_page=100_000), A.RUN)).select("doc_id", "page_index", "text")
 
 
 @query("SELECT doc_id, CAST(0 AS INTEGER) AS page_index, CAST(612 AS DOUBLE) AS w, CAST(792 AS DOUBLE) AS h, CAST(0 AS INTEGER) AS rotation FROM documents")

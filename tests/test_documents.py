@@ -250,3 +250,12 @@ def test_batches_are_cut_by_bytes():
     assert [p.column(1).to_pylist() for p in cut] == [texts[:3], texts[3:4], texts[4:5], texts[5:]]
     assert [x for p in cut for x in p.column(0).to_pylist()] == list(range(9))
     assert list(pieces([batch.slice(0, 0)])) == []
+
+
+def test_page_texts_ask_for_no_more_than_they_need(spark):
+    from quire.sources.frames import run_table, text_files
+
+    texts = spark.createDataFrame([(1, "first line\nsecond"), (2, "")], "doc_id long, text string")
+    runs = run_table(text_files(texts), A.RUN)
+    assert runs.columns == ["doc_id", *A.RUN]
+    assert [(r.doc_id, r.page_index, r.text) for r in A.page_texts(runs).collect()] == [(1, 0, "first line\nsecond")]
